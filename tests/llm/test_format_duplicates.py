@@ -1,0 +1,33 @@
+from tributary.llm import format_duplicates as fd
+
+SAME = [
+    "https://En.Host.example/Notes//Dusty-Kettle/?id=1A&lang=en",
+    "(http://en.host.example./notes/dusty kettle?LANG=en;id=1a)",
+    "\ten.host.example/notes/dusty%20kettle/?lang=en & id=1a#",
+    "//en.host.example/notes/dusty_kettle?id=1a&amp;lang=en",
+]
+OTHER = [
+    "https://host.example/notes/dusty-kettle?id=1a&lang=en",
+    "https://en.host.example/notes/kettle-dusty?id=1a&lang=en",
+    "https://en.host.example/notes/dusty-kettle?id=en&lang=1a",
+    "https://en.host.example/notes/dusty-kettle?id=1a",
+    "https://en.host.example/notes/dustykettle?id=1a&lang=en",
+    "https://en.host.example/notes/dusty-kettle/id=1a&lang=en",
+]
+
+
+def test_copies(spark):
+    urls = SAME + OTHER + ["", None, SAME[0]]
+    rows = [(7, i, u, "x") for i, u in enumerate(urls)] + [(8, 90, SAME[0], "x"), (None, 91, SAME[0], "x"), (None, 92, SAME[1], "x")]
+    df = spark.createDataFrame(rows, "query_id long, result_id long, url string, first_id string")
+    got = {tuple(r) for r in fd.find_copies(df).collect()}
+    assert got == {(0, 1), (0, 2), (0, 3), (0, 12), (91, 92)}
+    n = {(r.query_id, r.first_id): r.n_copies for r in fd.collapse(df).collect()}
+    assert n == {(7, 0): 5, (None, 91): 2}
+    assert fd.find_copies(df.limit(0)).count() == 0
+
+
+def test_without_group(spark):
+    df = spark.createDataFrame([(1, "http://a.example/x"), (2, "a.example/X/"), (3, "?"), (4, "!!")], "hit_id long, url string")
+    got = {tuple(r) for r in fd.find_copies(df, group_col=None, id_col="hit_id").collect()}
+    assert got == {(1, 2), (3, 4)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import format_duplicates
+from tributary.llm import format_duplicates, tokens
 from tributary.plans.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,16 @@ WHERE first_id <> result_id"""
 SQL["p1_collapsed"] = _URL_FORMS + """
 SELECT query_id, min(result_id) AS first_id, count(*) AS n_copies
 FROM forms GROUP BY query_id, form HAVING count(*) > 1"""
+
+
+@query
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@query
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.decode_corpus(tokens.encode_corpus(table(spark, sf_dir, "documents")))
+
+
+SQL["p6_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
