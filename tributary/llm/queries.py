@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import format_duplicates, tokens
+from tributary.llm import exact_spans, format_duplicates, tokens
 from tributary.plans.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,13 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["p6_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_spans.shared_pairs(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_spans.shared_share(table(spark, sf_dir, "documents"))
