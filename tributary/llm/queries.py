@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import exact_spans, format_duplicates, tokens
+from tributary.llm import exact_spans, format_duplicates, leaks, tokens
 from tributary.plans.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_spans.shared_share(table(spark, sf_dir, "documents"))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+@query
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
