@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import exact_spans, format_duplicates, leaks, tokens
+from tributary.llm import encodings, exact_spans, format_duplicates, leaks, lookalikes, tokens
 from tributary.plans.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.find_garbled(table(spark, sf_dir, "ranked_results")).select("result_id", "field")
+
+
+@query
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.find_garbled(table(spark, sf_dir, "ranked_results"))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.find_unusual(table(spark, sf_dir, "ranked_results")).select("result_id", "field")
+
+
+@query
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.find_unusual(table(spark, sf_dir, "ranked_results"))
