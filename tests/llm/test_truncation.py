@@ -1,0 +1,88 @@
+import random
+
+import pytest
+
+from tributary.llm import truncation as tr
+
+NOUNS = ["garden", "lantern", "kettle", "harbor", "turbine", "marble", "granary", "pendulum"]
+VERBS = ["repairs", "shields", "polishes", "gathers", "weighs"]
+
+
+def rows(n=3000):
+    rng = random.Random(4)
+    out = []
+    for i in range(n):
+        engine = "Long" if i % 2 else "Short"
+        title = f"How the {rng.choice(NOUNS)} {rng.choice(VERBS)} a {rng.choice(NOUNS)}" + rng.choice(["", " - Kettlewharf", " - Annex"])
+        if engine == "Short":
+            title = title[:30]
+        content = f"The {rng.choice(NOUNS)} {rng.choice(VERBS)} the {rng.choice(NOUNS)}. It {rng.choice(VERBS)} the {rng.choice(NOUNS)}{rng.choice('.!?')}"
+        out.append((i, engine, title, content))
+    return out
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    return rows()
+
+
+@pytest.fixture(scope="module")
+def model(spark, data):
+    return tr.fit(spark.createDataFrame(data, "result_id long, engine string, title string, content string"))
+
+
+@pytest.mark.parametrize(
+    ("value", "field", "source", "cut"),
+    [
+        ("The garden repairs the lant", "content", "Long", True),
+        ("The garden repairs the lantern", "content", "Long", True),
+        ("The garden repairs the lantern...", "content", "Long", True),
+        ("The garden repairs the … lantern …", "content", "Long", True),
+        ("The garden repairs <stro", "content", "Long", True),
+        ("The garden repairs &quo", "content", "Long", True),
+        ("The garden [more]", "content", "Long", True),
+        ("The garden repairs the �", "content", "Long", True),
+        ("The garden repairs the lantern.", "content", "Long", False),
+        ("The garden repairs the lantern. (12)", "content", "Long", False),
+        ("The garden repairs the lantern. — 12.03.2015", "content", "Long", False),
+        ("The garden repairs the lantern. · 19 min", "content", "Long", False),
+        ("The garden repairs the lantern. #21", "content", "Long", False),
+        ("½ kg ….", "content", "Long", False),
+        ("它修补了花园。", "content", "Long", False),
+        ("How the kettle shields a gard", "title", "Long", True),
+        ("How the kettle shields a garden …", "title", "Long", True),
+        ("How the kettle shields a garden (Vasda)", "title", "Long", False),
+        ("How the kettle shields a garden", "title", "Long", False),
+        ("How the kettle shields a garden - Annex", "title", "Long", False),
+        ("", "title", "Long", False),
+    ],
+)
+def test_cases(model, value, field, source, cut):
+    assert bool(model.judge([(value, field, source)])[0]) is cut
+
+
+def test_cut_length_is_found(model):
+    assert ("chars", 30) in model.limits["title", "Short"]
+    assert ("title", "Long") not in model.limits
+    assert model.sentences == {"content"}
+
+
+def test_planted_titles(spark, model, data):
+    whole = {t for _, e, t, _ in data if e == "Long"}
+    full = [(i, t) for i, e, t, _ in data if e == "Long"]
+    planted = [(10_000 + i, t[: len(t) - 3], t) for i, t in full[:300]]
+    judged = model.judge([(v, "title", "Long") for _, v, _ in planted if v not in whole])
+    assert sum(map(bool, judged)) > 0.9 * len(judged)
+    judged = model.judge([(t, "title", "Long") for _, t in full])
+    assert sum(map(bool, judged)) < 0.02 * len(judged)
+
+
+def test_tables(spark, data):
+    extra = [(90_001, None, "How the kettle shi", None), (90_001, None, "How the kettle shi", None), (90_002, "Long", None, "")]
+    df = spark.createDataFrame([(*r, "x") for r in data + extra], "result_id long, engine string, title string, content string, field string")
+    got = tr.find_truncated(df).filter("result_id > 90000").collect()
+    assert [(r.result_id, r.field, r.source) for r in got] == [(90_001, "title", None)] * 2
+    report = {(r.source, r.field): r for r in tr.report(df).collect()}
+    assert report["Short", "title"].share > 0.9 * sum(len(t) == 30 for _, e, t, _ in data if e == "Short") / 1500
+    assert report["Long", "content"].n_cut == 0
+    assert tr.find_truncated(df.limit(0)).count() == 0

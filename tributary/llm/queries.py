@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import encodings, exact_spans, format_duplicates, leaks, lookalikes, tokens
+from tributary.llm import encodings, exact_spans, format_duplicates, leaks, lookalikes, tokens, truncation
 from tributary.plans.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.find_unusual(table(spark, sf_dir, "ranked_results"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, sf_dir, "ranked_results")).select("result_id", "field")
+
+
+@query
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.report(table(spark, sf_dir, "ranked_results"))
