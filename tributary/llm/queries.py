@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import encodings, exact_spans, format_duplicates, leaks, lookalikes, tokens, truncation
+from tributary.llm import best_record, encodings, exact_spans, format_duplicates, leaks, lookalikes, tokens, truncation
 from tributary.plans.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.report(table(spark, sf_dir, "ranked_results"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_record.best_rows(table(spark, sf_dir, "cached_hits"), table(spark, sf_dir, "engines"))
+
+
+@query
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_record.best_records(table(spark, sf_dir, "cached_hits"), table(spark, sf_dir, "engines"))
