@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -42,7 +42,7 @@ PEAK_SHARE, PEAK_RATIO, SHORT = 0.01, 4.0, 20
 #: A context after which values end more rarely than this, of so many, is none to end with.
 RARE_END, SUPPORT = 0.02, 30
 #: Share of values with a sentence end from which a field is one of sentences.
-SENTENCES = 0.5
+SENTENCES = 0.3
 
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿︎️]")
 _NOTE = re.compile(r"\s*(?:\[\d+\]|\(\d+\)|#\d+|[—–-]\s*\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|·\s*\d+\s*\w{1,4}\.?)$")
@@ -55,6 +55,9 @@ _MARK = re.compile(
 )
 #: Words in brackets at the end that belong to a title, as "(Vasda)" does, start with a capital.
 _NAME = re.compile(r"[(（][A-ZÀ-ÝА-Я]\w*[)）]$")
+_DOTS = re.compile("(?:\\.{3}|…)[\"'”’»)\\]]*$")
+#: Characters at the end in which marks, notes and sentence ends are looked for.
+_TAIL = 48
 _TOKEN = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*|[^\w\s]+")
 _HAN = re.compile("[㐀-鿿]")
 
@@ -128,29 +131,31 @@ class Model:
                 return True
         return False
 
-    def _judge(self, text: str, name: str, limit: bool) -> str:
-        """Why a value is cut, or an empty string."""
+    def _judge(self, text: str, name: str, value: str, source: str | None) -> str:
+        """Why a value with the text ``text`` is cut, or an empty string."""
         end = trimmed(text)
         if not end:
             return ""
+        tail = end[-_TAIL:]
         if name in self.sentences:
-            body = _NOTE.sub("", end)
-            if re.search("(?:\\.{3}|…)[\"'”’»)\\]]*$", body):
+            if tail[-1] not in ".!?。！？":
+                tail = _NOTE.sub("", tail)
+            if _DOTS.search(tail):
                 return "mark"
-            if _STOP.search(body):
-                toks = body.split()
-                inner, last = self.words.get(toks[-1], (0, 0))
+            if _STOP.search(tail):
+                word = tail.rsplit(None, 1)[-1]
+                inner, last = self.words.get(word, (0, 0))
                 return "context" if inner >= SUPPORT and last < RARE_END * inner else ""
-            if _MARK.search(end):
+            if _MARK.search(end[-_TAIL:]):
                 return "mark"
-            toks = tokens(body)
+            toks = tokens(tail)
             return "word" if toks and self.prefix_of_known(toks[-1]) else "sentence"
-        if _MARK.search(end) and not _NAME.search(end):
+        if _MARK.search(tail) and not _NAME.search(tail):
             return "mark"
         toks = tokens(end)
         if not toks:
             return ""
-        if limit and not self.nothing_follows(toks):
+        if self.at_limit(value, name, source) and not self.nothing_follows(toks):
             return "length"
         if self.prefix_of_known(toks[-1]):
             return "word"
@@ -158,7 +163,7 @@ class Model:
 
     def judge(self, values: list[tuple[str, str, str | None]]) -> list[str]:
         """Why each ``value, field, source`` is cut; an empty string for whole ones."""
-        why = [self._judge(v, f, self.at_limit(v, f, s)) if v else "" for v, f, s in values]
+        why = [self._judge(v, f, v, s) if v else "" for v, f, s in values]
         # a garbled value is judged by its restored text
         some = [i for i, w in enumerate(why) if w and not values[i][0].isascii()]
         texts = [values[i][0] for i in some]
@@ -166,18 +171,45 @@ class Model:
             if not bad:
                 continue
             v, f, s = values[i]
-            limit = self.at_limit(v, f, s)
-            why[i] = self._judge((v if restored is None else restored).rstrip(encodings.REPLACEMENT), f, limit)
+            why[i] = self._judge((v if restored is None else restored).rstrip(encodings.REPLACEMENT), f, v, s)
             if why[i] == "context" or restored is None and why[i] in ("word", "sentence"):
                 why[i] = ""
         return why
 
 
-def contexts_of(toks: list[str], at: int) -> list[str]:
+def contexts_of(toks: list[str], at: int) -> tuple[str, str]:
     """The contexts of a place: the word with the one before it, and with the first word too."""
-    kinds = kind(toks[at])
-    before = kind(toks[at - 1]) if at else "^"
-    return [f"{before} {kinds}", f"{toks[0].lower()} {before} {kinds}"]
+    wide = f"{kind(toks[at - 1]) if at else '^'} {kind(toks[at])}"
+    return wide, f"{toks[0].lower()} {wide}"
+
+
+def _count_sentences(texts: list[str], inner: Counter, last: Counter) -> None:
+    """Adds the words of texts that end like sentences, as they stand between white space."""
+    ends = [trimmed(t) for t in texts]
+    inner.update(" ".join(ends).split())
+    final = Counter(e.rsplit(None, 1)[-1] for e in ends if e)
+    inner.subtract(final)
+    last.update(final)
+
+
+def _count_labels(texts: dict[str, int], cut: Callable[[str], bool], inner: Counter, last: Counter) -> None:
+    """Adds words and contexts of other texts; the ends of those that are cut don't count."""
+    for text, n in texts.items():
+        end = trimmed(text)
+        toks = tokens(end)
+        if not toks:
+            continue
+        first, before = toks[0].lower(), "^"
+        whole = not (_MARK.search(end[-_TAIL:]) or cut(text))
+        final = len(toks) - 1
+        for at, t in enumerate(toks):
+            if at == final and not whole:
+                break
+            own, counter = kind(t), inner if at < final else last
+            counter[t] += n
+            counter[before, own] += n
+            counter[first, before, own] += n
+            before = own
 
 
 def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -> tuple[dict, dict]:
@@ -189,6 +221,12 @@ def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -
         last: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
+            for counter in (inner, last):
+                for k, n in list(counter.items()):
+                    if isinstance(k, tuple):
+                        counter["\x00" + " ".join(k)] += counter.pop(k)
+                    elif (bare := k.strip(".,;:!?\"'“”„«»()[]…")) != k and bare:
+                        counter[bare] += n
             keys = list(inner.keys() | last.keys())
             columns = [pa.array(keys, pa.string()), pa.array([inner[k] for k in keys], pa.int64()), pa.array([last[k] for k in keys], pa.int64())]
             inner.clear()
@@ -196,31 +234,20 @@ def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -
             return pa.RecordBatch.from_arrays(columns, names=["k", "inner", "last"])
 
         for batch in batches:
+            by: dict[tuple[str, str | None], list[str]] = {}
             for name, source, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by.setdefault((name, source), []).append(value)
+            for (name, source), texts in by.items():
                 if name in sentences:
-                    toks = trimmed(value).split()
-                    inner.update(toks[:-1])
-                    if toks:
-                        last[toks[-1]] += 1
-                    inner.update([t.strip(".,;:!?\"'“”„«»()[]") for t in toks[:-1]])
-                    continue
-                end = trimmed(value)
-                toks = tokens(end)
-                if not toks:
-                    continue
-                inner.update(toks[:-1])
-                for at in range(len(toks) - 1):
-                    inner.update(["\x00" + c for c in contexts_of(toks, at)])
-                if not (_MARK.search(end) or probe.at_limit(value, name, source)):
-                    last[toks[-1]] += 1
-                    last.update(["\x00" + c for c in contexts_of(toks, len(toks) - 1)])
+                    _count_sentences(texts, inner, last)
+                else:
+                    _count_labels(Counter(texts), lambda v, n=name, s=source: probe.at_limit(v, n, s), inner, last)
             if len(inner) + len(last) > 1_000_000:
                 yield flush()
         yield flush()
 
     counts = values.select("field", "source", "value").mapInArrow(run, "k string, inner long, last long")
-    counts = counts.groupBy("k").agg(F.sum("inner").alias("inner"), F.sum("last").alias("last"))
-    counts = cut_lineage(counts)
+    counts = cut_lineage(counts.groupBy("k").agg(F.sum("inner").alias("inner"), F.sum("last").alias("last")))
     total = counts.agg(F.sum(F.col("inner") + F.col("last"))).first()[0] or 0
     rows = counts.filter((F.col("inner") + F.col("last") > 1) & (F.col("inner") + F.col("last") >= least * total)).collect()
     words = {r.k: (r.inner, r["last"]) for r in rows if r.k and r.k[0] != "\x00"}
@@ -229,8 +256,7 @@ def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -
 
 def _limits(values: DataFrame) -> tuple[set[str], dict]:
     """Fields of sentences, and the cut lengths of each field and source."""
-    stop = F.regexp_replace("value", "[\\s­​-‏⁠﻿]+$", "")
-    ends = stop.rlike(r"[.!?。！？][\"'”’»)）\]]*$")
+    ends = F.substring("value", -8, 8).rlike(r"[.!?。！？][\"'”’»)）\]\s\p{Cf}]*$")
     base = values.groupBy("field", "source", F.char_length("value").alias("chars"), F.octet_length("value").alias("bytes")).agg(
         F.count("*").alias("n"), F.sum(ends.cast("long")).alias("ended")
     )
