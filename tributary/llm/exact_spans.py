@@ -32,9 +32,9 @@ from tributary.plans.storage import cut_lineage
 SPAN, MINIMISER, HOT = 200, 24, 50_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _START = 0x110000  # stands for the character before a text's first one
-_BATCH_CHARS = 1_000_000  # places within a batch have 24 bits
-_PIECE = 500_000
-_BATCH_WINDOWS = 1_000_000
+_BATCH_CHARS = 500_000  # places within a batch have 24 bits
+_PIECE = 250_000
+_BATCH_WINDOWS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
