@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import codecs
 import functools
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -209,10 +210,13 @@ class Model:
         Known are the blocks of 128 code points that the clean sample holds. Well-formed
         UTF-8 hardly arises by chance; other encodings need evidence in the run itself.
         """
-        first = CHAINS[chain][0][0]
+        first, read = CHAINS[chain][0]
+        letters = read in ("cp1251", "koi8-r", "cp866")
         least = {"utf-8": -np.inf, "gb18030": _PAIR_EVIDENCE}.get(first, 0.0)
 
         def decide(garbled: str, restored: str) -> bool:
+            if letters and any(map(unicodedata.combining, restored)):
+                return False  # two letters of a word that happen to be an accent's bytes
             if not all(ord(c) >> 7 in self.blocks for c in restored):
                 return first == "utf-8" and len(CHAINS[chain]) > 1 and all(ord(c) < 0x3000 for c in restored)
             return least == -np.inf or self.ratios[chain][_bigrams([f" {garbled} "])[0]].sum() > least

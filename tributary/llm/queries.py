@@ -127,3 +127,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_record.best_records(table(spark, sf_dir, "cached_hits"), table(spark, sf_dir, "engines"))
+
+
+_WINDOWS = """WITH w AS (SELECT doc_id, length(text) AS n, unnest(range(1, length(text) - 198)) AS i, text FROM documents WHERE length(text) >= 200),
+s AS (SELECT doc_id, n, i, substr(text, i, 200) AS s FROM w)"""
+
+SQL["p8_found"] = _WINDOWS + """, d AS (SELECT DISTINCT doc_id, s FROM s)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.s = b.s AND a.doc_id < b.doc_id"""
+
+SQL["p8_share"] = _WINDOWS + """, many AS (SELECT s FROM s GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, n, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM s SEMI JOIN many USING (s))
+SELECT doc_id, CAST(sum(least(200, coalesce(nxt - i, 200))) AS BIGINT) AS shared_chars, sum(least(200, coalesce(nxt - i, 200))) / CAST(any_value(n) AS DOUBLE) AS share
+FROM hit GROUP BY doc_id"""
