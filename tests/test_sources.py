@@ -4,7 +4,7 @@ import pytest
 
 from tributary.sources import html
 from tributary.sources.adapters import ADAPTERS, override, registry, requests, with_language
-from tributary.sources.pages import captured, extract, extract_html, extract_json, page_errors, readable
+from tributary.sources.pages import captured, extract, extract_html, extract_json, page_errors, readable, register
 
 
 def page(body):
@@ -93,3 +93,11 @@ def test_requests_and_registry(spark):
     pages = spark.createDataFrame([(urls["g"], "body"), (urls["g"], "body")], "request_url string, body string")
     got = {r.shortcut: r.body for r in captured(requests(q), pages).collect()}
     assert got["g"] == "body" and got["ddg"] is None and len(got) == 8
+
+
+def test_table_function(spark):
+    register(spark)
+    body = '<li class="b_algo"><h2><a href="https://a">T</a></h2></li>'
+    spark.createDataFrame([(1, "Bing China", body), (2, "Bing China", None), (3, "Other", body)], "id int, engine string, body string").createOrReplaceTempView("captured")
+    got = spark.sql("SELECT id, pos, url, title FROM captured, LATERAL extract_results(body, engine)").collect()
+    assert [tuple(r) for r in got] == [(1, 1, "https://a", "T")]

@@ -153,6 +153,15 @@ class EngineConfig:
         return cls(**json.loads(text))
 
 
+@dataclass
+class WaitStrategy:
+    """How long a live fetch of a page would wait; kept as configuration, captured pages need none."""
+
+    kind: str = "load"  # load, network_idle, selector or delay
+    selector: str | None = None
+    ms: int = 0
+
+
 @dataclass
 class SearchResult:
     """One fused result as the facade returns it."""

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.text import strip_tags, wiki_url
@@ -81,6 +81,18 @@ def extract_html(pages: DataFrame, adapters: dict[str, Adapter] = ADAPTERS) -> D
     return src.mapInArrow(run, f"query_id {kind}, engine string, pos int, url string, title string, content string")
 
 
+def register(spark: SparkSession, name: str = "extract_results") -> None:
+    """Makes the extractor a table function of SQL: ``FROM pages, LATERAL extract_results(body, engine)``."""
+    by_name = {a.config.name: a for a in ADAPTERS.values() if not a.json}
+
+    class Extract:
+        def eval(self, body: str, engine: str):
+            if body is not None and engine in by_name:
+                yield from extract(body, by_name[engine])
+
+    spark.udtf.register(name, F.udtf(Extract, returnType="pos int, url string, title string, content string"))
+
+
 def extract_json(pages: DataFrame, *, engine: str = "Wikipedia", language: str = "en", limit: int = 10) -> DataFrame:
     """Rows of the JSON source; a body that is no JSON gives none here, and an error row in ``page_errors``."""
     hits = pages.filter(F.col("engine") == engine).select("query_id", "engine", F.from_json("body", JSON_SCHEMA).alias("doc"))
