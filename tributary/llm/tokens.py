@@ -91,6 +91,8 @@ class PieceTransducer:
             return self.merge(self.tokens[b]) == [b]
         key = (a, b)
         if key not in self._fits:
+            if len(self._fits) > 1_000_000:
+                self._fits.clear()
             self._fits[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
         return self._fits[key]
 

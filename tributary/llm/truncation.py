@@ -22,6 +22,7 @@ millionth of all words, so at most a million entries are sent to the workers.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -63,9 +64,9 @@ _HAN = re.compile("[㐀-鿿]")
 
 
 def trimmed(value: str) -> str:
-    """Without invisible characters and white space at the end."""
+    """Without invisible characters and white space at the end, accents composed."""
     if not value.isascii():
-        value = _INVISIBLE.sub("", value)
+        value = unicodedata.normalize("NFC", _INVISIBLE.sub("", value))
     return value.rstrip()
 
 
@@ -109,7 +110,7 @@ class Model:
             return False
         inner, last = self.words.get(word, (0, 0))
         longer = max((n for w, n in self.trie.items(word) if w != word), default=0)
-        return longer > 1 and inner <= max(1, longer // 100) and last <= max(1, longer // 10)
+        return longer > 1 and inner <= max(1, longer // 30) and last <= max(2, longer // 5)
 
     def ends_rarely(self, toks: list[str]) -> bool:
         """Whether the corpus hardly ever ends after these last words."""
