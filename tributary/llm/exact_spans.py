@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,7 +273,7 @@ def _bucket_runs(k: int, ranges: bool):
                     held, size = [], 0
             if batch.num_rows:
                 held.append(batch)
-                size += sum(map(len, batch.column(4).to_pylist())) - (k - 1) * batch.num_rows
+                size += pc.sum(pc.utf8_length(batch.column(4))).as_py() - (k - 1) * batch.num_rows
         if held:
             yield from work(held)
 
