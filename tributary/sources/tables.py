@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.model import EngineConfig
@@ -30,9 +30,9 @@ class FixedSource:
     def rank(self, queries: DataFrame) -> DataFrame:
         if self.error is not None:
             raise RuntimeError(self.error)
-        spark: SparkSession = queries.sparkSession
-        listed = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(self.rows)], "pos int, url string, title string, content string")
-        return queries.select("query_id").join(F.broadcast(listed))
+        kind = "array<struct<pos: int, url: string, title: string, content: string>>"
+        listed = F.array(*(F.struct(F.lit(i + 1), *map(F.lit, r)) for i, r in enumerate(self.rows))).cast(kind)
+        return queries.select("query_id", F.inline(listed))
 
 
 class TableSource:
