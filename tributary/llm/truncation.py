@@ -54,6 +54,8 @@ _MARK = re.compile(
     "|[(\\[{<„«¿¡‘`–—,;:|/&+=*-]$|(?:^|\\s)[“‘\"']$"  # an opening, joining or parting sign
     "|[\\[(](?!\\d)\\w+[\\])]?$|[>›»→]{2}$|�$"  # a word in brackets that may lead on, arrows, a broken character
 )
+#: Characters that a mark ending in a letter or digit begins with.
+_OPEN = re.compile(r"[<&\[(]")
 #: Words in brackets at the end that belong to a title, as "(Vasda)" does, start with a capital.
 _NAME = re.compile(r"[(（][A-ZÀ-ÝА-Я]\w*[)）]$")
 _DOTS = re.compile("(?:\\.{3}|…)[\"'”’»)\\]]*$")
@@ -70,6 +72,11 @@ def trimmed(value: str) -> str:
     return value.rstrip()
 
 
+def marked(tail: str) -> bool:
+    """Whether the end of a value bears a mark of a cut."""
+    return not (tail[-1].isalnum() and not _OPEN.search(tail)) and _MARK.search(tail) is not None
+
+
 def tokens(value: str) -> list[str]:
     """Words and signs; each Chinese character is one."""
     out: list[str] = []
@@ -95,12 +102,20 @@ class Model:
     contexts: dict[str, tuple[int, int]]
     garbled: encodings.Model
     trie: ahocorasick.Automaton | None = field(default=None, repr=False)
+    begun: dict[str, bool] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "trie": None}
+        return {**self.__dict__, "trie": None, "begun": {}}
 
     def prefix_of_known(self, word: str) -> bool:
         """Whether a word is unknown, or far rarer than words that go on from it, and begins some."""
+        if word not in self.begun:
+            if len(self.begun) > 1 << 17:
+                self.begun.clear()
+            self.begun[word] = self._prefix_of_known(word)
+        return self.begun[word]
+
+    def _prefix_of_known(self, word: str) -> bool:
         if self.trie is None:
             self.trie = ahocorasick.Automaton()
             for w, (inner, last) in self.words.items():
@@ -147,11 +162,11 @@ class Model:
                 word = tail.rsplit(None, 1)[-1]
                 inner, last = self.words.get(word, (0, 0))
                 return "context" if inner >= SUPPORT and last < RARE_END * inner else ""
-            if _MARK.search(end[-_TAIL:]):
+            if marked(end[-_TAIL:]):
                 return "mark"
             toks = tokens(tail)
             return "word" if toks and self.prefix_of_known(toks[-1]) else "sentence"
-        if _MARK.search(tail) and not _NAME.search(tail):
+        if marked(tail) and not _NAME.search(tail):
             return "mark"
         toks = tokens(end)
         if not toks:
@@ -201,14 +216,13 @@ def _count_labels(texts: dict[str, int], cut: Callable[[str], bool], inner: Coun
         if not toks:
             continue
         first, before = toks[0].lower(), "^"
-        whole = not (_MARK.search(end[-_TAIL:]) or cut(text))
+        whole = not (marked(end[-_TAIL:]) or cut(text))
         final = len(toks) - 1
         for at, t in enumerate(toks):
             if at == final and not whole:
                 break
             own, counter = kind(t), inner if at < final else last
             counter[t] += n
-            counter[before, own] += n
             counter[first, before, own] += n
             before = own
 
@@ -225,7 +239,9 @@ def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -
             for counter in (inner, last):
                 for k, n in list(counter.items()):
                     if isinstance(k, tuple):
-                        counter["\x00" + " ".join(k)] += counter.pop(k)
+                        del counter[k]
+                        counter["\x00" + " ".join(k)] += n
+                        counter["\x00" + " ".join(k[1:])] += n
                     elif (bare := k.strip(".,;:!?\"'“”„«»()[]…")) != k and bare:
                         counter[bare] += n
             keys = list(inner.keys() | last.keys())
