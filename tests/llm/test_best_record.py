@@ -89,3 +89,41 @@ def test_records(spark, registry):
     assert (r.first_id, r.n, r.title, r.content, r.engines) == (1, 3, "Old kettle repair", "The kettle is old.", ["A", "B"])
     assert br.best_records(df.limit(0), registry).count() == 0
     assert br.best_rows(df.limit(0), registry).count() == 0
+
+
+def nested(pages=40):
+    """Titles that begin other titles; the shortest is often seen last or has the most trust."""
+    rng = random.Random(11)
+    out = []
+    for p in range(pages):
+        words = f"Item {p} of the {rng.choice(NOUNS)} and the {rng.choice(NOUNS)} beside a {rng.choice(NOUNS)}".split()
+        titles = [" ".join(words[:n]) for n in (4, 7, len(words))] + [" ".join(words) + " - Annex", "Other " + " ".join(words[2:]), " ".join(words[:4]) + " \u3000"]
+        for title in rng.sample(titles, rng.randint(3, 6)):
+            body = f"The {rng.choice(NOUNS)} shields item {p}."
+            out.append((len(out) + 1, f"h.example/n{p}", title, body, [rng.choice("ABC")], T0 + dt.timedelta(hours=rng.randint(0, 3)), "x", 5))
+    return out
+
+
+def test_titles_cut_at_words_do_not_depend_on_group_size(spark, registry):
+    df = spark.createDataFrame(nested(), SCHEMA).repartition(3)
+    small, large = ({tuple(r) for r in br.best_rows(df, registry, block=b).collect()} for b in (256, 2))
+    assert large == small
+    # the cut title was seen last and has more trust: the whole one is best all the same
+    rows = [
+        (1, "h.example/k", "The old kettle beside", "The kettle is old.", ["A"], T0 + dt.timedelta(2), "x", 5),
+        (2, "h.example/k", "The old kettle beside the harbor", "The kettle is old.", ["B"], T0 + dt.timedelta(1), "x", 5),
+        (3, "h.example/k", "A kettle", "The kettle is old.", ["C"], T0, "x", 5),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [[tuple(r) for r in br.best_rows(df, registry, block=b).collect()] for b in (256, 2)] == [[(1, 2, 1)]] * 2
+
+
+def test_weights_of_large_groups(spark):
+    rng = random.Random(3)
+    data = [(g, 0, "title", f"{g} {i}", i, rng.randint(0, 9), float(rng.randint(0, 3)), 3.0, rng.randint(1, 9)) for g in range(3) for i in range(60)]
+    whole = spark.createDataFrame(data, "a long, b long, field string, value string, id long, seen long, trust double, most double, chars long")
+    got = {r.value: r.weight for r in br._weighted(whole.repartition(3), 4).collect()}
+    for g in range(3):
+        own = [r for r in data if r[0] == g]
+        votes = br.weights([{"chars": r[8], "seen": r[5], "trust": r[6]} for r in own])
+        assert [got[r[3]] for r in own] == pytest.approx(votes)

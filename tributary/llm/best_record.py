@@ -15,7 +15,8 @@ the consensus is that value; otherwise the votes blend.
 Equal values of a group are pre-aggregated before anything else. A group with more than
 ``block`` distinct values of a field is reduced in rounds: blocks of its values give their
 consensus, with the weight of the block, until one block is left. Then each value
-is compared with the consensus on its own, so no task ever holds such a group.
+is compared with the consensus on its own, so no task ever holds such a group. Which values
+are cut and how many beat a value is the same for groups of every size.
 """
 
 from __future__ import annotations
@@ -104,15 +105,15 @@ def weights(rows: list[dict]) -> list[float]:
     return out
 
 
+def _goes_on(end: str, rest: str) -> bool:
+    """Whether ``rest``, behind ``end``, goes on with the text, and not with a site's name."""
+    return bool(rest.strip().strip(" .…")) and not _SITE.match(rest) and not end.endswith((".", "!", "?", "。", "！", "？"))
+
+
 def _cut_against(value: str, others: list[str]) -> bool:
-    """Whether another value of the group goes on where this one stops, and not with a site's name."""
+    """Whether another value of the group goes on where this one stops."""
     end = value.rstrip()
-    for o in others:
-        if len(o) > len(end) and o.startswith(end):
-            rest = o[len(end) :]
-            if rest.strip(" .…") and not _SITE.match(rest) and not end.endswith((".", "!", "?", "。", "！", "？")):
-                return True
-    return False
+    return any(len(o) > len(end) and o.startswith(end) and _goes_on(end, o[len(end) :]) for o in others)
 
 
 _CHOSEN = "a long, b long, field string, value string, id long, best boolean"
@@ -195,13 +196,108 @@ def _block_consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield emit([row()])
 
 
-def _large_groups(values: DataFrame, large: DataFrame, block: int, parts: int) -> DataFrame:
-    """Survivors of groups with more distinct values than one task should hold."""
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its value up to the white space at the end."""
+    for batch in batches:
+        ends = pa.array([v.rstrip() for v in batch.column("value").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, ends], names=[*batch.schema.names, "end"])
+
+
+def _continued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends that a value of their group goes on from; ends and values arrive sorted as texts.
+
+    Texts that begin with an end follow it, so only the ends that begin the present text are held.
+    """
+    key, open_ = None, []
+    for batch in batches:
+        out = []
+        for *own, text, full in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "field", "text", "full")), strict=True):
+            if own != key:
+                key, open_ = own, []
+            while open_ and not text.startswith(open_[-1]):
+                open_.pop()
+            if full:
+                found = [e for e in open_ if _goes_on(e, text[len(e) :])]
+                out += [(*key, e) for e in found]
+                open_ = [e for e in open_ if e not in found] if found else open_
+            elif not open_ or open_[-1] != text:
+                open_.append(text)
+        if out:
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "field", "end"])
+
+
+_CELL = ("a", "b", "field", "seen", "chars", "trust")
+
+
+def _unbeaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many values of its group don't beat a value, itself among them; groups arrive sorted by time.
+
+    Held are counts by trust and length (binary indexed trees), not values.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    key, trees, held = None, {}, []
+
+    def release() -> list[tuple]:
+        for *_, chars, trust, n in held:
+            tree, i = trees.setdefault(trust, {}), chars + 1
+            while i < 1 << 32:
+                tree[i] = tree.get(i, 0) + n
+                i += i & -i
+        out = []
+        for *own, chars, trust, _ in held:
+            count = 0
+            for tree in (tree for t, tree in trees.items() if t <= trust):
+                i = chars + 1
+                while i:
+                    count += tree.get(i, 0)
+                    i &= i - 1
+            out.append((*own, chars, trust, count))
+        held.clear()
+        return out
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*_CELL, "unbeaten"])
+
+    for batch in batches:
+        out = []
+        for r in zip(*(batch.column(c).to_pylist() for c in (*_CELL, "n")), strict=True):
+            if held and held[0][:4] != r[:4]:
+                out += release()
+            if r[:3] != key:
+                key, trees = r[:3], {}
+            held.append(r)
+        if out:
+            yield emit(out)
+    if held:
+        yield emit(release())
+
+
+def _whole_of_group(values: DataFrame, large: DataFrame, sentences: set[str], parts: int) -> DataFrame:
+    """Whole values of large groups without those that another value of the group continues."""
     on = ["a", "b", "field"]
-    whole = values.filter("whole").join(large.select(*on), on)
+    own = values.filter("whole or cut").join(large.select(*on), on)
+    own = cut_lineage(own.mapInArrow(_ends, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields) + ", end string"))
+    labels = own.filter(~F.col("field").isin("url", *sentences))
+    texts = labels.filter("whole").selectExpr(*on, "end as text", "false as full").unionAll(labels.selectExpr(*on, "value as text", "true as full"))
+    texts = texts.repartition(parts, *on).sortWithinPartitions(*on, "text", "full")
+    continued = texts.mapInArrow(_continued, "a long, b long, field string, end string")
+    return own.filter("whole").join(continued, [*on, "end"], "left_anti").drop("end")
+
+
+def _weighted(whole: DataFrame, parts: int) -> DataFrame:
+    """Whole values of large groups with the votes that ``weights`` gives, and the maxima of their groups."""
+    on = list(_CELL[:3])
     top = whole.groupBy(*on).agg(F.max("chars").alias("mc"), F.max("seen").alias("ms"), F.max("most").alias("mt"), F.count("*").alias("k"))
-    beaten = (F.col("chars") < F.col("mc")).cast("int") + (F.col("seen") < F.col("ms")).cast("int") + (F.col("trust") < F.col("mt")).cast("int")
-    voted = cut_lineage(whole.join(top, on).withColumn("weight", 1.0 / (1 + F.col("k") * beaten)))
+    cells = whole.groupBy(*_CELL).agg(F.count("*").alias("n")).repartition(parts, *on).sortWithinPartitions(*on, "seen")
+    cells = cells.mapInArrow(_unbeaten, "a long, b long, field string, seen long, chars long, trust double, unbeaten long")
+    return whole.join(top, on).join(cells, list(_CELL)).withColumn("weight", 1.0 / (1 + F.col("k") * (F.col("k") - F.col("unbeaten"))))
+
+
+def _large_groups(values: DataFrame, large: DataFrame, sentences: set[str], block: int, parts: int) -> DataFrame:
+    """Survivors of groups with more distinct values than one task should hold."""
+    on = ["a", "b", "field"]
+    voted = cut_lineage(_weighted(cut_lineage(_whole_of_group(values, large, sentences, parts)), parts))
     left = voted.select(*on, "value", "weight")
     while True:
         sizes = left.groupBy(*on).agg(F.count("*").alias("n"))
@@ -295,7 +391,7 @@ def survivors(
     some_large = bool(large.limit(1).count())
     small = values.join(large, ["a", "b", "field"], "left_anti") if some_large else values
     out = small.repartition(parts, "a", "b", "field").sortWithinPartitions("a", "b", "field").mapInArrow(_small_groups(model.sentences), _CHOSEN)
-    return out.unionAll(_large_groups(values, large, block, parts).select("a", "b", "field", "value", "id", "best")) if some_large else out
+    return out.unionAll(_large_groups(values, large, model.sentences, block, parts).select("a", "b", "field", "value", "id", "best")) if some_large else out
 
 
 def _stand_ins(equal: DataFrame) -> set[tuple[str, str]]:
