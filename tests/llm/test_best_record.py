@@ -1,4 +1,5 @@
 import datetime as dt
+import functools
 import random
 
 import pytest
@@ -127,3 +128,16 @@ def test_weights_of_large_groups(spark):
         own = [r for r in data if r[0] == g]
         votes = br.weights([{"chars": r[8], "seen": r[5], "trust": r[6]} for r in own])
         assert [got[r[3]] for r in own] == pytest.approx(votes)
+
+
+def test_rare_words_cut_titles(spark, registry, monkeypatch):
+    data = rows(5, pages=60)
+    data += [(5000 + i, f"h.example/r{i}", f"Old {NOUNS[i]} zymoscope", "The kettle is old.", ["A"], T0, "x", 5) for i in range(5)]
+    data += [(6000 + i, f"h.example/r{i}", "A much older and longer zymosc", "The kettle is old.", ["A"], T0, "x", 5) for i in range(2)]
+    df = spark.createDataFrame(data, SCHEMA)
+    fit, got = br.truncation.fit, []
+    for share in (0, 0.005):
+        monkeypatch.setattr(br.truncation, "fit", functools.partial(fit, least_share=share))
+        got.append({tuple(r) for r in br.best_rows(df, registry).collect()})
+    assert got[0] == got[1]
+    assert {(5000, 5000, 5000), (5001, 5001, 5001)} <= got[1]

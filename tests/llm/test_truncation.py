@@ -86,3 +86,16 @@ def test_tables(spark, data):
     assert report["Short", "title"].share > 0.9 * sum(len(t) == 30 for _, e, t, _ in data if e == "Short") / 1500
     assert report["Long", "content"].n_cut == 0
     assert tr.find_truncated(df.limit(0)).count() == 0
+
+
+def test_words_below_the_floor_count(spark, data):
+    rng = random.Random(5)
+    rare = ["zymoscope", "quaverlight", "brindlewick", "ostracine"]
+    own = [(50_000 + i, "Long", f"How the {rng.choice(NOUNS)} gathers a {w}", None) for i in range(8) for w in rare]
+    own += [(60_000 + i, "Long", f"How the garden weighs a {w[:-3]}", f"The kettle shields a {w[:-4]}") for i, w in enumerate(rare)]
+    df = spark.createDataFrame(data + own, "result_id long, engine string, title string, content string").repartition(3)
+    exact, floored = tr.fit(df, least_share=0), tr.fit(df, least_share=0.001)
+    assert exact.floor == 2 and floored.floor > tr.SUPPORT and not set(rare) & floored.words.keys()
+    want, got = (sorted(map(tuple, tr.find_truncated(df, model=m).collect()), key=str) for m in (exact, floored))
+    assert got == want
+    assert {(60_000 + i, "title", "Long", "word") for i in range(4)} <= set(got)

@@ -376,17 +376,25 @@ def survivors(
             names, texts = batch.column("field").to_pylist(), batch.column("value").to_pylist()
             keys = [(t, f, None) for t, f in zip(texts, names, strict=True)]
             some = list(dict.fromkeys(k for k in keys if k[1] != "url"))
-            cut = dict(zip(some, (bool(w) for w in model.judge(some)), strict=True))
+            why, lacking = model.judge_known(some, truncation.facts_of(batch))
+            cut = dict(zip(some, (bool(w) for w in why), strict=True))
+            need = {some[i]: k for i, k in lacking.items()}
             foreign = [k for k in some if not k[0].isascii()]
             bad = {k for k, (g, *_) in zip(foreign, encodings.classify([k[0] for k in foreign], model.garbled), strict=True) if g}
             stand = [k[1] != "url" and ((k[1], k[0]) in standing or k[0].strip().lower() in STAND_INS or not k[0].strip()) for k in keys]
             cuts = [cut.get(k, False) and not s for k, s in zip(keys, stand, strict=True)]
             whole = [not (c or s or k in bad) for k, c, s in zip(keys, cuts, stand, strict=True)]
             flagged = [c and k not in bad for k, c in zip(keys, cuts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole), pa.array(flagged)], names=[*batch.schema.names, "whole", "cut"])
+            needed = pa.array([need.get(k) for k in keys], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), pa.array(whole), pa.array(flagged), needed], names=[*given, "whole", "cut", "need"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in equal.schema.fields) + ", whole boolean, cut boolean"
+    given = equal.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in equal.schema.fields) + ", whole boolean, cut boolean, need array<string>"
     values = cut_lineage(equal.mapInArrow(judge, kinds))
+    if model.floor > 2:
+        again = truncation.with_facts(values.filter("need is not null").select(*given, "need"), model)
+        values = values.filter("need is null").unionAll(cut_lineage(again.mapInArrow(judge, kinds)))
+    values = values.drop("need")
     large = values.groupBy("a", "b", "field").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     some_large = bool(large.limit(1).count())
     small = values.join(large, ["a", "b", "field"], "left_anti") if some_large else values

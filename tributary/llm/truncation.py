@@ -15,12 +15,14 @@ Fields of which most values end like sentences (full stop, question or exclamati
 then at most quotation marks or a note such as a date, a reading time, a tag or a
 bracketed number) are judged by that end; the other fields by trie, context and length.
 
-Counts are made over all values. Vocabulary and contexts keep what makes up at least a
-millionth of all words, so at most a million entries are sent to the workers.
+Counts are made over all values. Words and contexts that make up at least a millionth of all
+are sent to the workers, at most a million entries. Values that rarer ones could decide
+are judged a second time, with what a join of their last words with all counts gives.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -102,44 +104,76 @@ class Model:
     contexts: dict[str, tuple[int, int]]
     garbled: encodings.Model
     trie: ahocorasick.Automaton | None = field(default=None, repr=False)
-    begun: dict[str, bool] = field(default_factory=dict, repr=False)
+    begun: dict[str, bool | None] = field(default_factory=dict, repr=False)
+    #: Words and contexts have at least so many occurrences; ``counts`` has all, on the driver only.
+    floor: int = 2
+    counts: DataFrame | None = field(default=None, repr=False)
+    #: For one call of ``judge``: counts of rarer words and contexts, and the keys that were not there.
+    facts: dict[str, tuple[int, int, int]] = field(default_factory=dict, repr=False)
+    missing: set[str] = field(default_factory=set, repr=False)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "trie": None, "begun": {}}
+        return {**self.__dict__, "trie": None, "begun": {}, "counts": None, "facts": {}, "missing": set()}
+
+    def _look(self, table: dict[str, tuple[int, int]], key: str, least: int, mark: str = "") -> tuple[int, int]:
+        """Occurrences of a word or context; fewer than ``least`` make no difference."""
+        found = table.get(key)
+        if found is None and self.floor > least:
+            if (fact := self.facts.get(mark + key)) is not None:
+                return fact[:2]
+            self.missing.add(mark + key)
+        return found or (0, 0)
 
     def prefix_of_known(self, word: str) -> bool:
         """Whether a word is unknown, or far rarer than words that go on from it, and begins some."""
-        if word not in self.begun:
+        if word not in self.begun or word in self.facts:
             if len(self.begun) > 1 << 17:
                 self.begun.clear()
-            self.begun[word] = self._prefix_of_known(word)
-        return self.begun[word]
-
-    def _prefix_of_known(self, word: str) -> bool:
+            begun = self._prefix_of_known(word)
+            if word in self.facts:
+                return bool(begun)
+            self.begun[word] = begun
+        if self.begun[word] is None:
+            self.missing.add(word)
+        return bool(self.begun[word])
+
+    def _prefix_of_known(self, word: str) -> bool | None:
+        """None if words below the floor can make a difference."""
         if self.trie is None:
             self.trie = ahocorasick.Automaton()
             for w, (inner, last) in self.words.items():
                 if inner + last > 1:
                     self.trie.add_word(w, inner + last)
-        if not word[-1].isalpha() or not self.trie.match(word):
+        if not word[-1].isalpha():
             return False
-        inner, last = self.words.get(word, (0, 0))
-        longer = max((n for w, n in self.trie.items(word) if w != word), default=0)
-        return longer > 1 and inner <= max(1, longer // 30) and last <= max(2, longer // 5)
+
+        def begins(inner: int, last: int, longer: int) -> bool:
+            return longer > 1 and inner <= max(1, longer // 30) and last <= max(2, longer // 5)
+
+        known = self.words.get(word)
+        longer = max((n for w, n in self.trie.items(word) if w != word), default=0) if self.trie.match(word) else 0
+        if (fact := self.facts.get(word)) is not None:
+            return begins(*(known or fact[:2]), max(longer, fact[2]))
+        rare = self.floor - 1
+        most = begins(*(known or (0, 0)), longer or rare)
+        least = begins(*known, longer) if known else begins(rare, 0, longer) and begins(0, rare, longer)
+        return most if most == least or rare < 2 else None
 
     def ends_rarely(self, toks: list[str]) -> bool:
         """Whether the corpus hardly ever ends after these last words."""
         wide, narrow = contexts_of(toks, len(toks) - 1)
         for key, rare in ((narrow, RARE_END), (wide, RARE_END / 5)):
-            inner, last = self.contexts.get(key, (0, 0))
+            inner, last = self._look(self.contexts, key, SUPPORT, "\x00")
             if inner + last >= SUPPORT:
                 return last < rare * (inner + last)
         return False
 
     def nothing_follows(self, toks: list[str]) -> bool:
         """Whether the last word is one that the corpus only has at the end."""
-        inner, last = self.words.get(toks[-1], (0, 0))
-        return toks[-1][-1].isalpha() and last > 1 and inner * 30 < last and not self.prefix_of_known(toks[-1])
+        if not toks[-1][-1].isalpha():
+            return False
+        inner, last = self._look(self.words, toks[-1], 2)
+        return last > 1 and inner * 30 < last and not self.prefix_of_known(toks[-1])
 
     def at_limit(self, value: str, name: str, source: str | None) -> bool:
         for unit, size in self.limits.get((name, source), ()):
@@ -160,7 +194,7 @@ class Model:
                 return "mark"
             if _STOP.search(tail):
                 word = tail.rsplit(None, 1)[-1]
-                inner, last = self.words.get(word, (0, 0))
+                inner, last = self._look(self.words, word, SUPPORT)
                 return "context" if inner >= SUPPORT and last < RARE_END * inner else ""
             if marked(end[-_TAIL:]):
                 return "mark"
@@ -171,26 +205,45 @@ class Model:
         toks = tokens(end)
         if not toks:
             return ""
-        if self.at_limit(value, name, source) and not self.nothing_follows(toks):
-            return "length"
+        if self.at_limit(value, name, source):
+            follows = not self.nothing_follows(toks)
+            if self.missing:
+                self.ends_rarely(toks)  # names what it looks up
+            if follows:
+                return "length"
         if self.prefix_of_known(toks[-1]):
             return "word"
         return "context" if self.ends_rarely(toks) else ""
 
-    def judge(self, values: list[tuple[str, str, str | None]]) -> list[str]:
+    def judge(self, values: list[tuple[str, str, str | None]], facts: dict[str, tuple[int, int, int]] | None = None) -> list[str]:
         """Why each ``value, field, source`` is cut; an empty string for whole ones."""
-        why = [self._judge(v, f, v, s) if v else "" for v, f, s in values]
+        return self.judge_known(values, facts)[0]
+
+    def judge_known(self, values: list[tuple[str, str, str | None]], facts: dict[str, tuple[int, int, int]] | None = None) -> tuple[list[str], dict[int, list[str]]]:
+        """As ``judge``, and for each value that rarer words or contexts could decide, their keys."""
+        self.facts, need, why = facts or {}, {}, []
+
+        def judged(i: int, text: str) -> str:
+            v, f, s = values[i]
+            reason = self._judge(text, f, v, s)
+            if self.missing:
+                need[i] = [*need.get(i, ()), *self.missing]
+                self.missing.clear()
+            return reason
+
+        self.missing.clear()
+        why = [judged(i, v[0]) if v[0] else "" for i, v in enumerate(values)]
         # a garbled value is judged by its restored text
-        some = [i for i, w in enumerate(why) if w and not values[i][0].isascii()]
+        some = [i for i, w in enumerate(why) if (w or i in need) and not values[i][0].isascii()]
         texts = [values[i][0] for i in some]
         for i, (bad, _, restored) in zip(some, encodings.classify(texts, self.garbled), strict=True):
             if not bad:
                 continue
-            v, f, s = values[i]
-            why[i] = self._judge((v if restored is None else restored).rstrip(encodings.REPLACEMENT), f, v, s)
-            if why[i] == "context" or restored is None and why[i] in ("word", "sentence"):
-                why[i] = ""
-        return why
+            reason = judged(i, (values[i][0] if restored is None else restored).rstrip(encodings.REPLACEMENT))
+            if why[i]:
+                why[i] = "" if reason == "context" or restored is None and reason in ("word", "sentence") else reason
+        self.facts = {}
+        return why, need
 
 
 def contexts_of(toks: list[str], at: int) -> tuple[str, str]:
@@ -227,8 +280,8 @@ def _count_labels(texts: dict[str, int], cut: Callable[[str], bool], inner: Coun
             before = own
 
 
-def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -> tuple[dict, dict]:
-    """Counts of words and contexts, inside values and at their ends."""
+def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -> tuple[dict, dict, int, DataFrame]:
+    """Counts of words and contexts, inside values and at their ends; the least count of those here, and all."""
     probe = Model(sentences, limits, {}, {}, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +319,35 @@ def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -
     counts = values.select("field", "source", "value").mapInArrow(run, "k string, inner long, last long")
     counts = cut_lineage(counts.groupBy("k").agg(F.sum("inner").alias("inner"), F.sum("last").alias("last")))
     total = counts.agg(F.sum(F.col("inner") + F.col("last"))).first()[0] or 0
-    rows = counts.filter((F.col("inner") + F.col("last") > 1) & (F.col("inner") + F.col("last") >= least * total)).collect()
+    floor = max(2, math.ceil(least * total))
+    rows = counts.filter(F.col("inner") + F.col("last") >= floor).collect()
     words = {r.k: (r.inner, r["last"]) for r in rows if r.k and r.k[0] != "\x00"}
-    return words, {r.k[1:]: (r.inner, r["last"]) for r in rows if r.k and r.k[0] == "\x00"}
+    return words, {r.k[1:]: (r.inner, r["last"]) for r in rows if r.k and r.k[0] == "\x00"}, floor, counts
+
+
+def with_facts(unsettled: DataFrame, model: Model) -> DataFrame:
+    """Rows of a checkpoint with ``facts``: for each key in ``need`` its counts, and the largest of words below the floor that go on from it."""
+    rows = unsettled.withColumn("_u", F.monotonically_increasing_id())
+    wanted = rows.select("_u", F.explode(F.array_distinct("need")).alias("k"))
+    keys = cut_lineage(wanted.select("k").distinct())
+    n = F.col("inner") + F.col("last")
+    counts = model.counts.filter(n > 1)
+    words = keys.filter(~F.col("k").startswith("\x00")).select(F.col("k").alias("word"), F.char_length("k").alias("size"), F.xxhash64("k").alias("h"))
+    sizes = sorted(r["size"] for r in words.select("size").distinct().collect())
+    rare = counts.filter((n < model.floor) & ~F.col("k").startswith("\x00")).select(F.col("k").alias("long"), n.alias("n"))
+    cuts = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda size: size < F.char_length("long"))
+    begun = rare.select("long", "n", F.explode(cuts).alias("size")).withColumn("h", F.xxhash64(F.expr("substring(long, 1, size)")))
+    longer = begun.join(words, ["h", "size"]).filter(F.col("long").startswith(F.col("word"))).groupBy(F.col("word").alias("k")).agg(F.max("n").alias("longer"))
+    facts = keys.join(counts, "k", "left").join(longer, "k", "left").fillna(0, ["inner", "last", "longer"])
+    found = wanted.join(facts, "k").groupBy("_u").agg(F.collect_list(F.struct("k", "inner", "last", "longer")).alias("facts"))
+    return rows.join(found, "_u").drop("_u", "need")
+
+
+def facts_of(batch: pa.RecordBatch) -> dict[str, tuple[int, int, int]] | None:
+    """What ``with_facts`` found for the values of a batch."""
+    if "facts" not in batch.schema.names:
+        return None
+    return {f["k"]: (f["inner"], f["last"], f["longer"]) for row in batch.column("facts").to_pylist() for f in row}
 
 
 def _limits(values: DataFrame) -> tuple[set[str], dict]:
@@ -313,8 +392,8 @@ def fit(
     """A model of the values of ``fields``; ``sample`` bounds the training sample for garbled text."""
     values = _values(df.select(F.lit(0).alias("_none"), *fields, *([source_col] if source_col else [])), "_none", list(fields), source_col)
     sentences, limits = _limits(values)
-    words, contexts = _count(values, sentences, limits, least_share)
-    return Model(sentences, limits, words, contexts, encodings.train_on(df, fields=list(fields), sample=sample))
+    words, contexts, floor, counts = _count(values, sentences, limits, least_share)
+    return Model(sentences, limits, words, contexts, encodings.train_on(df, fields=list(fields), sample=sample), floor=floor, counts=counts)
 
 
 def find_truncated(
@@ -341,14 +420,23 @@ def find_truncated(
             sources, names, texts = (batch.column(c).to_pylist() for c in ("source", "field", "value"))
             keys = list(zip(texts, names, sources, strict=True))
             different = list(dict.fromkeys(keys))
-            why = dict(zip(different, model.judge(different), strict=True))
-            hit = [i for i, k in enumerate(keys) if why[k]]
+            reasons, lacking = model.judge_known(different, facts_of(batch))
+            why = dict(zip(different, reasons, strict=True))
+            need = {different[i]: k for i, k in lacking.items()}
+            hit = [i for i, k in enumerate(keys) if why[k] or k in need]
             at = pa.array(hit, pa.int32())
-            reasons = pa.array([why[keys[i]] for i in hit], pa.string())
-            columns = [batch.column(c).take(at) for c in ("_id", "field", "source")] + [reasons]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "field", "source", "reason"])
-
-    return values.mapInArrow(run, f"`{id_col}` {kind_}, field string, source string, reason string")
+            columns = [batch.column(c).take(at) for c in ("_id", "field", "source")] + [pa.array([why[keys[i]] for i in hit], pa.string())]
+            columns += [pa.array([keys[i][0] if keys[i] in need else None for i in hit], pa.string()), pa.array([need.get(keys[i]) for i in hit], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "field", "source", "reason", "value", "need"])
+
+    kinds = f"_id {kind_}, field string, source string, reason string, value string, need array<string>"
+    names = [F.col("_id").alias(id_col), "field", "source", "reason"]
+    found = values.mapInArrow(run, kinds)
+    if model.floor == 2:
+        return found.select(*names)
+    found = cut_lineage(found)
+    again = with_facts(found.filter("need is not null"), model).select("_id", "source", "field", "value", "facts")
+    return found.filter("need is null").select(*names).unionAll(again.mapInArrow(run, kinds).select(*names))
 
 
 def report(df: DataFrame, *, fields: tuple[str, ...] = ("title", "content"), source_col: str = "engine") -> DataFrame:
