@@ -22,7 +22,7 @@ def by_key(df):
 
 
 def test_empty(spark):
-    assert fusion.fuse(lists(spark).limit(0) if False else spark.createDataFrame([], SCHEMA)).count() == 0
+    assert fusion.fuse(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_dedup_and_longest(spark):
@@ -84,6 +84,26 @@ def test_ties_are_ordered(spark):
     assert rank.limit_counts(fusion.fuse(df), 2).first().asDict() == {"query_id": 1, "count_before": 3, "count_after": 2}
 
 
+@pytest.mark.parametrize("long_list", [1_000_000, 5])
+def test_positions_of_long_lists(spark, long_list):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i // 300, rng.randint(0, 9), i) for i in range(900)] + [("z", 9, 1, 901)]
+    df = spark.createDataFrame(rows, "e string, q int, s int, i int").repartition(7)
+    got = rank.enumerate_positions(df, by=["e", "q"], order=[F.desc("s"), F.asc("i")], long_list=long_list)
+    assert dict(got.dtypes)["pos"] == "int"
+    want = {}
+    for e, q, s, i in sorted(rows, key=lambda r: (-r[2], r[3])):
+        want.setdefault((e, q), []).append(i)
+    assert sorted((r.i, r.pos) for r in got.collect()) == sorted((i, p) for own in want.values() for p, i in enumerate(own, 1))
+
+
+def test_small_scores_keep_their_order(spark):
+    df = lists(spark, (0, "a", 2, "low", "", ""), (1, "a", 1, "high", "", ""))
+    assert [r.key for r in rank.top_results(fusion.fuse(df, weights(spark, a=1e-12)), 2).collect()] == ["high", "low"]
+
+
 def test_last_registration_counts(spark):
     reg = spark.createDataFrame([(0, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0)], "engine_ord int, name string, weight double")
     assert {r.engine: r.weight for r in fusion.weight_table(reg).collect()} == {"a": 3.0, "b": 2.0}

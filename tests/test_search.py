@@ -147,6 +147,24 @@ def test_proxies(spark):
     assert assign_round_robin(ids, ProxyPool(), key="k").filter("proxy is null").count() == 10
 
 
+@pytest.mark.parametrize("setting", [None, ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k"), ("spark.sql.shuffle.partitions", "23")])
+def test_proxies_of_wide_requests(spark, setting):
+    from pyspark.sql import functions as F
+
+    if setting:
+        spark.conf.set(*setting)
+    try:
+        wide = spark.range(30_000).select(F.hash("id").cast("long").alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("payload")).dropDuplicates(["k"])
+        n = wide.count()
+        pool = ProxyPool([Proxy("a", 1), Proxy("b", 2), Proxy("c", 3)])
+        got = [(r.k, r.proxy) for r in assign_round_robin(wide, pool, key="k").select("k", "proxy").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == n
+    assert all(proxy == f"http://{'abc'[i % 3]}:{i % 3 + 1}" for i, (_, proxy) in enumerate(sorted(got)))
+
+
 def test_cli(spark, tmp_path, capsys):
     args = cli.parser().parse_args(["q", "-e", "ddg,wiki", "-l", "5", "-t", "30", "-f", "json", "-p", "http://h", "-v"])
     assert (args.engines, args.limit, args.timeout, args.format, args.verbose) == ("ddg,wiki", 5, 30, "json", True)

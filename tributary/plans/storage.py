@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back, eagerly.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) is a temporary folder set. Executors may be
-    lost afterwards without recomputation.
+    Executors may be lost afterwards without recomputation.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, set as the checkpoint folder.
+
+    Where it is unset, a session on one machine (tests) gets a temporary one; on a cluster
+    that would be a folder no other machine sees, so it is an error.
+    """
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="ckpt")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import proxy_url
 from tributary.model import SearchError, UrlError
+from tributary.operators.rank import range_positions
 
 #: Protocols and their ports where a url names none.
 DEFAULT_PORTS = {"http": 8080, "https": 443, "socks5": 1080}
@@ -87,19 +88,13 @@ class ProxyPool:
 def assign_round_robin(requests: DataFrame, pool: ProxyPool, *, key: str) -> DataFrame:
     """Requests with ``proxy``, in turn in the order of the unique column ``key``; null if the pool gives none.
 
-    Numbers rows in two steps: within ranges of the key, then by the rows of the ranges
-    before, so that no task sees all rows.
+    Rows are numbered by ranges of the key, so no task sees all of them.
     """
     if not pool.enabled or not len(pool):
         return requests.withColumn("proxy", F.lit(None).cast("string"))
     urls = F.array(*(F.lit(p.url) for p in pool.proxies))
-    placed = requests.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id())
-    local = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = local.join(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before")), "_part")
-    index = F.pmod(F.col("_before") + F.col("_n") - 1, F.lit(len(pool)))
-    return numbered.withColumn("proxy", F.element_at(urls, (index + 1).cast("int"))).drop("_part", "_n", "_before")
+    numbered = range_positions(requests, order=[F.asc(key)], pos="_turn")
+    return numbered.select(*requests.columns, F.element_at(urls, (F.pmod(F.col("_turn") - 1, F.lit(len(pool))) + 1).cast("int")).alias("proxy"))
 
 
 def rendered(proxies: DataFrame) -> DataFrame:

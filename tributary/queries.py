@@ -37,7 +37,7 @@ _KEY = r"lower(regexp_replace(regexp_replace(regexp_replace(url, '^(https://)+',
 _FUSED = f"""
 keyed AS (SELECT *, {_KEY} AS key FROM rows),
 per_engine AS (SELECT query_id, key, engine, any_value(weight) AS w FROM keyed GROUP BY ALL),
-totals AS (SELECT query_id, key, product(w) * count(*) AS w FROM per_engine GROUP BY ALL),
+totals AS (SELECT query_id, key, list_reduce(list(w ORDER BY engine, w), lambda a, x: a * x) * count(*) AS w FROM per_engine GROUP BY ALL),
 names AS (SELECT query_id, key, string_agg(engine, ',' ORDER BY engine) AS engines FROM per_engine GROUP BY ALL),
 fused AS (
   SELECT query_id, key,
@@ -50,7 +50,7 @@ fused AS (
          any_value(engines) AS engines,
          string_agg(CAST(pos AS VARCHAR), ',' ORDER BY engine_ord, pos, row) AS positions,
          round(sum(totals.w / pos), 6) AS score,
-         round(sum(totals.w / pos), 9) AS exact,
+         list_reduce(list(totals.w / pos ORDER BY engine_ord, pos, row), lambda a, x: a + x) AS exact,
          round(any_value(totals.w) * count(*), 6) AS high,
          first(engine_ord ORDER BY engine_ord, pos, row) AS first_ord,
          first(pos ORDER BY engine_ord, pos, row) AS first_pos
@@ -452,12 +452,12 @@ UNION ALL SELECT engine, 'readable', count(*) FROM got WHERE body IN ('fine', 'b
 
 @query
 def round_robin_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proxies handed out in turn, in the order of requests."""
+    """Proxies handed out in turn, in the order of requests, which keep all they carry."""
     pool = proxy.ProxyPool([proxy.Proxy.parse(u) for u in ("http://a.test", "https://u:p@b.test", "socks5://c.test:9")])
-    return proxy.assign_round_robin(table(spark, sf_dir, "ranked_results").select("result_id"), pool, key="result_id")
+    return proxy.assign_round_robin(table(spark, sf_dir, "ranked_results").select("result_id", "query_id", "url", "title", "content"), pool, key="result_id")
 
 
-SQL["round_robin_proxy"] = """SELECT result_id, ['http://a.test:8080', 'https://u:p@b.test:443', 'socks5://c.test:9'][(row_number() OVER (ORDER BY result_id) - 1) % 3 + 1] AS proxy
+SQL["round_robin_proxy"] = """SELECT result_id, query_id, url, title, content, ['http://a.test:8080', 'https://u:p@b.test:443', 'socks5://c.test:9'][(row_number() OVER (ORDER BY result_id) - 1) % 3 + 1] AS proxy
 FROM ranked_results"""
 
 
@@ -513,10 +513,11 @@ SQL["builtin_registry"] = "SELECT * FROM (VALUES " + ", ".join(
 @query
 def first_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions that a source's order gives, from 1."""
-    rows = table(spark, sf_dir, "cached_hits").withColumn("engine", F.element_at("engines", 1))
-    out = tables.ranked_table(rows, query=[F.col("result_type")], engine=F.col("engine"), order=[F.desc("score"), F.asc("hit_id")], limit=10)
+    rows = table(spark, sf_dir, "cached_hits").withColumn("engine", F.explode(F.array_distinct("engines")))
+    out = tables.ranked_table(rows, query=[F.col("result_type")], engine=F.col("engine"), order=[F.desc("score"), F.asc("hit_id")])
     return out.select(F.col("query_id").alias("result_type"), "engine", "pos", "hit_id")
 
 
-SQL["first_lists"] = """SELECT * FROM (SELECT result_type, engines[1] AS engine,
-  CAST(row_number() OVER (PARTITION BY result_type, engines[1] ORDER BY score DESC, hit_id) AS INTEGER) AS pos, hit_id FROM cached_hits) WHERE pos <= 10"""
+SQL["first_lists"] = """SELECT result_type, engine, hit_id,
+  CAST(row_number() OVER (PARTITION BY result_type, engine ORDER BY score DESC, hit_id) AS INTEGER) AS pos
+FROM (SELECT *, unnest(engines) AS engine FROM (SELECT result_type, list_distinct(engines) AS engines, score, hit_id FROM cached_hits))"""

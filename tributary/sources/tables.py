@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.model import EngineConfig
-from tributary.operators.rank import enumerate_positions
+from tributary.operators.rank import enumerate_positions, first_positions
 
 
 class RankedSource(Protocol):
@@ -52,5 +52,4 @@ def ranked_table(df: DataFrame, *, query: Sequence[Column], engine: Column, orde
     for k, c in enumerate(query):
         keyed = keyed.withColumn("query_id" if not k else f"query_id{k}", c)
     by = ["engine", *("query_id" if not k else f"query_id{k}" for k in range(len(query)))]
-    out = enumerate_positions(keyed, by=by, order=order)
-    return out if limit is None else out.filter(F.col("pos") <= limit)
+    return enumerate_positions(keyed, by=by, order=order) if limit is None else first_positions(keyed, limit, by=by, order=order)

@@ -1,8 +1,9 @@
 """Fusion of a stream of ranked rows; an extension, a search itself is one-shot.
 
 Rows arrive in micro-batches. Each batch is appended to a state table in the folder given,
-and the queries it touches are fused again over all their rows, so late and repeated rows
-lead to the same result as one batch would.
+partitioned by a hash of the query, and the queries it touches are fused again over all their
+rows, so late and repeated rows lead to the same result as one batch would. Only the
+partitions of touched queries are read.
 """
 
 from __future__ import annotations
@@ -14,16 +15,22 @@ from pyspark.sql.streaming import StreamingQuery
 from tributary.operators.fuse import fuse
 
 
-def fuse_stream(rows: DataFrame, folder: str, *, weights: DataFrame | None = None, row: str | None = None) -> StreamingQuery:
+#: Partitions of the state table.
+BUCKETS = 256
+
+
+def fuse_stream(rows: DataFrame, folder: str, *, weights: DataFrame | None = None, row: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Starts a query that keeps ``folder/fused/batch=<n>`` with the fused results of each batch's queries."""
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         # a batch that is run again after a failure overwrites its own part
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
-        seen = spark.read.parquet(f"{folder}/rows").filter(F.col("batch") <= n).drop("batch")
-        touched = spark.read.parquet(f"{folder}/rows/batch={n}").select("query_id").distinct()
-        fused = fuse(seen.join(touched, "query_id", "left_semi"), weights, row=row)
+        part = F.pmod(F.xxhash64("query_id"), F.lit(buckets)).cast("int")
+        batch.withColumn("bucket", part).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/batch={n}")
+        touched = spark.read.schema("query_id long, bucket int").parquet(f"{folder}/rows/batch={n}").distinct()
+        at = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most ``buckets``
+        seen = spark.read.parquet(f"{folder}/rows").filter((F.col("batch") <= n) & F.col("bucket").isin(at)).drop("batch", "bucket")
+        fused = fuse(seen.join(touched.select("query_id"), "query_id", "left_semi"), weights, row=row)
         fused.write.mode("overwrite").parquet(f"{folder}/fused/batch={n}")
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
