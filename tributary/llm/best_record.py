@@ -1,29 +1,33 @@
 """The best representative of each group of duplicate records, field by field.
 
 Rows whose urls name one page form a group. For each field the distinct values of a group
-are brought together by *token-level consensus*: values are aligned one after another
-to a profile of columns, heaviest first; every value votes with its weight for its token
-in each column; the consensus is the heaviest token (or gap) of each column, and the
-existing value closest to it is emitted.
+are brought together by *token-level consensus*: the heaviest value is the backbone of the
+profile, all others are aligned to it (longest common subsequence of tokens) and vote with
+their weight for a token, or a gap, in each column, and for what they insert between two
+columns. The consensus has the heaviest token of each column, and the existing value
+closest to it is emitted.
 
 Only whole values vote: not empty, no stand-in for a missing text, not cut off, not
-garbled. A value's weight is ``1 / (1 + k * beaten)``, where ``beaten`` counts the values of
-the group that have more characters, were seen later or come with more trust, and ``k``
-is the number of values. A value that nothing beats outweighs all others together, so
-the consensus is that value; otherwise the votes blend.
-
-Equal values of a group are pre-aggregated before anything else. A group with more than
-``block`` distinct values of a field is reduced in rounds: blocks of its values give their
-consensus, with the weight of the block, until one block is left. Then each value
-is compared with the consensus on its own, so no task ever holds such a group. Which values
-are cut and how many beat a value is the same for groups of every size.
+garbled. A value's weight is ``WEIGHT / (1 + k * beaten)``, rounded down, where ``beaten``
+counts the values of the group that have more characters, were seen later or come with more
+trust, and ``k`` is the number of values. A value that nothing beats outweighs all
+others together, so it wins every column; otherwise the votes blend.
+
+Every value is aligned to the backbone alone and votes are integers, so neither order nor
+blocks of values change the result. Equal values of a group are pre-aggregated before
+anything else. Up to ``block`` distinct values of a field are aligned in one task; for
+larger groups alignments are spread over tasks and the votes are summed by
+column and token: the same result, and no task ever holds such a group.
+
+A stand-in is a text that is on the list below, or one that stands on ``STAND_IN_PAGES``
+pages or more and has no word in common with the longest other text of most of those pages
+that have another.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,10 +37,14 @@ from tributary.llm import encodings, truncation
 from tributary.llm.format_duplicates import url_form
 from tributary.plans.storage import cut_lineage
 
-#: Distinct values of a field that one task aligns.
+#: Distinct values of a field that one task aligns; the result does not depend on it.
 BLOCK = 256
-#: A value that stands on this share of all pages, and on so many, is a stand-in.
-STAND_IN_SHARE, STAND_IN_PAGES = 0.001, 5
+#: The weight of a value that nothing beats.
+WEIGHT = 1 << 32
+#: Pages that a text must stand on to be tested for a stand-in.
+STAND_IN_PAGES = 5
+#: Rows of the registry up to which weights are looked up in a literal map.
+SMALL_REGISTRY = 1_000
 #: Usual stand-ins for a missing text, in lower case.
 STAND_INS = frozenset({"-", "–", "—", "...", "n/a", "none", "null", "untitled", "(no title)", "no title", "loading", "loading...", "error 404", "404 not found"})
 
@@ -49,59 +57,113 @@ def split(value: str) -> list[str]:
     return _SPLIT.findall(value)
 
 
-def consensus(values: list[tuple[str, float]]) -> str:
-    """Weighted vote of the aligned tokens of ``values``, heaviest first."""
+def _rows(a: list[str], b: list[str]) -> list[int]:
+    """For each prefix of ``b`` a bit vector over ``a``: a zero is where the longest common subsequence grows."""
+    places: dict[str, int] = {}
+    for i, t in enumerate(a):
+        places[t] = places.get(t, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v, out = full, []
+    for t in b:
+        u = v & places.get(t, 0)
+        v = ((v + u) | (v - u)) & full
+        out.append(v)
+    return out
+
+
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of ``a`` and ``b`` that a longest common subsequence brings together."""
+    rows = _rows(a, b)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+        elif j > 1 and not rows[j - 2] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _middle(a: list[str], b: list[str]) -> tuple[int, int]:
+    """How many tokens are equal at the begin, and at the end of the rest."""
+    most = min(len(a), len(b))
+    begin = next((n for n in range(most) if a[n] != b[n]), most)
+    end = next((n for n in range(most - begin) if a[-1 - n] != b[-1 - n]), most - begin)
+    return begin, end
+
+
+#: The place of a column within its slot, behind all that is inserted before it.
+_COLUMN = 0xFFFFFFFF
+
+
+def votes_against(backbone: list[str], value: list[str]) -> list[tuple[int, str]]:
+    """``slot, token`` wherever an aligned value differs from the backbone.
+
+    Column ``i`` of the backbone is slot ``i << 32 | _COLUMN``; the n-th token inserted before it
+    is ``i << 32 | n``. An empty token is a gap. Between two matches tokens are paired one to
+    one; what is left over is inserted, or a gap.
+    """
+    begin, end = _middle(backbone, value)
+    a, b = backbone[begin : len(backbone) - end], value[begin : len(value) - end]
+    out: list[tuple[int, str]] = []
+    i = j = 0
+    for k, m in [*(_matches(a, b) if a and b else ()), (len(a), len(b))]:
+        both = min(k - i, m - j)
+        for n in range(both):
+            out.append(((begin + i + n) << 32 | _COLUMN, b[j + n]))
+        for n in range(i + both, k):
+            out.append(((begin + n) << 32 | _COLUMN, ""))
+        for n in range(j + both, m):
+            out.append(((begin + k) << 32 | (n - j - both), b[n]))
+        i, j = k + 1, m + 1
+    return out
+
+
+def rebuilt(backbone: list[str], changes: dict[int, str]) -> str:
+    """The backbone with other tokens in some slots."""
+    slots = {i << 32 | _COLUMN: t for i, t in enumerate(backbone)} | changes
+    return "".join(slots[k] for k in sorted(slots))
+
+
+def consensus(values: list[tuple[str, int]]) -> str:
+    """Weighted vote of the tokens of ``values``, all aligned to the heaviest; of equal ones, to the smallest text."""
     if not values:
         return ""
     order = sorted(values, key=lambda v: (-v[1], v[0]))
-    if order[0][1] > sum(w for _, w in order[1:]):
-        return order[0][0]  # it wins every column
-    columns: list[dict[str, float]] = []
-    total = 0.0
-    for value, weight in order:
-        toks = split(value)
-        heads = [max(c, key=lambda t: (c[t], t)) for c in columns]
-        begin = 0
-        while begin < len(toks) and begin < len(heads) and toks[begin] == heads[begin]:
-            begin += 1
-        end = 0
-        while end < min(len(toks), len(heads)) - begin and toks[-1 - end] == heads[-1 - end]:
-            end += 1
-        out = columns[:begin]
-        for c, t in zip(out, toks, strict=False):
-            c[t] += weight
-        a, b = heads[begin : len(heads) - end], toks[begin : len(toks) - end]
-        for tag, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if a or b else ():
-            span = columns[begin + i : begin + j]
-            fresh = b[k:m]
-            for n in range(max(len(span), len(fresh))):
-                column = span[n] if n < len(span) else {"": total}
-                token = fresh[n] if n < len(fresh) else ""
-                column[token] = column.get(token, 0.0) + weight
-                out.append(column)
-            del tag
-        tail = columns[len(columns) - end :] if end else []
-        for c, t in zip(tail, toks[len(toks) - end :], strict=True):
-            c[t] += weight
-        columns = out + tail
-        total += weight
-    return "".join(max(c, key=lambda t: (c[t], t)) for c in columns)
+    backbone, total = split(order[0][0]), sum(w for _, w in order)
+    slots: dict[int, dict[str, int]] = {}
+    for value, weight in order[1:]:
+        for slot, token in votes_against(backbone, split(value)):
+            column = slots.setdefault(slot, {})
+            column[token] = column.get(token, 0) + weight
+    changes = {}
+    for slot, column in slots.items():
+        weight, token = max((w, t) for t, w in column.items())
+        if weight > total - sum(column.values()):
+            changes[slot] = token
+    return rebuilt(backbone, changes)
 
 
 def distance(value: str, other: str) -> float:
     """0 for equal token sequences, to 1 for ones without a common token."""
     if value == other:
         return 0.0
-    return 1.0 - SequenceMatcher(None, split(value), split(other), autojunk=False).ratio()
+    a, b = split(value), split(other)
+    begin, end = _middle(a, b)
+    x, y = a[begin : len(a) - end], b[begin : len(b) - end]
+    common = len(x) - _rows(x, y)[-1].bit_count() if x and y else 0
+    return 1.0 - 2 * (begin + end + common) / (len(a) + len(b))
 
 
-def weights(rows: list[dict]) -> list[float]:
+def weights(rows: list[dict]) -> list[int]:
     """Votes of whole values: see the module."""
     k = len(rows)
     out = []
     for r in rows:
         beaten = sum(o["chars"] > r["chars"] or o["seen"] > r["seen"] or o["trust"] > r["trust"] for o in rows if o is not r)
-        out.append(1.0 / (1 + k * beaten))
+        out.append(WEIGHT // (1 + k * beaten))
     return out
 
 
@@ -169,33 +231,6 @@ def _small_groups(sentences: set[str]):
     return run
 
 
-def _block_consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block of values: its consensus with the weight of the block."""
-    key, held = None, []
-
-    def row() -> tuple:
-        return (*key[:3], consensus(held), sum(w for _, w in held))
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "field", "value", "weight"])
-
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            own = (r["a"], r["b"], r["field"], r["part"])
-            if own != key:
-                if held:
-                    out.append(row())
-                key, held = own, []
-            held.append((r["value"], r["weight"]))
-        if out:
-            yield emit(out)
-    if held:
-        yield emit([row()])
-
-
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with its value up to the white space at the end."""
     for batch in batches:
@@ -291,45 +326,107 @@ def _weighted(whole: DataFrame, parts: int) -> DataFrame:
     top = whole.groupBy(*on).agg(F.max("chars").alias("mc"), F.max("seen").alias("ms"), F.max("most").alias("mt"), F.count("*").alias("k"))
     cells = whole.groupBy(*_CELL).agg(F.count("*").alias("n")).repartition(parts, *on).sortWithinPartitions(*on, "seen")
     cells = cells.mapInArrow(_unbeaten, "a long, b long, field string, seen long, chars long, trust double, unbeaten long")
-    return whole.join(top, on).join(cells, list(_CELL)).withColumn("weight", 1.0 / (1 + F.col("k") * (F.col("k") - F.col("unbeaten"))))
+    return whole.join(top, on).join(cells, list(_CELL)).withColumn("weight", F.expr(f"{WEIGHT}L div (1 + k * (k - unbeaten))"))
+
+
+def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df`` through a function from the columns of a batch to rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        for batch in given:
+            rows = list(run(*(c.to_pylist() for c in batch.columns)))
+            kinds = kinds or [_KINDS[c.split()[1]] for c in schema.split(", ")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return df.mapInArrow(batches, schema)
+
+
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+
+
+def _votes(a: list, b: list, field: list, value: list, weight: list, backbone: list) -> Iterator[tuple]:
+    for *own, v, w, heaviest in zip(a, b, field, value, weight, backbone, strict=True):
+        if v != heaviest:
+            for slot, token in votes_against(split(heaviest), split(v)):
+                yield *own, slot, token, w
+
 
+def _agreed(a: list, b: list, field: list, backbone: list, changes: list) -> Iterator[tuple]:
+    for *own, heaviest, change in zip(a, b, field, backbone, changes, strict=True):
+        yield *own, rebuilt(split(heaviest), {c["slot"]: c["token"] for c in change or ()})
 
-def _large_groups(values: DataFrame, large: DataFrame, sentences: set[str], block: int, parts: int) -> DataFrame:
+
+def _with_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is the consensus, with the distance of ``value`` in its place."""
+    for batch in batches:
+        far = [distance(v, c) for v, c in zip(batch.column("value").to_pylist(), batch.column("agreed").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(far, pa.float64())], names=[*batch.schema.names[:-1], "far"])
+
+
+def _large_groups(values: DataFrame, large: DataFrame, sentences: set[str], parts: int) -> DataFrame:
     """Survivors of groups with more distinct values than one task should hold."""
     on = ["a", "b", "field"]
     voted = cut_lineage(_weighted(cut_lineage(_whole_of_group(values, large, sentences, parts)), parts))
-    left = voted.select(*on, "value", "weight")
-    while True:
-        sizes = left.groupBy(*on).agg(F.count("*").alias("n"))
-        most = sizes.agg(F.max("n")).first()[0] or 0
-        part = F.pmod(F.xxhash64("value"), F.ceil(F.col("n") / block))
-        blocks = left.join(sizes, on).select(*on, part.alias("part"), "value", "weight")
-        merged = blocks.repartition(parts, *on, "part").sortWithinPartitions(*on, "part")
-        left = cut_lineage(merged.mapInArrow(_block_consensus, "a long, b long, field string, value string, weight double"))
-        if most <= block:
-            break
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far = [distance(v, c) for v, c in zip(batch.column("value").to_pylist(), batch.column("agreed").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(far, pa.float64())], names=[*batch.schema.names[:-1], "far"])
-
-    near = voted.select(*on, "value", "id", "weight", "chars", "seen", "trust", "mc", "ms", "mt").join(left.selectExpr(*on, "value as agreed"), on)
+    heads = voted.groupBy(*on).agg(F.min_by("value", F.struct(-F.col("weight"), "value")).alias("backbone"), F.sum("weight").alias("total"))
+    paired = voted.select(*on, "value", "weight").join(heads.drop("total"), on)
+    votes = _mapped(paired, _votes, "a long, b long, field string, slot long, token string, weight long")
+    # all that one value of a slot and token adds is summed before it travels
+    columns = votes.groupBy(*on, "slot", "token").agg(F.sum("weight").alias("weight")).groupBy(*on, "slot")
+    columns = columns.agg(F.max(F.struct("weight", "token")).alias("top"), F.sum("weight").alias("others"))
+    won = columns.join(heads.select(*on, "total"), on).filter(F.col("top.weight") > F.col("total") - F.col("others"))
+    changes = won.groupBy(*on).agg(F.collect_list(F.struct("slot", F.col("top.token").alias("token"))).alias("changes"))
+    agreed = _mapped(heads.drop("total").join(changes, on, "left"), _agreed, "a long, b long, field string, agreed string")
+    near = voted.select(*on, "value", "id", "weight", "chars", "seen", "trust", "mc", "ms", "mt").join(agreed, on)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.schema.fields[:-1]) + ", far double"
     best = (F.col("chars") >= F.col("mc")) & (F.col("seen") >= F.col("ms")) & (F.col("trust") >= F.col("mt"))
-    near = near.mapInArrow(measure, kinds).withColumn("best", best)
+    near = near.mapInArrow(_with_distance, kinds).withColumn("best", best)
     picked = near.groupBy(*on).agg(F.min_by(F.struct("value", "id", "best"), F.struct("far", -F.col("weight"), "id")).alias("x"))
     return picked.select(*on, "x.value", "x.id", "x.best")
 
 
-def _trust(df: DataFrame, registry: DataFrame) -> DataFrame:
+def _with_trust(df: DataFrame, registry: DataFrame) -> DataFrame:
     """With the largest registry weight among each row's engines; 0 where none is registered."""
-    weight = registry.select(F.col("name").alias("_name"), "weight").filter("weight is not null").groupBy("_name").agg(F.max("weight").alias("_weight"))
+    weight = registry.select(F.col("name").alias("_name"), "weight").filter("_name is not null and weight is not null").groupBy("_name").agg(F.max("weight").alias("_weight"))
+    known = weight.limit(SMALL_REGISTRY + 1).collect()
+    if len(known) <= SMALL_REGISTRY:
+        pairs = F.map_from_arrays(F.array(*(F.lit(r._name) for r in known)).cast("array<string>"), F.array(*(F.lit(float(r._weight)) for r in known)).cast("array<double>"))
+        top = F.array_max(F.transform("engines", lambda e: F.try_element_at(pairs, e)))
+        return df.withColumn("trust", F.coalesce(top, F.lit(0.0)))
     names = df.select("id", F.explode("engines").alias("_name")).distinct()
     most = names.join(weight, "_name").groupBy("id").agg(F.max("_weight").alias("trust"))
     return df.join(most, "id", "left").fillna({"trust": 0.0})
 
 
+def _grouped(df: DataFrame, registry: DataFrame, id_col: str, url_col: str, engines_col: str, seen_col: str, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows with the two keys of their group, and ``a, b, first_id, n`` of the groups of two rows or more."""
+    engines = F.coalesce(F.col(engines_col), F.array().cast("array<string>"))
+    seen = F.coalesce(F.unix_micros(F.col(seen_col).cast("timestamp_ltz")), F.lit(-(1 << 62)))
+    form = url_form(F.col(url_col))
+    rows = (
+        df.filter((F.col(url_col) != "") & F.col(id_col).isNotNull())
+        .select(F.col(id_col).cast("long").alias("id"), form.alias("form"), F.col(url_col).alias("url"), engines.alias("engines"), seen.alias("seen"), *(F.col(f).alias(f"_{f}") for f in fields))
+        .select(F.xxhash64("form").alias("a"), F.xxhash64(F.lit("tributary"), "form").alias("b"), "id", "url", "engines", "seen", *(f"_{f}" for f in fields))
+    )
+    groups = rows.groupBy("a", "b").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    return _with_trust(rows, registry), groups
+
+
+def _stand_ins(equal: DataFrame) -> DataFrame:
+    """``field, value`` of the texts that stand on many pages and say nothing about most of them."""
+    texts = equal.filter("field <> 'url'").select("a", "b", "field", "value", "chars")
+    common = texts.groupBy("field", "value").agg(F.count("*").alias("pages")).filter(F.col("pages") >= STAND_IN_PAGES).select("field", "value")
+    at = texts.join(common, ["field", "value"]).select("a", "b", "field", "value")
+    other = texts.join(common, ["field", "value"], "left_anti").join(at.select("a", "b", "field").distinct(), ["a", "b", "field"], "left_semi")
+    other = other.groupBy("a", "b", "field").agg(F.max_by("value", F.struct("chars", "value")).alias("other"))
+    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"([\u3400-\u9fff])|[^\p{L}\p{N}]+", "$1 ")), " +")
+    unlike = (~F.arrays_overlap(words("value"), words("other"))).cast("int")
+    judged = at.join(other, ["a", "b", "field"]).groupBy("field", "value").agg(F.avg(unlike).alias("unlike"))
+    return judged.filter("unlike > 0.5").select("field", "value", F.lit(True).alias("stand"))
+
+
 def survivors(
     df: DataFrame,
     registry: DataFrame,
@@ -349,27 +446,21 @@ def survivors(
     with a null or empty url or a null id form no group; null values are empty, a null time
     is the earliest. Ties go to the smallest id. Other columns are not read.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    form = url_form(F.col(url_col))
-    engines = F.coalesce(F.col(engines_col), F.array().cast("array<string>"))
-    seen = F.coalesce(F.unix_micros(F.col(seen_col).cast("timestamp_ltz")), F.lit(-(1 << 62)))
-    rows = (
-        df.filter((F.col(url_col) != "") & F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("id"), form.alias("form"), F.col(url_col).alias("url"), engines.alias("engines"), seen.alias("seen"), *(F.col(f).alias(f"_{f}") for f in fields))
-        .select(F.xxhash64("form").alias("a"), F.xxhash64(F.lit("tributary"), "form").alias("b"), "id", "url", "engines", "seen", *(f"_{f}" for f in fields))
-    )
-    several = rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    rows = _trust(rows.join(several, ["a", "b"]), registry)
+    rows, groups = _grouped(df, registry, id_col, url_col, engines_col, seen_col, fields)
+    return _survivors(df, rows, groups, fields, block, with_url)
+
+
+def _survivors(df: DataFrame, rows: DataFrame, groups: DataFrame, fields: tuple[str, ...], block: int, with_url: bool) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = ", ".join([f"'{f}', `_{f}`" for f in fields] + ["'url', url"] * with_url)
     long = rows.selectExpr("a", "b", "id", "seen", "trust", f"stack({len(fields) + with_url}, {named}) as (field, value)").filter("value <> ''")
     # equal values of a group: the row seen last, of these the one with the most trust
-    equal = long.groupBy("a", "b", "field", "value").agg(
-        F.max(F.struct("seen", "trust", (-F.col("id")).alias("i"))).alias("top"), F.max("trust").alias("most"), F.count("*").alias("copies")
-    )
-    equal = equal.selectExpr("a", "b", "field", "value", "-top.i as id", "top.seen as seen", "top.trust as trust", "most", "copies", "cast(char_length(value) as long) as chars")
+    equal = long.groupBy("a", "b", "field", "value").agg(F.max(F.struct("seen", "trust", (-F.col("id")).alias("i"))).alias("top"), F.max("trust").alias("most"))
+    equal = equal.join(groups.select("a", "b"), ["a", "b"])
+    equal = cut_lineage(equal.selectExpr("a", "b", "field", "value", "-top.i as id", "top.seen as seen", "top.trust as trust", "most", "cast(char_length(value) as long) as chars"))
+    given = equal.columns
     model = truncation.fit(df, fields=fields, source_col=None)
-    standing = _stand_ins(equal)
+    marked = equal.join(_stand_ins(equal), ["field", "value"], "left").select(*given, F.coalesce("stand", F.lit(False)).alias("stand"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,62 +472,47 @@ def survivors(
             need = {some[i]: k for i, k in lacking.items()}
             foreign = [k for k in some if not k[0].isascii()]
             bad = {k for k, (g, *_) in zip(foreign, encodings.classify([k[0] for k in foreign], model.garbled), strict=True) if g}
-            stand = [k[1] != "url" and ((k[1], k[0]) in standing or k[0].strip().lower() in STAND_INS or not k[0].strip()) for k in keys]
+            stand = [k[1] != "url" and (x or k[0].strip().lower() in STAND_INS or not k[0].strip()) for k, x in zip(keys, batch.column("stand").to_pylist(), strict=True)]
             cuts = [cut.get(k, False) and not s for k, s in zip(keys, stand, strict=True)]
             whole = [not (c or s or k in bad) for k, c, s in zip(keys, cuts, stand, strict=True)]
             flagged = [c and k not in bad for k, c in zip(keys, cuts, strict=True)]
             needed = pa.array([need.get(k) for k in keys], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in given), pa.array(whole), pa.array(flagged), needed], names=[*given, "whole", "cut", "need"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(whole), pa.array(flagged), needed], names=[*kept, "whole", "cut", "need"])
 
-    given = equal.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in equal.schema.fields) + ", whole boolean, cut boolean, need array<string>"
-    values = cut_lineage(equal.mapInArrow(judge, kinds))
+    kept = marked.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema.fields) + ", whole boolean, cut boolean, need array<string>"
+    values = cut_lineage(marked.mapInArrow(judge, kinds))
     if model.floor > 2:
-        again = truncation.with_facts(values.filter("need is not null").select(*given, "need"), model)
+        again = truncation.with_facts(values.filter("need is not null").select(*kept, "need"), model)
         values = values.filter("need is null").unionAll(cut_lineage(again.mapInArrow(judge, kinds)))
-    values = values.drop("need")
+    values = values.drop("need", "stand")
     large = values.groupBy("a", "b", "field").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     some_large = bool(large.limit(1).count())
     small = values.join(large, ["a", "b", "field"], "left_anti") if some_large else values
     out = small.repartition(parts, "a", "b", "field").sortWithinPartitions("a", "b", "field").mapInArrow(_small_groups(model.sentences), _CHOSEN)
-    return out.unionAll(_large_groups(values, large, model.sentences, block, parts).select("a", "b", "field", "value", "id", "best")) if some_large else out
-
-
-def _stand_ins(equal: DataFrame) -> set[tuple[str, str]]:
-    """Values that stand on many pages; a share of all pages bounds their number."""
-    pages = equal.agg(F.count_distinct("a", "b")).first()[0]
-    least = max(STAND_IN_PAGES, STAND_IN_SHARE * pages)
-    found = equal.filter("field <> 'url'").groupBy("field", "value").agg(F.count("*").alias("n")).filter(F.col("n") >= least).collect()
-    return {(r.field, r.value) for r in found}
+    return out.unionAll(_large_groups(values, large, model.sentences, parts).select("a", "b", "field", "value", "id", "best")) if some_large else out
 
 
-def _firsts(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
-    form = url_form(F.col(url_col))
-    rows = df.filter(F.col(url_col) != "").select(F.col(id_col).cast("long").alias("id"), F.xxhash64(form).alias("a"), F.xxhash64(F.lit("tributary"), form).alias("b"))
-    return rows.groupBy("a", "b").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-
-
-def best_rows(df: DataFrame, registry: DataFrame, *, id_col: str = "hit_id", url_col: str = "url", title: str = "title", content: str = "content", **options) -> DataFrame:
+def best_rows(df: DataFrame, registry: DataFrame, *, id_col: str = "hit_id", url_col: str = "url", title: str = "title", content: str = "content", engines_col: str = "engines", seen_col: str = "seen_at", block: int = BLOCK) -> DataFrame:
     """``first_id, title_id, content_id`` of the groups whose two survivors are best in everything."""
-    chosen = survivors(df, registry, id_col=id_col, url_col=url_col, fields=(title, content), with_url=False, **options).filter("best")
+    rows, groups = _grouped(df, registry, id_col, url_col, engines_col, seen_col, (title, content))
+    chosen = _survivors(df, rows, groups, (title, content), block, False).filter("best")
     ids = [F.max(F.when(F.col("field") == f, F.col("id"))).alias(n) for f, n in ((title, "title_id"), (content, "content_id"))]
     both = chosen.groupBy("a", "b").agg(*ids).filter("title_id is not null and content_id is not null")
-    return both.join(_firsts(df, id_col, url_col), ["a", "b"]).select("first_id", "title_id", "content_id")
+    return both.join(groups, ["a", "b"]).select("first_id", "title_id", "content_id")
 
 
 def best_records(
-    df: DataFrame, registry: DataFrame, *, id_col: str = "hit_id", url_col: str = "url", fields: tuple[str, ...] = ("title", "content"), engines_col: str = "engines", **options
+    df: DataFrame, registry: DataFrame, *, id_col: str = "hit_id", url_col: str = "url", fields: tuple[str, ...] = ("title", "content"), engines_col: str = "engines", seen_col: str = "seen_at", block: int = BLOCK
 ) -> DataFrame:
     """One row per group: ``first_id, n, url, <fields>, engines``; a field without a whole value is null.
 
     ``engines`` is the union over the group, sorted; it has no more entries than there are
     engines.
     """
-    chosen = survivors(df, registry, id_col=id_col, url_col=url_col, fields=fields, engines_col=engines_col, **options)
-    picks = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("url", *fields)]
-    flat = chosen.groupBy("a", "b").agg(*picks)
-    form = url_form(F.col(url_col))
-    named = df.filter(F.col(url_col) != "").select(F.xxhash64(form).alias("a"), F.xxhash64(F.lit("tributary"), form).alias("b"), F.explode_outer(engines_col).alias("e"))
-    union = named.groupBy("a", "b").agg(F.array_sort(F.collect_set("e")).alias("engines"))
-    out = _firsts(df, id_col, url_col).join(union, ["a", "b"]).join(flat, ["a", "b"], "left")
+    rows, groups = _grouped(df, registry, id_col, url_col, engines_col, seen_col, fields)
+    chosen = _survivors(df, rows, groups, fields, block, True)
+    flat = chosen.groupBy("a", "b").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("url", *fields)))
+    union = rows.select("a", "b", F.explode_outer("engines").alias("e")).groupBy("a", "b").agg(F.array_sort(F.collect_set("e")).alias("engines"))
+    out = groups.join(union, ["a", "b"]).join(flat, ["a", "b"], "left")
     return out.select("first_id", "n", "url", *fields, "engines")
