@@ -49,16 +49,67 @@ def test_random_texts_equal_the_plain_tokenizer(encoder, brute):
         assert encoder.encode(text) == brute(text), text
 
 
-def test_transducer_emits_before_the_end(encoder):
-    inner = tokens.PieceTransducer(encoder.ranks)
-    data = ("unbreakable" * 100).encode()
-    early = inner.feed(data)
-    assert early and len(inner._held) <= 2 * inner.lookahead
-    assert early + inner.close() == encoder.library.encode_ordinary(data.decode())
+RUNS = ["unbreakable" * 100, "a" * 3000, "-=" * 900 + "=" * 300, "ÃÂ" * 400, "0123456789" * 150, "温暖的陶罐" * 80]
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_memory_is_bounded_by_the_lookahead(encoder, brute, run):
+    inner = tokens.Transducer(encoder.merges)
+    longest = max(map(len, encoder.merges.ranks))
+    data, out = run.encode(), []
+    for i in range(0, len(data), 7):
+        out += inner.feed(data[i : i + 7])
+        assert inner.held <= encoder.merges.lookahead + longest
+    assert len(out) > 0
+    assert out + inner.close() == brute(run)
+
+
+def test_no_later_byte_reaches_back_beyond_the_lookahead(encoder):
+    rng = random.Random(8)
+    for alphabet in ("ab", "-=", "ÃÂ", "thein", "0123456789", "еинт", "\n "):
+        data = "".join(rng.choice(alphabet) for _ in range(900)).encode()
+        whole = tokens.Transducer(encoder.merges)
+        whole._held = data
+        for n in range(1, len(data) + 1):
+            whole._extend(data, n)
+        ends = {e for e, _ in whole._ids(len(data))}
+        for n in range(1, len(data), 5):
+            assert all(e in ends for e, _ in whole._ids(n) if e <= n - encoder.merges.lookahead)
+
+
+def test_every_id_comes_from_the_transducer(brute):
+    encoder = tokens.StreamingEncoder(PATH, public.PATTERN, remembered=2)
+    text = "one two one two three " * 5
+    assert encoder.encode(text) == brute(text)
+    assert encoder.transduced >= 10  # the memory was emptied again and again
+    encoder = tokens.StreamingEncoder(PATH, public.PATTERN)
+    assert encoder.encode(text) == brute(text) and encoder.transduced == len(set(text.split())) + 2 - 0
+
+
+def test_any_pre_tokenizer(brute):
+    import tiktoken
+
+    pattern = r"\p{L}+|\s|[^\s\p{L}]{1,3}"
+    encoder = tokens.StreamingEncoder(PATH, pattern, piece=16)
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=encoder.merges.ranks, special_tokens={})
+    for text in [*CASES, "x" * 9000 + " 12345678 ..."]:
+        assert encoder.encode(text) == library.encode_ordinary(text)
+
+
+def test_a_second_vocabulary():
+    import tiktoken
+
+    path = tokens.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    encoder = tokens.StreamingEncoder(path, public.PATTERN)
+    library = tiktoken.Encoding("multi", pat_str=public.PATTERN, mergeable_ranks=encoder.merges.ranks, special_tokens={})
+    for text in CASES:
+        assert encoder.encode(text) == library.encode_ordinary(text)
+    with pytest.raises(ValueError, match="every byte"):
+        tokens.Merges({b"a": 0})
 
 
 def test_decoder_is_the_inverse(encoder):
-    decoder = tokens.StreamingDecoder(encoder.ranks)
+    decoder = tokens.StreamingDecoder(encoder.merges.tokens)
     for text in CASES:
         assert "".join(decoder.decode(encoder.encode(text))) == text
 
