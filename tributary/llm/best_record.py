@@ -20,8 +20,8 @@ larger groups alignments are spread over tasks and the votes are summed by
 column and token: the same result, and no task ever holds such a group.
 
 A stand-in is a text that is on the list below, or one that stands on ``STAND_IN_PAGES``
-pages or more and has no word in common with the longest other text of most of those pages
-that have another.
+pages or more and, on most of those that have another text, shares less than half of the words
+(of the shorter one) with the longest of these.
 """
 
 from __future__ import annotations
@@ -421,8 +421,9 @@ def _stand_ins(equal: DataFrame) -> DataFrame:
     at = texts.join(common, ["field", "value"]).select("a", "b", "field", "value")
     other = texts.join(common, ["field", "value"], "left_anti").join(at.select("a", "b", "field").distinct(), ["a", "b", "field"], "left_semi")
     other = other.groupBy("a", "b", "field").agg(F.max_by("value", F.struct("chars", "value")).alias("other"))
-    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"([\u3400-\u9fff])|[^\p{L}\p{N}]+", "$1 ")), " +")
-    unlike = (~F.arrays_overlap(words("value"), words("other"))).cast("int")
+    words = lambda c: F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(c), r"([\u3400-\u9fff])|[^\p{L}\p{N}]+", "$1 ")), " +"))
+    x, y = words("value"), words("other")
+    unlike = (2 * F.size(F.array_intersect(x, y)) < F.least(F.size(x), F.size(y))).cast("int")
     judged = at.join(other, ["a", "b", "field"]).groupBy("field", "value").agg(F.avg(unlike).alias("unlike"))
     return judged.filter("unlike > 0.5").select("field", "value", F.lit(True).alias("stand"))
 
