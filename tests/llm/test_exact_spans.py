@@ -31,14 +31,22 @@ def corpus(seed):
     return docs
 
 
-def test_against_brute_force(spark):
-    for seed, hot in ((1, 50_000), (2, 3)):
+def test_against_brute_force(spark, monkeypatch):
+    for seed, hot, listed in ((1, 50_000, 9), (2, 3, 10_000), (3, 3, 0)):
+        monkeypatch.setattr(exact_spans, "LISTED", listed)
         docs = corpus(seed)
         rows = [(i, t, "x") for i, t in docs.items()] + [(3, docs[3], "again"), (60, None, "x"), (61, "", "x")]
         df = spark.createDataFrame(rows, "doc_id long, text string, id string").repartition(3)
         got = [tuple(r) for r in exact_spans.shared_pairs(df, span=12, minimiser=4, hot=hot).collect()]
         assert len(got) == len(set(got))
         assert set(got) == brute_pairs(docs, 12)
+        first = {}
+        for i, t in sorted(docs.items()):
+            first.setdefault(t, i)
+        classes = {r.doc_id: (r.class_id, r.n) for r in exact_spans.members(df, span=12).collect()}
+        assert classes == {i: (first[t], sum(u == t for u in docs.values())) for i, t in docs.items() if len(t) >= 12}
+        pairs = {tuple(r) for r in exact_spans.class_pairs(df, span=12, minimiser=4, hot=hot).collect()}
+        assert pairs == {p for p in brute_pairs(docs, 12) if all(first[docs[i]] == i for i in p)}
         share = {r.doc_id: r.shared_chars for r in exact_spans.shared_share(df, span=12, minimiser=4, hot=hot).collect()}
         assert share == brute_shared(docs, 12)
 
@@ -55,11 +63,15 @@ def test_long_texts_in_pieces(spark, monkeypatch):
 
     _, ids, starts, before, parts = exact_spans._superkmers(pieces, 12, 5, rolling)
     both = tuple(map(exact_spans._Rolling, exact_spans._MULTIPLIERS))
-    one, two, d, s, c = exact_spans._windows(np.array(ids), np.array(starts), np.array(before), parts, 12, both)
+    d, s, c, part, inner, one, two = exact_spans._windows(np.array(ids), np.array(starts), np.array(before), parts, 12, both)
     texts = {i: t for i, t, *_ in docs}
     assert sorted(zip(d.tolist(), s.tolist(), strict=True)) == sorted((i, x) for i, t in texts.items() for x in range(len(t) - 11))
-    got = {(int(a), int(b)) for x, y in exact_spans._pairs(one, two, d, c) for a, b in zip(x, y, strict=True)}
-    assert got == {(1, 2)}
+    hit = exact_spans._beginnings(one, d, c)
+    a, b = 300, 77
+    while texts[1][a - 1] == texts[2][b - 1]:
+        a, b = a - 1, b - 1
+    assert {(int(d[h]), int(s[h])) for h in hit} == {(1, a), (2, b)}
+    assert {parts[part[h]][inner[h] : inner[h] + 12] for h in hit} == {texts[1][a : a + 12]}
 
 
 def test_empty(spark):

@@ -74,6 +74,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_spans.shared_pairs(table(spark, sf_dir, "documents"))
 
 
+@query
+def p8_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_spans.members(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_spans.class_pairs(table(spark, sf_dir, "documents"))
+
+
 @query
 def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_spans.shared_share(table(spark, sf_dir, "documents"))
@@ -135,6 +145,13 @@ s AS (SELECT doc_id, n, i, substr(text, i, 200) AS s FROM w)"""
 SQL["p8_found"] = _WINDOWS + """, d AS (SELECT DISTINCT doc_id, s FROM s)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.s = b.s AND a.doc_id < b.doc_id"""
 
+SQL["p8_members"] = """SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS n
+FROM documents WHERE length(text) >= 200"""
+
+SQL["p8_class_pairs"] = _WINDOWS + """, f AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text),
+d AS (SELECT DISTINCT doc_id, s FROM s SEMI JOIN f USING (doc_id))
+SELECT DISTINCT a.doc_id AS class_a, b.doc_id AS class_b FROM d a JOIN d b ON a.s = b.s AND a.doc_id < b.doc_id"""
+
 SQL["p8_share"] = _WINDOWS + """, many AS (SELECT s FROM s GROUP BY s HAVING count(DISTINCT doc_id) > 1),
 hit AS (SELECT doc_id, n, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM s SEMI JOIN many USING (s))
 SELECT doc_id, CAST(sum(least(200, coalesce(nxt - i, 200))) AS BIGINT) AS shared_chars, sum(least(200, coalesce(nxt - i, 200))) / CAST(any_value(n) AS DOUBLE) AS share
