@@ -56,10 +56,27 @@ def brute(passage, text, edits):
     return best
 
 
+def test_seeds_cover_every_stretch():
+    rng = random.Random(4)
+    for _ in range(300):
+        item = leaks.Item(1, " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(1, 40))), None)
+        edits = rng.randint(0, 3)
+        size, places = item.seeds(edits, leaks.Counter(item.words))
+        for begin in range(len(item.words) - item.half + 1):
+            own = [p for p in places if begin <= p and p + size <= begin + item.half]
+            assert len(own) >= min(edits + 1, item.half)
+            assert all(b - a >= size for a, b in zip(own, own[1:], strict=False))
+
+
+def test_words_with_and_without_places():
+    for text in ("A b-C 1x", "Größe 温暖ab ½ x²", "e\u0301te\u0301 \u200bzero\u200b ﬁx", "ÅNGSTRÖM İ", ""):
+        assert leaks.plain_words(text) == leaks.words(text)[0]
+
+
 def test_random_against_brute_force():
     rng = random.Random(3)
-    for _ in range(150):
-        passage = [rng.choice("abcdefgh") for _ in range(rng.randint(6, 14))]
+    for _ in range(400):
+        passage = [rng.choice("abcdefgh") for _ in range(rng.randint(4, 22))]
         text = list(passage[rng.randint(0, 3) : rng.randint(5, 14)])
         for _ in range(rng.randint(0, 3)):
             at = rng.randint(0, len(text))
@@ -82,9 +99,14 @@ def test_tables(spark):
     items = spark.createDataFrame([(7, "wo", PASSAGE, "d"), (7, "wo", PASSAGE, "d"), (8, None, None, "d"), (9, "x", "", "d")], "item_id long, query string, passage string, text string")
     got = sorted(((r.doc_id, r.item_id) for r in leaks.find_leaks(docs, items).collect()), key=str)
     assert got == [(1, 7), (1, 7), (None, 7)]
-    blocks = leaks.find_leaks(docs, items.union(spark.createDataFrame([(10, "x", PASSAGE, "d")], items.schema)), patterns=10)
+    blocks = leaks.find_leaks(docs, items.union(spark.createDataFrame([(10, "x", PASSAGE, "d")], items.schema)), part=10)
     assert sorted(((r.doc_id, r.item_id) for r in blocks.collect()), key=str) == sorted([(1, 7), (1, 7), (1, 10), (1, 10), (None, 7), (None, 10)], key=str)
     assert leaks.find_leaks(docs.limit(0), items).count() == 0
+    # of two passages under one id each counts, the larger share is given
+    two = spark.createDataFrame([(7, "x", "etwas ganz anderes " * 5, "d"), (7, None, PASSAGE, "d"), (8, None, PASSAGE + " und noch viel mehr", "d")], items.schema)
+    for part in (10**6, 30):
+        got = {(r.doc_id, r.item_id, round(r.share, 2)) for r in leaks.find_leaks(docs, two, part=part).collect()}
+        assert got == {(1, 7, 1.0), (1, 8, 0.83), (None, 7, 1.0), (None, 8, 0.83)}
     assert leaks.find_leaks(docs, items.limit(0)).count() == 0
     (item,) = leaks.leaked_items(leaks.find_leaks(docs, items)).collect()
     assert (item.item_id, item.n_docs, item.best_share) == (7, 1, 1.0)

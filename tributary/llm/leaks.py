@@ -4,34 +4,52 @@ Texts and items are normalised alike: case folded, accents and punctuation dropp
 parted by one space; each Chinese, Japanese or Korean character is a word of its own.
 
 A document leaks an item if a stretch of at least half of the item's words stands in it in
-order, save for at most ``edits`` words changed, added or left out. Such a stretch of
-``h`` words holds an unbroken run of at least ``(h - edits) / (edits + 1)`` words
-(rounded up), so the automaton holds every run of that many words of every passage, and
-also the queries. One scan of the normalised text gives all places where a run stands;
-each is then extended to both sides with an edit-bounded alignment on words, which decides
-exactly and gives the offsets of the stretch in the original text.
+order, save for at most ``edits`` words changed, added or left out. The automaton holds
+*seeds* of every passage, so placed that each stretch of ``h`` words holds ``edits + 1``
+of them side by side; one of these stands in the text unchanged. Long passages are tiled with seeds of
+``(h + 1) // (edits + 2)`` words, at the offset whose seeds are rarest; of short ones, where a seed is a
+single word, the rarest words are taken until every stretch has enough. (Rarity is that among
+the items; it decides the time taken, not the result.) The automaton holds the queries too.
+
+One scan of the normalised text gives all places where a seed stands. The first seed of every
+unbroken run is extended to both sides with an edit-bounded alignment on words, which
+decides exactly; offsets in the original text are worked out for leaks only.
+
+An automaton holds items of at most ``part`` characters. More items are written as a table of parts to
+the session's shared folder; each task reads its texts once, and the parts one after the other
+for each block of texts. Neither the driver nor a worker ever holds more than one part.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words changed, added or left out at most, and patterns of one automaton.
-EDITS, PATTERNS = 2, 2_000_000
+from tributary.plans.storage import shared_folder
+
+#: Words changed, added or left out at most.
+EDITS = 2
+#: Characters of the items of one automaton, and of the texts that meet all parts together.
+PART, BLOCK = 4_000_000, 32_000_000
 
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}"
 _RUN = regex.compile(r"[\p{L}\p{N}\p{M}\p{Cf}]+")
 _SINGLE = regex.compile(rf"[{_CJK}]")
 _WORD = regex.compile(rf"[{_CJK}]\p{{M}}*|[^{_CJK}]+")
 _IGNORED = regex.compile(r"[\p{M}\p{Cf}]+")
+_ASCII = re.compile(r"[a-z0-9]+")
 
 
 @functools.lru_cache(maxsize=1 << 17)
@@ -58,15 +76,51 @@ def words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return out, spans
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def _of_run(run: str) -> tuple[str, ...]:
+    """The words of an unbroken run with characters beyond ASCII."""
+    parts = _WORD.findall(run) if _SINGLE.search(run) else [run]
+    return tuple(w for w in map(_plain, parts) if w)
+
+
+def plain_words(text: str) -> list[str]:
+    """The normalised words of a text, without their places."""
+    if text.isascii():
+        return _ASCII.findall(text.lower())
+    out: list[str] = []
+    for run in _RUN.findall(text):
+        if run.isascii():
+            out.append(run.lower())
+        else:
+            out += _of_run(run)
+    return out
+
+
 class Item:
     """An evaluation item: its words, and how many of them are a case."""
 
-    def __init__(self, item_id: int, passage: str | None, query: str | None, edits: int) -> None:
+    def __init__(self, item_id: int, passage: str | None, query: str | None) -> None:
         self.id = item_id
-        self.words = words(passage or "")[0]
-        self.query = " ".join(words(query or "")[0])
+        self.words = plain_words(passage or "")
+        self.query = " ".join(plain_words(query or ""))
         self.half = (len(self.words) + 1) // 2
-        self.run = max(1, -(-(self.half - edits) // (edits + 1)))
+
+    def seeds(self, edits: int, count: Counter[str]) -> tuple[int, list[int]]:
+        """Words of a seed, and the places of the seeds."""
+        n, h = len(self.words), self.half
+        size = (h + 1) // (edits + 2)
+        if size > 1:
+            def weight(offset: int) -> int:
+                return sum(min(count[w] for w in self.words[at : at + size]) for at in range(offset, n - size + 1, size))
+
+            return size, list(range(min(range(size), key=weight), n - size + 1, size))
+        chosen: set[int] = set()
+        need = min(edits + 1, h)
+        for at in sorted(range(n), key=lambda i: (count[self.words[i]], i)):
+            # needed by some stretch that holds this word and not yet enough others
+            if any(sum(k in chosen for k in range(b, b + h)) < need for b in range(max(0, at - h + 1), min(at, n - h) + 1)):
+                chosen.add(at)
+        return 1, sorted(chosen)
 
 
 def _reach(a: list[str], b: list[str], edits: int) -> list[tuple[int, int]]:
@@ -110,18 +164,20 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str | None, str | None]], edits: int = EDITS) -> None:
         self.edits = edits
-        self.items = [Item(*x, edits) for x in items]
+        self.items = [Item(*x) for x in items]
         self.automaton = ahocorasick.Automaton()
+        count = Counter(w for item in self.items for w in item.words)
         where: dict[str, list[tuple[int, int]]] = {}
         for n, item in enumerate(self.items):
             if not item.words:
                 continue
-            for at in range(len(item.words) - item.run + 1):
-                where.setdefault(f" {' '.join(item.words[at : at + item.run])} ", []).append((n, at))
+            size, places = item.seeds(edits, count)
+            for at in places:
+                where.setdefault(f" {' '.join(item.words[at : at + size])} ", []).append((n, at))
             if item.query:
                 where.setdefault(f" {item.query} ", []).append((n, -1))
-        for pattern, places in where.items():
-            self.automaton.add_word(pattern, (len(pattern), places))
+        for pattern, own in where.items():
+            self.automaton.add_word(pattern, (len(pattern), pattern.count(" ") - 1, own))
         if where:
             self.automaton.make_automaton()
         self.empty = not where
@@ -142,7 +198,7 @@ class Matcher:
         """``item id, begin, end, share of the passage, query also stands`` of each leak."""
         if self.empty:
             return []
-        own, spans = words(text)
+        own = plain_words(text)
         if not own:
             return []
         line = f" {' '.join(own)} "
@@ -156,18 +212,39 @@ class Matcher:
             at += len(w) + 1
         best: dict[int, tuple[int, int, int]] = {}
         asked: set[int] = set()
-        for end, (size, places) in hits:
+        run: dict[tuple[int, int], int] = {}
+        for end, (size, words_, places) in hits:
             k = index[end - size + 2]
             for n, pos in places:
                 if pos < 0:
                     asked.add(n)
                     continue
+                # a seed right behind another one of its item belongs to the same unbroken run
+                ran, run[n, k - pos] = run.get((n, k - pos)), k + words_
+                if ran == k:
+                    continue
                 got = self._stretch(self.items[n], pos, own, k)
                 if got and (n not in best or got[0] > best[n][0]):
                     best[n] = got
-        return [
-            (self.items[n].id, spans[b][0], spans[e - 1][1], got / len(self.items[n].words), n in asked) for n, (got, b, e) in sorted(best.items())
-        ]
+        if not best:
+            return []
+        spans = words(text)[1]
+        out: dict[int, tuple[int, int, int, float, bool]] = {}
+        for n, (got, b, e) in sorted(best.items()):
+            item = self.items[n]
+            leak = (item.id, spans[b][0], spans[e - 1][1], got / len(item.words), n in asked)
+            if item.id not in out or leak[3] > out[item.id][3]:
+                out[item.id] = leak
+        return list(out.values())
+
+
+@functools.lru_cache(maxsize=1)
+def _part(uri: str, n: int, edits: int) -> Matcher:
+    """The automaton of one part of a table in the shared folder."""
+    place = re.sub("^file:/+", "/", re.sub("^s3[an]:", "s3:", uri))
+    fs, path = pafs.FileSystem.from_uri(place)
+    rows = pads.dataset(f"{path}/part={n}", filesystem=fs, format="parquet").to_table().to_pylist()
+    return Matcher([(r["i"], r["p"], r["q"]) for r in rows], edits)
 
 
 def find_leaks(
@@ -180,46 +257,56 @@ def find_leaks(
     passage_col: str = "passage",
     query_col: str | None = "query",
     edits: int = EDITS,
-    patterns: int = PATTERNS,
+    part: int = PART,
 ) -> DataFrame:
     """``<id_col>, <item_col>, begin, end, share, with_query`` of every leak.
 
     ``begin`` and ``end`` are code points of the original text, ``share`` is the part of
-    the passage's words in the stretch. One row per document and item; documents and
-    items given twice are reported once per row of the document. Null and empty texts
-    and passages have no row. The items are held-out material and small; they are sent
-    to the workers in blocks of about ``patterns`` patterns each, one pass over the
-    documents for each block, so what is sent at once does not grow with their number.
+    the passage's words in the stretch. One row per document and item; documents
+    given twice are reported once per row. Of passages under one item id the one with
+    the largest share counts. Null and empty texts and passages have no row. The documents are read
+    once, whatever the number of items; ``part`` bounds the characters of the items of one automaton.
     """
+    spark = docs.sparkSession
     query = F.lit(None).cast("string") if query_col is None else F.col(query_col)
-    rows = items.select(F.col(item_col).alias("i"), F.col(passage_col).alias("p"), query.alias("q")).filter("p <> ''").dropDuplicates(["i"])
+    rows = items.select(F.col(item_col).alias("i"), F.col(passage_col).alias("p"), query.alias("q")).filter("p <> ''").distinct()
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text <> ''")
     kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((src, "_id"), (rows, "i")))
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, begin long, end long, share double, with_query boolean"
-
-    def scan(block: list[tuple[int, str, str | None]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, edits)
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                found = [(i, *leak) for i, t in zip(ids, texts, strict=True) for leak in matcher.find(t)]
-                if found:
-                    yield pa.RecordBatch.from_pylist(
-                        [dict(zip((id_col, item_col, "begin", "end", "share", "with_query"), f, strict=True)) for f in found]
-                    )
-
-        return src.mapInArrow(run, schema)
-
-    out, block, size = None, [], 0
-    for r in rows.orderBy("i").toLocalIterator():
-        block.append((r.i, r.p, r.q))
-        size += len(r.p) + 1
-        if size > patterns:
-            out = scan(block) if out is None else out.unionAll(scan(block))
-            block, size = [], 0
-    if block or out is None:
-        out = scan(block) if out is None else out.unionAll(scan(block))
-    return out
+    size = rows.agg(F.sum(F.char_length("p") + F.coalesce(F.char_length("q"), F.lit(0)))).first()[0] or 0
+    if size <= part:
+        listed, uri, filled = [(r.i, r.p, r.q) for r in rows.collect()], "", []
+    else:
+        listed, uri, parts = None, f"{shared_folder(spark)}/leaks-{uuid.uuid4().hex}", -(-2 * size // part)
+        own = F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int").alias("part")
+        rows.select("*", own).repartition("part").write.partitionBy("part").parquet(uri)
+        filled = sorted(r.part for r in spark.read.parquet(uri).select("part").distinct().collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = None if listed is None else Matcher(listed, edits)
+
+        def scan(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            matchers = (_part(uri, n, edits) for n in filled) if whole is None else (whole,)
+            found = [(i, *leak) for matcher in matchers for i, t in zip(ids, texts, strict=True) for leak in matcher.find(t)]
+            if found:
+                columns = zip(*found, strict=True)
+                kinds = (id_kind, None, pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[id_col, item_col, "begin", "end", "share", "with_query"])
+
+        ids, texts, held, id_kind = [], [], 0, None
+        for batch in batches:
+            id_kind = batch.schema.field(0).type
+            ids += batch.column(0).to_pylist()
+            more = batch.column(1).to_pylist()
+            texts += more
+            held += sum(map(len, more))
+            if listed is not None or held > BLOCK:
+                yield from scan(ids, texts)
+                ids, texts, held = [], [], 0
+        if texts:
+            yield from scan(ids, texts)
+
+    return src.mapInArrow(run, schema)
 
 
 def leaked_items(leaks: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
