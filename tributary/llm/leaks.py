@@ -11,9 +11,9 @@ of them side by side; one of these stands in the text unchanged. Long passages a
 single word, the rarest words are taken until every stretch has enough. (Rarity is that among
 the items; it decides the time taken, not the result.) The automaton holds the queries too.
 
-One scan of the normalised text gives all places where a seed stands. The first seed of every
-unbroken run is extended to both sides with an edit-bounded alignment on words, which
-decides exactly; offsets in the original text are worked out for leaks only.
+One scan of the normalised text gives all places where a seed stands. Each is extended to
+both sides with an edit-bounded alignment on words, which decides exactly, until the whole
+passage is found; offsets in the original text are worked out for leaks only.
 
 An automaton holds items of at most ``part`` characters. More items are written as a table of parts to
 the session's shared folder; each task reads its texts once, and the parts one after the other
@@ -177,7 +177,7 @@ class Matcher:
             if item.query:
                 where.setdefault(f" {item.query} ", []).append((n, -1))
         for pattern, own in where.items():
-            self.automaton.add_word(pattern, (len(pattern), pattern.count(" ") - 1, own))
+            self.automaton.add_word(pattern, (len(pattern), own))
         if where:
             self.automaton.make_automaton()
         self.empty = not where
@@ -212,17 +212,14 @@ class Matcher:
             at += len(w) + 1
         best: dict[int, tuple[int, int, int]] = {}
         asked: set[int] = set()
-        run: dict[tuple[int, int], int] = {}
-        for end, (size, words_, places) in hits:
+        for end, (size, places) in hits:
             k = index[end - size + 2]
             for n, pos in places:
                 if pos < 0:
                     asked.add(n)
                     continue
-                # a seed right behind another one of its item belongs to the same unbroken run
-                ran, run[n, k - pos] = run.get((n, k - pos)), k + words_
-                if ran == k:
-                    continue
+                if n in best and best[n][0] == len(self.items[n].words):
+                    continue  # the whole passage stands here
                 got = self._stretch(self.items[n], pos, own, k)
                 if got and (n not in best or got[0] > best[n][0]):
                     best[n] = got
