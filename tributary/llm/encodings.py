@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Values in the training sample, buckets of the bigram hash.
@@ -311,14 +311,16 @@ def sample_values(values: DataFrame, size: int, rows: int) -> list[str]:
     ``rows`` is the number of values, near enough; it sets the part of the hash range
     that is collected from, so that a value repeated without end counts once.
     """
-    part = min(1.0, 8 * size / max(rows, 1))
-    bound = int(-(1 << 63) + part * ((1 << 64) - 1))
-    hashed = values.select("value", F.xxhash64("value").alias("h"))
-    if part < 1:
-        hashed = hashed.filter(F.col("h") <= F.lit(bound))
+    hashed = values.filter(sampled(size, rows)).select("value", F.xxhash64("value").alias("h"))
     return [r.value for r in hashed.distinct().orderBy("h", "value").limit(size).collect()]
 
 
+def sampled(size: int, rows: int) -> Column:
+    """Whether ``value`` is in the part of the hash range that a sample of ``size`` is taken from."""
+    part = min(1.0, 8 * size / max(rows, 1))
+    return F.lit(True) if part == 1 else F.xxhash64("value") <= F.lit(int(-(1 << 63) + part * ((1 << 64) - 1)))
+
+
 def train_on(df: DataFrame, *, fields: list[str], sample: int = SAMPLE) -> Model:
     """A model of the values of ``fields``; empty tables give one that finds nothing but lost bytes."""
     rows = df.count() * len(fields)

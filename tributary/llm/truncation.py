@@ -1,23 +1,27 @@
-"""Values that lost their end: a vocabulary trie, sentence ends and length evidence.
+"""Values that lost their end: a vocabulary trie with length evidence, and marks, sentence ends and contexts beside it.
 
-Evidence that a value stops before the end of its text:
+Evidence that a value stops before the end of its text, in the order in which it is given as the reason:
 
-* *a mark*: an ellipsis, a broken tag or entity, an opening bracket or quotation mark, a
-  dash or comma at the end, a word like "[more]", a lone replacement character;
-* *the trie*: the last word is unknown and a proper prefix of known words of the corpus;
-* *the context*: the corpus hardly ever ends after the last words. Words are counted with
-  the one before them, and with the first word of the value, at the end and elsewhere;
+* *word*, by the trie: the last word, behind which a mark may stand, is unknown and a proper
+  prefix of known words of the corpus;
 * *length*: a source whose values pile up at one length (in characters or bytes) cuts
   there. Values of exactly that length are cut unless their last word is one that
-  nothing ever follows.
+  nothing ever follows, or they end like a sentence in a field of sentences;
+* *mark*: an ellipsis, a broken tag or entity, an opening bracket or quotation mark, a
+  dash or comma at the end, a word like "[more]", a lone replacement character;
+* *sentence*: in a field of which most values end like sentences (full stop, question or
+  exclamation mark, then at most quotation marks or a note such as a date, a reading
+  time, a tag or a bracketed number), the value does not end so;
+* *context*: the corpus hardly ever ends after the last words. Words are counted with
+  the one before them, and with the first word of the value, at the end and elsewhere.
 
-Fields of which most values end like sentences (full stop, question or exclamation mark,
-then at most quotation marks or a note such as a date, a reading time, a tag or a
-bracketed number) are judged by that end; the other fields by trie, context and length.
+In fields of sentences a value that ends like one is whole, unless its last word is an
+abbreviation after which the corpus goes on.
 
 Counts are made over all values. Words and contexts that make up at least a millionth of all
 are sent to the workers, at most a million entries. Values that rarer ones could decide
-are judged a second time, with what a join of their last words with all counts gives.
+are judged a second time, with what a join of their last words with all counts gives. The table is
+read three times: lengths, words (with the training sample for garbled text), judgement.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm import encodings
@@ -45,7 +49,7 @@ PEAK_SHARE, PEAK_RATIO, SHORT = 0.01, 4.0, 20
 #: A context after which values end more rarely than this, of so many, is none to end with.
 RARE_END, SUPPORT = 0.02, 30
 #: Share of values with a sentence end from which a field is one of sentences.
-SENTENCES = 0.3
+SENTENCES = 0.5
 
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿︎️]")
 _NOTE = re.compile(r"\s*(?:\[\d+\]|\(\d+\)|#\d+|[—–-]\s*\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|·\s*\d+\s*\w{1,4}\.?)$")
@@ -60,6 +64,8 @@ _MARK = re.compile(
 _OPEN = re.compile(r"[<&\[(]")
 #: Words in brackets at the end that belong to a title, as "(Vasda)" does, start with a capital.
 _NAME = re.compile(r"[(（][A-ZÀ-ÝА-Я]\w*[)）]$")
+_TAG = re.compile("<[a-zA-Z/!][^<>]*$")
+_MORE = re.compile("(?:[\\[(](?!\\d)\\w+[\\])]?|[>›»→]{2})$")
 _DOTS = re.compile("(?:\\.{3}|…)[\"'”’»)\\]]*$")
 #: Characters at the end in which marks, notes and sentence ends are looked for.
 _TAIL = 48
@@ -74,11 +80,19 @@ def trimmed(value: str) -> str:
     return value.rstrip()
 
 
-def marked(tail: str) -> bool:
-    """Whether the end of a value bears a mark of a cut."""
+def marked(end: str) -> bool:
+    """Whether the end of a value bears a mark of a cut; a broken tag may begin anywhere."""
+    if (at := end.rfind("<")) >= 0 and _TAG.match(end, at):
+        return True
+    tail = end[-_TAIL:]
     return not (tail[-1].isalnum() and not _OPEN.search(tail)) and _MARK.search(tail) is not None
 
 
+def unmarked(end: str) -> str:
+    """Without an ellipsis, a word in brackets or arrows at the end."""
+    return _DOTS.sub("", _MORE.sub("", end).rstrip()).rstrip()
+
+
 def tokens(value: str) -> list[str]:
     """Words and signs; each Chinese character is one."""
     out: list[str] = []
@@ -186,35 +200,45 @@ class Model:
         end = trimmed(text)
         if not end:
             return ""
-        tail = end[-_TAIL:]
         if name in self.sentences:
+            tail = end[-_TAIL:]
             if tail[-1] not in ".!?。！？":
                 tail = _NOTE.sub("", tail)
-            if _DOTS.search(tail):
-                return "mark"
-            if _STOP.search(tail):
+            dots = _DOTS.search(tail) is not None
+            if not dots and _STOP.search(tail):
                 word = tail.rsplit(None, 1)[-1]
                 inner, last = self._look(self.words, word, SUPPORT)
                 return "context" if inner >= SUPPORT and last < RARE_END * inner else ""
-            if marked(end[-_TAIL:]):
-                return "mark"
-            toks = tokens(tail)
-            return "word" if toks and self.prefix_of_known(toks[-1]) else "sentence"
-        if marked(tail) and not _NAME.search(tail):
-            return "mark"
+            return self._of_method(end, name, value, source) or ("mark" if dots or marked(end) else "sentence")
+        if self._bears_mark(end, name):
+            return self._of_method(end, name, value, source) or "mark"
         toks = tokens(end)
         if not toks:
             return ""
+        if self.prefix_of_known(toks[-1]):
+            return "word"
         if self.at_limit(value, name, source):
             follows = not self.nothing_follows(toks)
             if self.missing:
                 self.ends_rarely(toks)  # names what it looks up
             if follows:
                 return "length"
-        if self.prefix_of_known(toks[-1]):
-            return "word"
         return "context" if self.ends_rarely(toks) else ""
 
+    def _bears_mark(self, end: str, name: str) -> bool:
+        if not end:
+            return False
+        if name in self.sentences:
+            return _DOTS.search(_NOTE.sub("", end[-_TAIL:])) is not None or marked(end)
+        return marked(end) and not _NAME.search(end[-_TAIL:])
+
+    def _of_method(self, end: str, name: str, value: str, source: str | None) -> str:
+        """Whether trie or length say that a value is cut that other evidence says it of anyway."""
+        toks = tokens(unmarked(end)[-_TAIL:])
+        if toks and self.prefix_of_known(toks[-1]):
+            return "word"
+        return "length" if self.at_limit(value, name, source) else ""
+
     def judge(self, values: list[tuple[str, str, str | None]], facts: dict[str, tuple[int, int, int]] | None = None) -> list[str]:
         """Why each ``value, field, source`` is cut; an empty string for whole ones."""
         return self.judge_known(values, facts)[0]
@@ -239,9 +263,14 @@ class Model:
         for i, (bad, _, restored) in zip(some, encodings.classify(texts, self.garbled), strict=True):
             if not bad:
                 continue
-            reason = judged(i, (values[i][0] if restored is None else restored).rstrip(encodings.REPLACEMENT))
-            if why[i]:
-                why[i] = "" if reason == "context" or restored is None and reason in ("word", "sentence") else reason
+            text = (values[i][0] if restored is None else restored).rstrip(encodings.REPLACEMENT)
+            reason = judged(i, text)
+            if why[i] and restored is None and reason in ("word", "sentence"):
+                # its words are not those of the text
+                v, f, s = values[i]
+                why[i] = "length" if self.at_limit(v, f, s) else "mark" if self._bears_mark(trimmed(text), f) else ""
+            elif why[i]:
+                why[i] = "" if reason == "context" else reason
         self.facts = {}
         return why, need
 
@@ -269,7 +298,7 @@ def _count_labels(texts: dict[str, int], cut: Callable[[str], bool], inner: Coun
         if not toks:
             continue
         first, before = toks[0].lower(), "^"
-        whole = not (marked(end[-_TAIL:]) or cut(text))
+        whole = not (marked(end) or cut(text))
         final = len(toks) - 1
         for at, t in enumerate(toks):
             if at == final and not whole:
@@ -280,13 +309,14 @@ def _count_labels(texts: dict[str, int], cut: Callable[[str], bool], inner: Coun
             before = own
 
 
-def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -> tuple[dict, dict, int, DataFrame]:
-    """Counts of words and contexts, inside values and at their ends; the least count of those here, and all."""
+def _count(values: DataFrame, sentences: set[str], limits: dict, least: float, picked: Column, sample: int) -> tuple[dict, dict, int, DataFrame, list[str]]:
+    """Counts of words and contexts, inside values and at their ends; the least count of those here, and all; and ``sample`` of the values picked."""
     probe = Model(sentences, limits, {}, {}, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner: Counter = Counter()
         last: Counter = Counter()
+        some: set[str] = set()
 
         def flush() -> pa.RecordBatch:
             for counter in (inner, last):
@@ -297,16 +327,19 @@ def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -
                         counter["\x00" + " ".join(k[1:])] += n
                     elif (bare := k.strip(".,;:!?\"'“”„«»()[]…")) != k and bare:
                         counter[bare] += n
-            keys = list(inner.keys() | last.keys())
+            keys = [*(inner.keys() | last.keys()), *(f"\x01{v}" for v in some)]
             columns = [pa.array(keys, pa.string()), pa.array([inner[k] for k in keys], pa.int64()), pa.array([last[k] for k in keys], pa.int64())]
             inner.clear()
             last.clear()
+            some.clear()
             return pa.RecordBatch.from_arrays(columns, names=["k", "inner", "last"])
 
         for batch in batches:
             by: dict[tuple[str, str | None], list[str]] = {}
-            for name, source, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, source, value, pick in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by.setdefault((name, source), []).append(value)
+                if pick:
+                    some.add(value)
             for (name, source), texts in by.items():
                 if name in sentences:
                     _count_sentences(texts, inner, last)
@@ -316,13 +349,16 @@ def _count(values: DataFrame, sentences: set[str], limits: dict, least: float) -
                 yield flush()
         yield flush()
 
-    counts = values.select("field", "source", "value").mapInArrow(run, "k string, inner long, last long")
+    counts = values.select("field", "source", "value", picked).mapInArrow(run, "k string, inner long, last long")
     counts = cut_lineage(counts.groupBy("k").agg(F.sum("inner").alias("inner"), F.sum("last").alias("last")))
+    value = F.expr("substring(k, 2)")
+    chosen = counts.filter(F.col("k").startswith("\x01")).select(value.alias("value")).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+    counts = counts.filter(~F.col("k").startswith("\x01"))
     total = counts.agg(F.sum(F.col("inner") + F.col("last"))).first()[0] or 0
     floor = max(2, math.ceil(least * total))
     rows = counts.filter(F.col("inner") + F.col("last") >= floor).collect()
     words = {r.k: (r.inner, r["last"]) for r in rows if r.k and r.k[0] != "\x00"}
-    return words, {r.k[1:]: (r.inner, r["last"]) for r in rows if r.k and r.k[0] == "\x00"}, floor, counts
+    return words, {r.k[1:]: (r.inner, r["last"]) for r in rows if r.k and r.k[0] == "\x00"}, floor, counts, [r.value for r in chosen]
 
 
 def with_facts(unsettled: DataFrame, model: Model) -> DataFrame:
@@ -350,13 +386,14 @@ def facts_of(batch: pa.RecordBatch) -> dict[str, tuple[int, int, int]] | None:
     return {f["k"]: (f["inner"], f["last"], f["longer"]) for row in batch.column("facts").to_pylist() for f in row}
 
 
-def _limits(values: DataFrame) -> tuple[set[str], dict]:
-    """Fields of sentences, and the cut lengths of each field and source."""
+def _limits(values: DataFrame) -> tuple[set[str], dict, int]:
+    """Fields of sentences, the cut lengths of each field and source, and the number of values."""
     ends = F.substring("value", -8, 8).rlike(r"[.!?。！？][\"'”’»)）\]\s\p{Cf}]*$")
     base = values.groupBy("field", "source", F.char_length("value").alias("chars"), F.octet_length("value").alias("bytes")).agg(
         F.count("*").alias("n"), F.sum(ends.cast("long")).alias("ended")
     )
-    shares = base.groupBy("field").agg((F.sum("ended") / F.sum("n")).alias("share")).collect()
+    base = cut_lineage(base)
+    shares = base.groupBy("field").agg((F.sum("ended") / F.sum("n")).alias("share"), F.sum("n").alias("n")).collect()
     sentences = {r.field for r in shares if r.share >= SENTENCES}
     sizes = base.selectExpr("field", "source", "n", "stack(2, 'chars', chars, 'bytes', bytes) as (unit, size)")
     sizes = sizes.groupBy("field", "source", "unit", "size").agg(F.sum("n").alias("n"))
@@ -371,7 +408,7 @@ def _limits(values: DataFrame) -> tuple[set[str], dict]:
     limits: dict[tuple[str, str | None], list[tuple[str, int]]] = {}
     for r in found:
         limits.setdefault((r.field, r.source), []).append((r.unit, r["size"]))
-    return sentences, limits
+    return sentences, limits, sum(r.n for r in shares)
 
 
 def _values(df: DataFrame, id_col: str, fields: list[str], source_col: str | None) -> DataFrame:
@@ -391,9 +428,10 @@ def fit(
 ) -> Model:
     """A model of the values of ``fields``; ``sample`` bounds the training sample for garbled text."""
     values = _values(df.select(F.lit(0).alias("_none"), *fields, *([source_col] if source_col else [])), "_none", list(fields), source_col)
-    sentences, limits = _limits(values)
-    words, contexts, floor, counts = _count(values, sentences, limits, least_share)
-    return Model(sentences, limits, words, contexts, encodings.train_on(df, fields=list(fields), sample=sample), floor=floor, counts=counts)
+    sentences, limits, n = _limits(values)
+    picked = (encodings.sampled(sample, n) & (F.octet_length("value") > F.char_length("value"))).alias("picked")
+    words, contexts, floor, counts, some = _count(values, sentences, limits, least_share, picked, sample)
+    return Model(sentences, limits, words, contexts, encodings.train(some), floor=floor, counts=counts)
 
 
 def find_truncated(
@@ -406,9 +444,9 @@ def find_truncated(
 ) -> DataFrame:
     """``<id_col>, field, source, reason`` of every cut value.
 
-    ``reason`` is mark, word, sentence, context or length. Null and empty values are none.
-    A garbled value is judged by its restored text, one that can't be restored only by
-    marks and length. Rows are judged by themselves, so repeated ids and rows give
+    ``reason`` is word, length, mark, sentence or context, the first of these that holds. Null and
+    empty values are none. A garbled value that its raw text says is cut is judged by its restored
+    text, one that can't be restored only by marks and length. Rows are judged by themselves, so repeated ids and rows give
     repeated results; other columns are not read.
     """
     model = model or fit(df, fields=fields, source_col=source_col)
@@ -439,11 +477,15 @@ def find_truncated(
     return found.filter("need is null").select(*names).unionAll(again.mapInArrow(run, kinds).select(*names))
 
 
+REASONS = ("word", "length", "mark", "sentence", "context")
+
+
 def report(df: DataFrame, *, fields: tuple[str, ...] = ("title", "content"), source_col: str = "engine") -> DataFrame:
-    """``source, field, n, n_cut, share`` over the non-empty values of each source and field."""
-    cut = find_truncated(df.select(F.lit(0).alias("_none"), source_col, *fields), id_col="_none", fields=fields, source_col=source_col)
-    n = _values(df.select(F.lit(0).alias("_none"), source_col, *fields), "_none", list(fields), source_col).groupBy("source", "field").agg(F.count("*").alias("n"))
-    c = cut.groupBy("source", "field").agg(F.count("*").alias("n_cut")).withColumnsRenamed({"source": "s", "field": "f"})
-    both = n.join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")), "left")
-    n_cut = F.coalesce("n_cut", F.lit(0).cast("long"))
-    return both.select("source", "field", "n", n_cut.alias("n_cut"), (n_cut / F.col("n")).alias("share"))
+    """``source, field, n, n_cut, share`` over the non-empty values of each source and field, and ``n_<reason>`` of the cut ones."""
+    given = df.select(F.lit(0).alias("_none"), source_col, *fields)
+    cut = find_truncated(given, id_col="_none", fields=fields, source_col=source_col)
+    n = _values(given, "_none", list(fields), source_col).groupBy("source", "field").agg(F.count("*").alias("n"))
+    why = [F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in REASONS]
+    c = cut.groupBy("source", "field").agg(F.count("*").alias("n_cut"), *why).withColumnsRenamed({"source": "s", "field": "f"})
+    both = n.join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")), "left").fillna(0, ["n_cut", *(f"n_{r}" for r in REASONS)])
+    return both.select("source", "field", "n", "n_cut", (F.col("n_cut") / F.col("n")).alias("share"), *(f"n_{r}" for r in REASONS))
