@@ -3,11 +3,11 @@ import json
 import pytest
 
 from tributary import cli, present
-from tributary.api import Client, Search
+from tributary.api import Client, Federation
 from tributary.model import EngineConfig, InvalidQuery, NoEngines, SearchError, SearchQuery, SearchTimeout, EngineSuspended
 from tributary.operators import select
-from tributary.plans.search import search_captured
-from tributary.proxy import Proxy, ProxyPool, assign_round_robin
+from tributary.plans.answer import answer_captured
+from tributary.proxy import Proxy, ProxyPool, ProxyProvider, assign_round_robin
 from tributary.sources.adapters import ADAPTERS
 from tributary.sources.tables import FixedSource, TableSource
 
@@ -17,8 +17,8 @@ def source(name, rows=(), error=None, **config):
     return FixedSource(EngineConfig(name=name, **config), rows, error)
 
 
-def searcher(spark, *sources):
-    s = Search(spark)
+def federation(spark, *sources):
+    s = Federation(spark)
     for x in sources:
         s.add_engine(x)
     return s
@@ -29,16 +29,16 @@ ROW = ("https://a.com", "A", "text")
 
 def test_checks(spark):
     with pytest.raises(NoEngines, match="No search engines configured"):
-        Search(spark).search("")
+        Federation(spark).ask("")
     for q in ("   ", "\t\n  "):
         with pytest.raises(InvalidQuery, match="Invalid query: Query cannot be empty"):
-            searcher(spark, source("e1")).search(q)
+            federation(spark, source("e1")).ask(q)
     assert str(SearchTimeout()) == "Search timeout exceeded"
     assert str(EngineSuspended("x", "noon")) == "Engine 'x' is suspended until noon"
 
 
 def test_selection(spark):
-    s = searcher(
+    s = federation(
         spark, source("e1", [ROW]), source("off", [ROW], enabled=False), source("pics", [ROW], categories=["images"]), source("news", [ROW], categories=["news"])
     )
     names = lambda q: [x.config.name for _, x in s.select(q)]
@@ -46,36 +46,69 @@ def test_selection(spark):
     assert names(SearchQuery("q", categories=["images"])) == ["pics"]
     assert names(SearchQuery("q", categories=["general", "news"])) == ["e1", "news"]
     assert names(SearchQuery("q", engines=["pics", "off"])) == ["pics"]
-    assert s.search(SearchQuery("q", engines=["none"])).count == 0
+    assert s.ask(SearchQuery("q", engines=["none"])).count == 0
 
 
 def test_failures_are_isolated(spark):
-    r = searcher(spark, source("ok", [ROW]), source("bad", error="Engine failed")).search("q")
+    r = federation(spark, source("ok", [ROW]), source("bad", error="Engine failed")).ask("q")
     assert [x.url for x in r.results] == ["https://a.com"] and [(e.engine, e.message) for e in r.errors] == [("bad", "Engine failed")]
-    r = searcher(spark, source("b1", error="x"), source("b2", error="y")).search("q")
+    r = federation(spark, source("b1", error="x"), source("b2", error="y")).ask("q")
     assert (r.count, len(r.errors)) == (0, 2)
 
 
 def test_counts_and_output(spark):
     rows = [(f"https://h/{i}", f"T{i}", "中" * 100 if i == 0 else "") for i in range(5)]
-    s = searcher(spark, source("e1", rows), source("e2", rows[:2], weight=2.0))
-    r = s.search("q", limit=2)
+    s = federation(spark, source("e1", rows), source("e2", rows[:2], weight=2.0))
+    r = s.ask("q", limit=2)
     assert (r.count, len(r.results)) == (5, 2)
     assert [x.score for x in r.results] == [8.0, 4.0]
     assert present.render(r, "compact") == "T0\thttps://h/0\nT1\thttps://h/1"
-    assert json.loads(present.render(r, "json"))[0]["engines"] == ["e1", "e2"]
+    first = json.loads(present.render(r, "json"))[0]
+    assert (first["engines"], first["positions"]) == (["e1", "e2"], [1, 1])
+    assert present.render(r, "text", "q").startswith('\nSearch results for "q" (5 results in ')
     text = present.render(r, "text", "q")
-    assert "1. T0\n   URL: https://h/0\n   " + "中" * 50 + "...\n   Engines: {e1, e2} | Score: 8.00" in text
+    assert "1. T0\n   URL: https://h/0\n   " + "中" * 50 + '...\n   Engines: {"e1", "e2"} | Score: 8.00' in text
 
 
 def test_client(spark):
-    c = Client(spark, {"ddg": source("D", [ROW, ("https://b.com", "B", "")])})
+    c = Client(spark, {"ddg": source("D", [ROW, ("https://b.com", "B", "")]), "sogou": source("S", [("https://s.com", "S", "")]), "g": source("G", [ROW])})
     r = c.search("q", limit=1)
     assert r.count == len(r.results) == 1
     assert c.search("q", engines=["duckduckgo"]).count == 2
     for bad in ({"query": " "}, {"query": "q", "engines": ["zz"]}, {"query": "q", "engines": []}):
         with pytest.raises(SearchError):
             c.search(**bad)
+    with pytest.raises(SearchError, match=r"^Query cannot be empty$"):
+        c.search(" ")
+    with pytest.raises(SearchError, match=r"^Search failed: Unknown engine 'g'. Available: ddg, brave, wiki, sogou, 360$"):
+        c.search("q", engines=["g"])
+    assert c.search("q", engines=["sogou", "ddg"]).count == 3
+
+
+def test_a_source_that_fails_when_it_is_read(spark):
+    from pyspark.sql import functions as F
+
+    class Late:
+        config = EngineConfig("late", "late", ["general"])
+
+        def rank(self, queries):
+            @F.udf("string")
+            def broken(x):
+                raise ValueError("no such page")
+
+            return queries.select("query_id", F.lit(1).alias("pos"), broken("query").alias("url"), F.lit("t").alias("title"), F.lit("").alias("content"))
+
+    r = federation(spark, Late(), source("ok", [ROW])).ask("q")
+    assert [x.url for x in r.results] == ["https://a.com"] and [(e.engine, e.message) for e in r.errors] == [("late", "no such page")]
+    r = federation(spark, Late()).ask("q")
+    assert (r.count, r.results, len(r.errors)) == (0, [], 1)
+
+
+def test_refused(spark):
+    q = spark.createDataFrame([(1, "x"), (2, " "), (3, None)], "query_id long, query string")
+    reg = spark.range(1)
+    assert {tuple(r) for r in select.refused(q, reg).collect()} == {(2, "Invalid query: Query cannot be empty"), (3, "Invalid query: Query cannot be empty")}
+    assert select.refused(q, reg.limit(0)).count() == 3
 
 
 def test_table_source(spark):
@@ -83,7 +116,7 @@ def test_table_source(spark):
     from pyspark.sql import functions as F
 
     t = TableSource(EngineConfig("t", "t", ["general"]), rows, [F.desc("s")])
-    assert [r.url for r in searcher(spark, t).search("q").results] == ["u2", "u1"]
+    assert [r.url for r in federation(spark, t).ask("q").results] == ["u2", "u1"]
 
 
 def test_json_forms():
@@ -107,7 +140,7 @@ def test_captured_search(spark):
     ddg = '<div class="result"><h2 class="result__title"><a href="https://k.com/">K</a></h2></div>'
     bodies = {"DuckDuckGo": ddg, "Wikipedia": '{"query":{"search":[{"title":"K","snippet":"s","pageid":1}]}}', "Google": "recaptcha"}
     rows = [(r.request_url, bodies[r.engine]) for r in requests(q).collect() if r.engine in bodies]
-    fused, errors = search_captured(q, spark.createDataFrame(rows, "request_url string, body string"))
+    fused, errors = answer_captured(q, spark.createDataFrame(rows, "request_url string, body string"))
     got = {(r.query_id, r.key): r.score for r in fused.collect()}
     assert got == {(1, "k.com"): 1.0, (1, "en.wikipedia.org/wiki/k"): 1.2}
     assert {(r.query_id, r.engine) for r in errors.collect() if "CAPTCHA" in r.message} == {(1, "Google"), (3, "Google")}
@@ -137,6 +170,9 @@ def test_proxies(spark):
     pool.remove("a", 8081)
     pool.remove("zz", 1)
     assert len(pool) == 2
+    fixed = ProxyProvider.static([Proxy("s", 1)])
+    assert fixed.refresh_interval == float("inf") and ProxyProvider(list).refresh_interval == 300
+    assert [p.host for p in fixed.fetch()] == ["s"]
     given = ProxyPool(provider=lambda: [Proxy("p", 1)])
     assert given.enabled and given.get() is None
     given.refresh()

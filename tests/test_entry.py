@@ -17,7 +17,7 @@ def test_the_core_does_without_the_subpackage():
 import sys
 sys.modules["tributary.llm"] = None
 import __spark_entry__ as e
-import tributary.api, tributary.cli, tributary.streaming.fusion, tributary.plans.search
+import tributary.api, tributary.cli, tributary.streaming.fusion, tributary.plans.answer
 assert e.queries() and not [q for q in e.queries() if q.startswith("p1_")]
 assert not [m for m in sys.modules if m.startswith("tributary.llm.")]
 """

@@ -104,6 +104,15 @@ def test_small_scores_keep_their_order(spark):
     assert [r.key for r in rank.top_results(fusion.fuse(df, weights(spark, a=1e-12)), 2).collect()] == ["high", "low"]
 
 
+def test_what_rows_already_carry(spark):
+    rows = [(1, 0, "a", 2, "u", "t", "c", ["x", "b"], [7]), (1, 1, "b", 1, "u", "t", "c", ["z"], [9]), (1, 1, "b", 3, "v", "t", "c", None, None)]
+    df = spark.createDataFrame(rows, "query_id long, engine_ord int, engine string, pos int, url string, title string, content string, seed_engines array<string>, seed_positions array<int>")
+    got = by_key(fusion.fuse(df, weights(spark, a=2.0, b=3.0, x=0.5)))
+    assert (got["u"].engines, got["u"].positions) == (["a", "b", "x"], [7, 2, 1])
+    assert got["u"].score == pytest.approx(2 * 3 * 0.5 * 3 * (1 / 7 + 1 / 2 + 1))
+    assert (got["v"].engines, got["v"].positions) == (["b"], [3])
+
+
 def test_last_registration_counts(spark):
     reg = spark.createDataFrame([(0, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0)], "engine_ord int, name string, weight double")
     assert {r.engine: r.weight for r in fusion.weight_table(reg).collect()} == {"a": 3.0, "b": 2.0}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from functools import reduce
 
@@ -11,12 +12,13 @@ from pyspark.sql import functions as F
 from tributary.model import QUERY, EngineErrorInfo, SearchError, SearchQuery, SearchResponse, SearchResult
 from tributary.operators.fuse import fuse
 from tributary.operators.rank import ordered
-from tributary.operators.select import check_search, resolve_aliases
-from tributary.proxy import ProxyPool
+from tributary.operators.select import check_query, resolve_aliases
+from tributary.plans.storage import cut_lineage
+from tributary.proxy import Proxy, ProxyPool
 from tributary.sources.tables import RankedSource
 
 
-class Search:
+class Federation:
     """Sources in order of registration; a weight belongs to a display name, the last one given counts."""
 
     def __init__(self, spark: SparkSession) -> None:
@@ -41,22 +43,23 @@ class Search:
 
     def fused(self, query: SearchQuery) -> tuple[DataFrame | None, list[EngineErrorInfo]]:
         """The fused results as a table, and the sources that failed."""
-        check_search(query.query, len(self.sources))
+        check_query(query.query, len(self.sources))
         asked = self.spark.createDataFrame([(0, query.query, query.categories, query.language, query.safesearch, query.page, query.time_range, query.engines)], QUERY)
         lists, errors = [], []
         for k, source in self.select(query):
             try:
-                ranked = source.rank(asked)
+                # run here, so that a source that fails only when it is read costs the others nothing
+                ranked = cut_lineage(source.rank(asked))
                 lists.append(ranked.withColumns({"engine": F.lit(source.config.name), "engine_ord": F.lit(k)}))
             except Exception as e:  # noqa: BLE001 - one failed source never fails the search
-                errors.append(EngineErrorInfo(source.config.name, str(e)))
+                errors.append(EngineErrorInfo(source.config.name, reason(e)))
         if not lists:
             return None, errors
         named = {s.config.name: float(s.config.weight) for s in self.sources}
         weights = self.spark.createDataFrame(list(named.items()), "engine string, weight double")
         return fuse(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lists), weights), errors
 
-    def search(self, query: SearchQuery | str, *, limit: int | None = None, count_before_limit: bool = True) -> SearchResponse:
+    def ask(self, query: SearchQuery | str, *, limit: int | None = None, count_before_limit: bool = True) -> SearchResponse:
         """Runs one query. ``count`` is taken before the limit, or after it as in the client libraries."""
         began = time.monotonic()
         query = SearchQuery(query) if isinstance(query, str) else query
@@ -65,31 +68,52 @@ class Search:
         if fused is not None:
             best = fused.orderBy(*ordered(fused))
             rows = (best if limit is None else best.limit(limit)).collect()
-            names = ("url", "title", "content", "result_type", "engines", "score", "thumbnail", "published_date")
+            names = ("url", "title", "content", "result_type", "engines", "positions", "score", "thumbnail", "published_date")
             response.results = [SearchResult(**{n: r[n] for n in names}) for r in rows]
             response.count = fused.count() if count_before_limit and limit is not None else len(rows)
         response.duration_ms = int((time.monotonic() - began) * 1000)
         return response
 
 
+def reason(e: Exception) -> str:
+    """What went wrong in a source: of an error raised in a Python worker, its own last line."""
+    text = str(e).strip()
+    lines = [x.strip() for x in text.split("JVM stacktrace")[0].splitlines() if x.strip() and not x.strip().startswith("at ")]
+    own = [x for x in lines if re.match(r"\w+(\.\w+)*(Error|Exception): ", x)]
+    return re.sub(r"^[\w.]+: ", "", own[-1]) if own else (lines[0] if lines else type(e).__name__)
+
+
+#: The sources that clients know, and those they ask by default.
+CLIENT_ENGINES, CLIENT_DEFAULT, CLIENT_TIMEOUT = ("ddg", "brave", "wiki", "sogou", "360"), ("ddg", "wiki"), 10
+
+
 class Client:
-    """As the client libraries: checks first, refuses unknown sources, counts after the limit."""
+    """As the client libraries: checks first, refuses unknown sources, counts after the limit.
+
+    ``sources`` are those of the five HTTP sources that are at hand, by shortcut.
+    """
 
     def __init__(self, spark: SparkSession, sources: dict[str, RankedSource]) -> None:
-        self.spark, self.sources = spark, sources
+        self.spark, self.sources = spark, {k: v for k, v in sources.items() if k in CLIENT_ENGINES}
 
     def search(self, query: str, *, engines: list[str] | None = None, limit: int | None = None, timeout: int | None = None, proxy: str | None = None) -> SearchResponse:
         if not query.strip():
             raise SearchError("Query cannot be empty")
-        names = list(self.sources) if engines is None else resolve_aliases(engines)
-        unknown = [n for n in names if n not in self.sources]
-        if unknown:
-            raise SearchError(f"Unknown engine: {unknown[0]}. Available: {', '.join(self.sources)}")
-        if not names:
-            raise SearchError("No valid engines specified")
-        search = Search(self.spark)
-        for n in names:
-            search.add_engine(self.sources[n])
-        if timeout is not None:
-            search.timeout = timeout
-        return search.search(query, limit=limit, count_before_limit=False)
+        if proxy is not None:
+            Proxy.parse(proxy)
+        given_names = list(CLIENT_DEFAULT) if engines is None else engines
+        names = resolve_aliases(given_names)
+        try:
+            for given, n in zip(given_names, names, strict=True):
+                if n not in CLIENT_ENGINES:
+                    raise SearchError(f"Unknown engine '{given}'. Available: {', '.join(CLIENT_ENGINES)}")
+            if not names:
+                raise SearchError("No valid engines specified")
+            federation = Federation(self.spark)
+            for n in names:
+                if n in self.sources:
+                    federation.add_engine(self.sources[n])
+            federation.timeout = CLIENT_TIMEOUT if timeout is None else timeout
+            return federation.ask(query, limit=limit, count_before_limit=False)
+        except SearchError as e:
+            raise SearchError(f"Search failed: {e}") from e

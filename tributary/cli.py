@@ -1,4 +1,4 @@
-"""Command line: search captured pages, list the sources."""
+"""Command line: one query over captured pages, the list of sources."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tributary import present
-from tributary.api import Search
+from tributary.api import Federation
 from tributary.model import OUTPUT_FORMATS, SearchQuery
 from tributary.operators.select import resolve_aliases
 from tributary.proxy import Proxy
@@ -27,16 +27,17 @@ class CapturedSource:
 
         asked = queries.select("query_id", F.lit(self.config.name).alias("engine"), request_url(self.adapter, F.col("query")).alias("request_url"))
         got = page_source.captured(asked, self.pages)
-        errors = page_source.page_errors(got).collect()
+        errors = page_source.page_errors(got, {self.config.shortcut: self.adapter}).collect()
         if errors:
             raise RuntimeError(errors[0].message)
-        rows = page_source.extract_json(got) if self.adapter.json else page_source.extract_html(got)
+        own = {self.config.shortcut: self.adapter}
+        rows = page_source.extract_json(got, own) if self.adapter.json else page_source.extract_html(got, own)
         return rows.drop("engine")
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="tributary", description="Meta-search over captured result pages.")
-    p.add_argument("query", nargs="?", help="what to search, or 'engines' to list the sources")
+    p = argparse.ArgumentParser(prog="tributary", description="Rank fusion over captured result pages.")
+    p.add_argument("query", nargs="?", help="what to ask, or 'engines' to list the sources")
     p.add_argument("-e", "--engines", default="ddg,wiki")
     p.add_argument("-l", "--limit", type=int, default=10)
     p.add_argument("-t", "--timeout", type=int, default=10)
@@ -74,11 +75,11 @@ def main(argv: list[str] | None = None) -> int:
         print("No captured pages given (--pages)", file=sys.stderr)
         return 1
     spark = SparkSession.builder.getOrCreate()
-    search = Search(spark)
+    federation = Federation(spark)
     pages = spark.read.parquet(args.pages)
     for n in names:
-        search.add_engine(CapturedSource(ADAPTERS[n], pages))
-    response = search.search(SearchQuery(args.query), limit=args.limit)
+        federation.add_engine(CapturedSource(ADAPTERS[n], pages))
+    response = federation.ask(SearchQuery(args.query), limit=args.limit)
     for e in response.errors:
         print(f"Warning: {e.engine} engine failed: {e.message}", file=sys.stderr)
     print(present.render(response, args.format, args.query))

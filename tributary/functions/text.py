@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tributary.model import BrowserError, HttpError, InvalidQuery, NoEngines, ParseError, SearchTimeout, UrlError
+
 
 def normalized_url(url: Column) -> Column:
     """Key of a page: repeated ``https://``, then ``http://`` prefixes and trailing slashes removed, lower case."""
@@ -61,9 +63,20 @@ def preferred_link(first: Column, second: Column) -> Column:
     return F.coalesce(first, second, F.lit(""))
 
 
-def wiki_url(title: Column, language: str = "en") -> Column:
-    """Article address of a title; blanks become underscores, nothing is encoded."""
-    return F.concat(F.lit(f"https://{language}.wikipedia.org/wiki/"), F.replace(title, F.lit(" "), F.lit("_")))
+def article_url(title: Column, page: str) -> Column:
+    """Address of a title, put where {title} stands in ``page``; blanks become underscores, nothing is encoded."""
+    before, after = page.split("{title}")
+    return F.concat(F.lit(before), F.replace(title, F.lit(" "), F.lit("_")), F.lit(after))
+
+
+def error_text(kind: Column, detail: Column) -> Column:
+    """Message of an error by the name of its class; a null detail is empty."""
+    text = F.lit(None).cast("string")
+    for c in (HttpError, ParseError, SearchTimeout, NoEngines, InvalidQuery, UrlError, BrowserError):
+        before, *after = c.template.split("{}")
+        said = F.concat(F.lit(before), F.coalesce(detail, F.lit("")), F.lit(after[0])) if after else F.lit(before)
+        text = F.when(kind == c.__name__, said).otherwise(text)
+    return text
 
 
 def truncate_bytes(text: Column, size: int) -> Column:
@@ -78,7 +91,16 @@ def is_blank(text: Column) -> Column:
 
 
 def score_text(score: Column) -> Column:
-    return F.format_string("%.2f", score)
+    """Two places, rounded by the exact value of the double, a tie to the even digit."""
+    x = F.abs(score)
+    high = x.cast("float").cast("double")  # 200 times either part is exact
+    n = F.floor(x * 100)
+    over = lambda m: (high * 200 - (2 * m + 1)) + (x - high) * 200
+    n = F.when(over(n) < -1, n - 1).otherwise(n)
+    n = F.when((over(n) > 0) | ((over(n) == 0) & (n % 2 == 1)), n + 1).otherwise(n)
+    sign = F.when(score < 0, F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(x < 1e12, text).otherwise(F.format_string("%.2f", score))
 
 
 def proxy_url(protocol: Column, host: Column, port: Column, username: Column, password: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Rows, domains and errors of a meta-search."""
+"""Rows, domains and errors of a federation of ranked sources."""
 
 from __future__ import annotations
 
@@ -171,6 +171,7 @@ class SearchResult:
     content: str = ""
     result_type: str = "web"
     engines: list[str] = field(default_factory=list)
+    positions: list[int] = field(default_factory=list)
     score: float = 0.0
     thumbnail: str | None = None
     published_date: str | None = None

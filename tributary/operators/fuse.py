@@ -14,6 +14,7 @@ result depends neither on partitioning nor on input order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def consensus_weight(pairs: Column) -> Column:
     return F.aggregate(F.array_sort(pairs), F.lit(1.0), lambda a, s: a * s["weight"]) * F.size(pairs)
 
 
+SEEDS = ("seed_engines", "seed_positions")
+
+
+def _with_seeds(out: DataFrame, weights: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    """Adds the engines that the first row of each key already carried to those that found it."""
+    named = out.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "key"])), F.explode("seed_engines").alias("engine")).filter("engine is not null")
+    carried = with_weights(named, weights).groupBy(*(f"_k{i}" for i in range(len(by) + 1))).agg(F.collect_set(F.struct("engine", "weight")).alias("_carried"))
+    on = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "key"])))
+    both = F.when(F.col("_carried").isNull(), F.col("found")).otherwise(F.array_union("found", "_carried"))
+    return out.join(carried, on, "left").withColumn("found", both)
+
+
 def fuse(results: DataFrame, weights: DataFrame | None = None, *, priority: str = "normal", by: Sequence[str] = ("query_id",), row: str | None = None) -> DataFrame:
     """Fused results: ``<by>, key, url, title, content, result_type, thumbnail, published_date,
     engines, positions, score, first_ord, first_pos``.
@@ -51,7 +64,8 @@ def fuse(results: DataFrame, weights: DataFrame | None = None, *, priority: str
     ``results`` has ``engine_ord, engine, pos, url, title, content`` and optionally
     ``result_type, thumbnail, published_date``; ``row`` names a column that orders rows of
     equal ``(engine_ord, pos)``. Rows with a null url or position are left out; null titles
-    and contents count as empty.
+    and contents count as empty. ``seed_engines array<string>`` and ``seed_positions array<int>`` are
+    what a row already carries: those of the first row of a key count as found before all others.
     """
     optional = {"result_type": F.lit("web"), "thumbnail": F.lit(None).cast("string"), "published_date": F.lit(None).cast("string")}
     rows = with_weights(results, weights).filter(F.col("url").isNotNull() & F.col("pos").isNotNull())
@@ -65,6 +79,7 @@ def fuse(results: DataFrame, weights: DataFrame | None = None, *, priority: str
         F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("content", F.lit("")).alias("content"),
         *((F.col(c) if c in results.columns else d).alias(c) for c, d in optional.items()),
+        *(c for c in SEEDS if c in results.columns),
     )
     at = F.col("at")
     # the longest value, of these the earliest: lengths descend, places ascend
@@ -80,8 +95,13 @@ def fuse(results: DataFrame, weights: DataFrame | None = None, *, priority: str
         present("published_date").alias("published_date"),
         F.collect_set(F.struct("engine", "weight")).alias("found"),
         F.collect_list("at").alias("places"),
+        *(F.min_by(c, at).alias(c) for c in SEEDS if c in results.columns),
     )
     positions = F.transform(F.array_sort("places"), lambda p: p["pos"])
+    if "seed_positions" in out.columns:
+        positions = F.concat(F.coalesce(F.col("seed_positions").cast("array<int>"), F.array().cast("array<int>")), positions)
+    if "seed_engines" in out.columns:
+        out = _with_seeds(out, weights, by)
     w = consensus_weight(F.col("found"))
     scores = {
         "normal": F.aggregate(F.col("positions"), F.lit(0.0), lambda a, p: a + F.col("w") / p),

@@ -38,7 +38,15 @@ def select_engines(queries: DataFrame, registry: DataFrame) -> DataFrame:
     return both.distinct()
 
 
-def check_search(query: str, n_engines: int) -> None:
+def refused(queries: DataFrame, registry: DataFrame) -> DataFrame:
+    """``query_id, message`` of the queries that can't be asked: all, if no source is registered, else the blank ones."""
+    if registry.isEmpty():
+        return queries.select("query_id", F.lit(str(NoEngines())).alias("message"))
+    blank = queries.filter(F.col("query").isNull() | is_blank(F.col("query")))
+    return blank.select("query_id", F.lit(str(InvalidQuery("Query cannot be empty"))).alias("message"))
+
+
+def check_query(query: str, n_engines: int) -> None:
     """Raises if no source is registered, then if the query is blank."""
     if n_engines == 0:
         raise NoEngines()

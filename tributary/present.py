@@ -29,7 +29,8 @@ def compact_lines(results: DataFrame) -> DataFrame:
 def text_blocks(ranked: DataFrame) -> DataFrame:
     """``query_id, rank, block``: number and title, url, shortened content, engines and score."""
     content = F.when(F.col("content") != "", F.concat(F.lit("   "), truncate_bytes(F.col("content"), CONTENT_BYTES), F.lit("\n"))).otherwise("")
-    found = F.concat(F.lit("   Engines: {"), F.array_join("engines", ", "), F.lit("} | Score: "), score_text(F.col("score")))
+    names = F.array_join(F.transform("engines", lambda e: F.concat(F.lit('"'), e, F.lit('"'))), ", ")
+    found = F.concat(F.lit("   Engines: {"), names, F.lit("} | Score: "), score_text(F.col("score")))
     head = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("title"), F.lit("\n   URL: "), F.col("url"), F.lit("\n"))
     return ranked.select("query_id", "rank", F.concat(head, content, found).alias("block"))
 
@@ -48,10 +49,11 @@ def render(response: SearchResponse, fmt: str, query: str = "") -> str:
         return json.dumps([asdict(r) for r in response.results], ensure_ascii=False, indent=2)
     if fmt == "compact":
         return "\n".join(f"{r.title}\t{r.url}" for r in response.results)
-    out = [f'Found {response.count} results for "{query}" ({response.duration_ms}ms)', ""]
+    out = ["", f'Search results for "{query}" ({response.count} results in {response.duration_ms}ms):', ""]
     for i, r in enumerate(response.results, 1):
         out += [f"{i}. {r.title}", f"   URL: {r.url}"]
         if r.content:
             out.append(f"   {shorten(r.content, CONTENT_BYTES)}")
-        out += [f"   Engines: {{{', '.join(r.engines)}}} | Score: {r.score:.2f}", ""]
+        names = ", ".join(f'"{e}"' for e in r.engines)
+        out += [f"   Engines: {{{names}}} | Score: {r.score:.2f}", ""]
     return "\n".join(out)

@@ -52,12 +52,27 @@ class Proxy:
         return cls(host, port, parts.scheme, unquote(parts.username or ""), unquote(parts.password))
 
 
+@dataclass(frozen=True)
+class ProxyProvider:
+    """Where a pool's proxies come from, and after how many seconds they are worth asking for again."""
+
+    fetch: Callable[[], list[Proxy]]
+    refresh_interval: float = 300.0
+
+    @classmethod
+    def static(cls, proxies: list[Proxy]) -> ProxyProvider:
+        """A list that never changes."""
+        own = list(proxies)
+        return cls(lambda: list(own), float("inf"))
+
+
 class ProxyPool:
     """A list of proxies handed out in turn, or by the clock."""
 
-    def __init__(self, proxies: list[Proxy] | None = None, *, provider: Callable[[], list[Proxy]] | None = None, strategy: str = "round_robin") -> None:
+    def __init__(self, proxies: list[Proxy] | None = None, *, provider: ProxyProvider | Callable[[], list[Proxy]] | None = None, strategy: str = "round_robin") -> None:
         self.proxies = list(proxies or [])
-        self.provider, self.strategy = provider, strategy
+        self.provider = provider if provider is None or isinstance(provider, ProxyProvider) else ProxyProvider(provider)
+        self.strategy = strategy
         self.enabled = bool(self.proxies) or provider is not None
         self._next = 0
 
@@ -82,7 +97,7 @@ class ProxyPool:
 
     def refresh(self) -> None:
         if self.provider is not None:
-            self.proxies = list(self.provider())
+            self.proxies = list(self.provider.fetch())
 
 
 def assign_round_robin(requests: DataFrame, pool: ProxyPool, *, key: str) -> DataFrame:
@@ -97,6 +112,11 @@ def assign_round_robin(requests: DataFrame, pool: ProxyPool, *, key: str) -> Dat
     return numbered.select(*requests.columns, F.element_at(urls, (F.pmod(F.col("_turn") - 1, F.lit(len(pool))) + 1).cast("int")).alias("proxy"))
 
 
+def without(proxies: DataFrame, removed: DataFrame) -> DataFrame:
+    """A table of proxies without those at the addresses ``host, port`` of another, whatever their protocol."""
+    return proxies.join(removed.select("host", "port").distinct(), ["host", "port"], "left_anti").select(*proxies.columns)
+
+
 def rendered(proxies: DataFrame) -> DataFrame:
     """A table of proxies with ``proxy_url``."""
     return proxies.withColumn("proxy_url", proxy_url(F.col("protocol"), F.col("host"), F.col("port"), F.col("username"), F.col("password")))

@@ -11,7 +11,7 @@ from tributary import present, proxy
 from tributary.functions import text as fx
 from tributary.operators import fuse as fusion
 from tributary.operators import rank, select
-from tributary.plans import search
+from tributary.plans import answer
 from tributary.plans.storage import table
 from tributary.sources import adapters, pages, tables
 
@@ -158,24 +158,54 @@ def select_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["select_engines"] = f"WITH {_SELECTED} SELECT * FROM selected"
 
 
+def _some_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = F.when(F.col("query_id") % 7 == 0, F.lit(" 　\t\n")).otherwise(F.col("query"))
+    return table(spark, sf_dir, "queries").withColumn("query", blank)
+
+
 @query
 def valid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries that are not blank; every seventh is made blank (P-8, P-9)."""
-    blank = F.when(F.col("query_id") % 7 == 0, F.lit(" 　\t\n")).otherwise(F.col("query"))
-    return select.valid_queries(table(spark, sf_dir, "queries").withColumn("query", blank)).select("query_id", "query")
+    """Queries that are not blank; every seventh is made blank (P-8)."""
+    return select.valid_queries(_some_blank(spark, sf_dir)).select("query_id", "query")
 
 
 SQL["valid_queries"] = "SELECT query_id, query FROM queries WHERE query_id % 7 <> 0"
 
 
 @query
-def search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def refused_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that are refused, with sources and without any (P-7, P-8, P-9)."""
+    asked, known = _some_blank(spark, sf_dir), table(spark, sf_dir, "engines")
+    return select.refused(asked, known).unionAll(select.refused(asked, known.filter("weight < 0")))
+
+
+SQL["refused_queries"] = """SELECT query_id, 'Invalid query: Query cannot be empty' AS message FROM queries WHERE query_id % 7 = 0
+UNION ALL SELECT query_id, 'No search engines configured' FROM queries"""
+
+
+@query
+def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures in the words of each kind of error."""
+    kinds = F.array(*map(F.lit, ("HttpError", "ParseError", "SearchTimeout", "NoEngines", "InvalidQuery", "UrlError", "BrowserError")))
+    kind = F.element_at(kinds, (F.col("query_id") % 7 + 1).cast("int"))
+    errors = table(spark, sf_dir, "engine_errors").select("query_id", "engine", "failed_at", fx.error_text(kind, F.col("message")).alias("text"))
+    return errors.groupBy("query_id", "engine", "text").agg(F.count("*").alias("n"))
+
+
+SQL["error_texts"] = """SELECT query_id, engine, CASE query_id % 7 WHEN 0 THEN 'HTTP request failed: ' || m WHEN 1 THEN 'Failed to parse response: ' || m
+  WHEN 2 THEN 'Search timeout exceeded' WHEN 3 THEN 'No search engines configured' WHEN 4 THEN 'Invalid query: ' || m
+  WHEN 5 THEN 'URL parsing error: ' || m ELSE 'Browser error: ' || m END AS text, count(*) AS n
+FROM (SELECT *, coalesce(message, '') AS m FROM engine_errors) GROUP BY ALL"""
+
+
+@query
+def answer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validate, select, fuse, limit: delivered rows of the selected sources only."""
-    out = search.search_table(table(spark, sf_dir, "queries"), table(spark, sf_dir, "engines"), table(spark, sf_dir, "ranked_results"), row="result_id")
+    out = answer.answer_table(table(spark, sf_dir, "queries"), table(spark, sf_dir, "engines"), table(spark, sf_dir, "ranked_results"), row="result_id")
     return out.select("query_id", "rank", "key", "url", F.round("score", 6).alias("score"))
 
 
-SQL["search_table"] = f"""WITH {_WEIGHTS}, {_SELECTED},
+SQL["answer_table"] = f"""WITH {_WEIGHTS}, {_SELECTED},
 rows AS (SELECT r.*, result_id AS row, weight FROM ranked_results r JOIN weights USING (engine)
          WHERE EXISTS (SELECT 1 FROM selected s WHERE s.query_id = r.query_id AND s.engine = r.engine)),
 {_FUSED}, ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, first_ord, first_pos, key) AS rank FROM fused)
@@ -214,17 +244,22 @@ def request_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.requests(table(spark, sf_dir, "queries")).select("query_id", "engine", "request_url")
 
 
-SQL["request_urls"] = (
-    "WITH t(engine, a, b) AS (VALUES "
-    + ", ".join("('{}', '{}', '{}')".format(a.config.name, *a.request.split("{q}")) for a in adapters.ADAPTERS.values())
-    + ") SELECT query_id, engine, a || url_encode(query) || b AS request_url FROM queries, t"
-)
+SQL["request_urls"] = """WITH t(engine, a, b) AS (VALUES
+  ('DuckDuckGo', 'https://html.duckduckgo.com/html/?q=', ''),
+  ('Brave', 'https://search.brave.com/search?q=', ''),
+  ('Wikipedia', 'https://en.wikipedia.org/w/api.php?action=query&list=search&srsearch=', '&format=json&srlimit=10'),
+  ('Sogou', 'https://www.sogou.com/web?query=', ''),
+  ('360 Search', 'https://www.so.com/s?q=', ''),
+  ('Google', 'https://www.google.com/search?q=', '&hl=en'),
+  ('Baidu', 'https://www.baidu.com/s?wd=', ''),
+  ('Bing China', 'https://cn.bing.com/search?q=', '')
+) SELECT query_id, engine, a || url_encode(query) || b AS request_url FROM queries, t"""
 
 
 @query
 def redirect_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of redirect links made of all urls."""
-    link = F.concat(F.lit("//duckduckgo.com/l/?uddg="), fx.url_encode(F.col("url")), F.lit("&rut=abc"))
+    link = F.concat(F.lit("//duckduckgo.com/l/?uddg="), fx.url_encode(F.col("url")), F.lit("&from=list"))
     return table(spark, sf_dir, "ranked_results").select("result_id", fx.redirect_target(link).alias("target"))
 
 
@@ -247,7 +282,7 @@ def link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         fx.result_link(F.col("href")).alias("result"),
         fx.absolute_link(F.col("href"), "https://www.sogou.com").alias("absolute"),
         fx.preferred_link(F.col("thumbnail"), F.col("href")).alias("preferred"),
-        fx.wiki_url(F.col("title")).alias("article"),
+        fx.article_url(F.col("title"), "https://en.wikipedia.org/wiki/{title}").alias("article"),
     )
 
 
@@ -400,23 +435,77 @@ kept AS (SELECT * FROM links WHERE link <> '' AND t <> '' AND (shape NOT IN ('Br
 SELECT page AS query_id, shape AS engine, CAST(row_number() OVER (PARTITION BY page ORDER BY result_id) AS INTEGER) AS pos, link AS url, t AS title, c AS content FROM kept"""
 
 
+_WIKIS = ("Wikipedia", "Vikipedi")
+
+
+def _two_wikis() -> dict[str, adapters.Adapter]:
+    """The encyclopedia twice: as it is built in, and under another name in another language."""
+    wiki = adapters.ADAPTERS["wiki"]
+    return {"wiki": wiki, "tr": adapters.override(adapters.with_language(wiki, "tr"), name=_WIKIS[1], shortcut="tr")}
+
+
 @query
 def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON answers of the encyclopedia, made of each query's rows and read back."""
+    """JSON answers of two encyclopedias, made of each query's rows and read back."""
     rows = table(spark, sf_dir, "ranked_results").withColumn("page", F.floor(F.col("result_id") / 500))
     hit = F.struct(F.col("title"), F.concat(F.lit("<b>"), "title", F.lit("</b> "), F.col("url")).alias("snippet"), F.col("result_id").alias("pageid"))
     hits = F.transform(F.array_sort(F.collect_list(F.struct("result_id", hit.alias("hit")))), lambda s: s["hit"])
     made = rows.groupBy("query_id", "page").agg(F.to_json(F.struct(F.struct(hits.alias("search")).alias("query"))).alias("body"))
-    out = pages.extract_json(made.select(F.concat_ws("|", "query_id", "page").alias("query_id"), F.lit("Wikipedia").alias("engine"), "body"))
-    return out.select("query_id", "pos", "url", "title", "content")
+    made = made.select(F.concat_ws("|", "query_id", "page").alias("query_id"), "body", F.element_at(F.array(*map(F.lit, _WIKIS)), (F.col("query_id") % 2 + 1).cast("int")).alias("engine"))
+    return pages.extract_json(made, _two_wikis()).select("query_id", "engine", "pos", "url", "title", "content")
 
 
 SQL["json_source"] = """WITH n AS (SELECT *, CAST(query_id AS VARCHAR) || '|' || CAST(result_id // 500 AS VARCHAR) AS page,
     row_number() OVER (PARTITION BY query_id, result_id // 500 ORDER BY result_id) AS n FROM ranked_results)
-SELECT page AS query_id, CAST(n AS INTEGER) AS pos, 'https://en.wikipedia.org/wiki/' || replace(title, ' ', '_') AS url, title,
+SELECT page AS query_id, CASE query_id % 2 WHEN 0 THEN 'Wikipedia' ELSE 'Vikipedi' END AS engine, CAST(n AS INTEGER) AS pos,
+  'https://' || CASE query_id % 2 WHEN 0 THEN 'en' ELSE 'tr' END || '.wikipedia.org/wiki/' || replace(title, ' ', '_') AS url, title,
   regexp_replace('<b>' || title || '</b> ' || url, '<[^>]*>?|>', '', 'g') AS content FROM n WHERE n <= 10"""
 
 
+#: Answers of the JSON source by the last digit of the query, and whether they can be read.
+_ANSWERS = (
+    ('{"query":{"search":[{"title":"T","snippet":"<i>s</i>","pageid":1,"ns":0}]},"batchcomplete":""}', True),
+    ('{"query":{"search":[]}}', True),
+    ('{"batchcomplete":""}', True),
+    ('{"query":null}', True),
+    ('{"query":5}', False),
+    ('{"query":{}}', False),
+    ("[]", False),
+    ('{"query":{"search":[{"title":"T","snippet":"s","pageid":1},{"snippet":"s","pageid":2}]}}', False),
+    ('{"query":{"search":[{"title":"T","pageid":1}]}}', False),
+    ('{"query":{"search":[{"title":7,"snippet":"s","pageid":-1}]}}', False),
+)
+
+
+@query
+def json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that can't be read are errors and give no rows (X8, P-10, A15)."""
+    body = F.element_at(F.array(*(F.lit(a) for a, _ in _ANSWERS)), (F.col("query_id") % 10 + 1).cast("int"))
+    got = table(spark, sf_dir, "queries").select("query_id", F.lit("Wikipedia").alias("engine"), body.alias("body"))
+    rows = pages.extract_json(got).groupBy("query_id").agg(F.count("*").alias("n"))
+    out = pages.with_status(got).join(rows, "query_id", "left")
+    fine = pages.readable(got).select("query_id", F.lit(True).alias("readable"))
+    out = out.join(fine, "query_id", "left")
+    return out.select("query_id", "message", F.coalesce("readable", F.lit(False)).alias("readable"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+SQL["json_errors"] = """SELECT query_id, CASE WHEN query_id % 10 >= 4 THEN 'HTTP request failed: error decoding response body' END AS message,
+  query_id % 10 < 4 AS readable, CASE WHEN query_id % 10 = 0 THEN 1 ELSE 0 END::BIGINT AS n FROM queries"""
+
+
+@query
+def deadline_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that took longer than their own timeout (A15, P-10)."""
+    sent = adapters.requests(table(spark, sf_dir, "queries"))
+    took = sent.withColumns({"body": F.when(F.col("query_id") % 4 > 0, F.lit("<html></html>")), "latency": (F.col("query_id") % 12).cast("double")}).filter("engine <> 'Wikipedia'")
+    return pages.page_errors(took).groupBy("engine", "message").agg(F.count("*").alias("n"))
+
+
+SQL["deadline_errors"] = """WITH t(engine, deadline) AS (VALUES ('DuckDuckGo', 5), ('Brave', 5), ('Sogou', 5), ('360 Search', 5), ('Google', 10), ('Baidu', 10), ('Bing China', 10))
+SELECT engine, CASE WHEN query_id % 12 > deadline THEN 'timed out' ELSE 'HTTP request failed: no page captured' END AS message, count(*) AS n
+FROM queries, t WHERE query_id % 12 > deadline OR query_id % 4 = 0 GROUP BY ALL"""
+
+
 def _pages_by_request(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All requests, and captured bodies for most of them; some blocked, some broken."""
     sent = adapters.requests(table(spark, sf_dir, "queries"))
@@ -446,8 +535,8 @@ pages AS (SELECT request_url, any_value(CASE WHEN query_id % 5 = 1 AND engine =
   FROM sent WHERE query_id % 5 <> 0 GROUP BY request_url),
 got AS (SELECT sent.engine, body FROM sent LEFT JOIN pages USING (request_url))
 SELECT engine, CASE WHEN body IS NULL THEN 'HTTP request failed: no page captured' WHEN body = 'blocked' THEN 'CAPTCHA or bot check page'
-  ELSE 'Failed to parse response: invalid JSON' END AS message, count(*) AS n FROM got WHERE body IS NULL OR body <> 'fine' GROUP BY ALL
-UNION ALL SELECT engine, 'readable', count(*) FROM got WHERE body IN ('fine', 'broken') GROUP BY engine"""
+  ELSE 'HTTP request failed: error decoding response body' END AS message, count(*) AS n FROM got WHERE body IS NULL OR body <> 'fine' GROUP BY ALL
+UNION ALL SELECT engine, 'readable', count(*) FROM got WHERE body = 'fine' GROUP BY engine"""
 
 
 @query
@@ -463,17 +552,20 @@ FROM ranked_results"""
 
 @query
 def proxy_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of a table of proxies, with and without credentials."""
+    """Addresses of a table of proxies, with and without credentials, one added twice and one removed."""
     e = table(spark, sf_dir, "engines")
     made = e.select(
         F.lower("name").alias("host"), (F.col("engine_ord") + 8080).alias("port"), F.element_at(F.array(F.lit("http"), F.lit("https"), F.lit("socks5")), (F.col("engine_ord") % 3 + 1).cast("int")).alias("protocol"),
         F.when(F.col("engine_ord") % 2 == 0, F.col("shortcut")).alias("username"), F.when(F.col("engine_ord") % 4 == 0, F.lit("pw")).alias("password"),
     )
-    return proxy.rendered(made).filter("port <> 8081").select("host", "proxy_url")
+    more = spark.createDataFrame([("added.test", 99, "http", None, None)] * 2, made.schema)
+    gone = made.filter("port % 5 = 1").select("host", "port")
+    return proxy.rendered(proxy.without(made.unionByName(more), gone)).select("host", "proxy_url")
 
 
 SQL["proxy_urls"] = """SELECT lower(name) AS host, ['http', 'https', 'socks5'][engine_ord % 3 + 1] || '://' || CASE WHEN engine_ord % 4 = 0 THEN shortcut || ':pw@' ELSE '' END
-  || lower(name) || ':' || CAST(engine_ord + 8080 AS VARCHAR) AS proxy_url FROM engines WHERE engine_ord + 8080 <> 8081"""
+  || lower(name) || ':' || CAST(engine_ord + 8080 AS VARCHAR) AS proxy_url FROM engines WHERE (engine_ord + 8080) % 5 <> 1
+UNION ALL SELECT 'added.test', 'http://added.test:99' FROM range(2)"""
 
 
 @query
@@ -491,10 +583,42 @@ def text_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return present.text_blocks(rank.top_k(_fused(spark, sf_dir), 10))
 
 
+_SHORT = """CASE WHEN strlen({0}) <= 150 THEN {0} ELSE
+  left({0}, CAST(list_max(list_filter(range(1, 151), lambda i: strlen(left({0}, i - 1)) < 150)) AS BIGINT)) || '...' END"""
+_TOP = ", ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, first_ord, first_pos, key) AS rank FROM fused)\n"
+SQL["text_output"] = _ALL_ROWS + _TOP + f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(rank AS VARCHAR) || '. ' || title || chr(10) || '   URL: ' || url || chr(10)
+  || CASE WHEN content <> '' THEN '   ' || {_SHORT.format('content')} || chr(10) ELSE '' END
+  || '   Engines: {{"' || replace(engines, ',', '", "') || '"}} | Score: ' || printf('%.2f', exact) AS block FROM ordered WHERE rank <= 10"""
+
+
 @query
 def json_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON object per fused result."""
-    return present.json_lines(_fused(spark, sf_dir))
+    return present.json_lines(_fused(spark, sf_dir).withColumn("score", F.round("score", 6)))
+
+
+SQL["json_output"] = _ALL_ROWS + """SELECT query_id, to_json({'url': url, 'title': title, 'content': content, 'result_type': result_type, 'engines': string_split(engines, ','),
+  'positions': list_transform(string_split(positions, ','), lambda p: CAST(p AS INTEGER)), 'score': score, 'thumbnail': thumbnail, 'published_date': published_date}) AS json FROM fused"""
+
+
+@query
+def fuse_seeded_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that already carry engines and positions: those of a page's first row count."""
+    hits = table(spark, sf_dir, "cached_hits").filter("size(engines) > 0").withColumns({"seed_engines": F.col("engines"), "seed_positions": F.array(F.lit(4))})
+    ranked = tables.ranked_table(hits, query=[F.col("result_type")], engine=F.element_at("engines", 1), order=[F.desc("score"), F.asc("hit_id")])
+    out = _flat(fusion.fuse(ranked.withColumn("engine_ord", F.lit(0)), fusion.weight_table(table(spark, sf_dir, "engines")), row="hit_id"))
+    return out.select(F.col("query_id").alias("result_type"), "key", "engines", "positions", "score")
+
+
+SQL["fuse_seeded_hits"] = f"""WITH {_WEIGHTS},
+r AS (SELECT result_type, {_KEY} AS key, engines, engines[1] AS engine, hit_id,
+    row_number() OVER (PARTITION BY result_type, engines[1] ORDER BY score DESC, hit_id) AS pos FROM cached_hits WHERE len(engines) > 0),
+g AS (SELECT result_type, key, list(engine) AS own, first(engines ORDER BY pos, hit_id) AS seeds, list(pos ORDER BY pos, hit_id) AS places FROM r GROUP BY ALL),
+names AS (SELECT result_type, key, unnest(list_distinct(list_concat(own, seeds))) AS engine FROM g),
+w AS (SELECT result_type, key, list_reduce(list(coalesce(weight, 1.0) ORDER BY engine), lambda a, x: a * x) * count(*) AS w, string_agg(engine, ',' ORDER BY engine) AS engines
+  FROM names LEFT JOIN weights USING (engine) GROUP BY ALL)
+SELECT result_type, key, w.engines, '4,' || array_to_string(places, ',') AS positions,
+  round(list_sum(list_transform(list_prepend(4, places), lambda p: w.w / p)), 6) AS score FROM g JOIN w USING (result_type, key)"""
 
 
 @query
@@ -504,10 +628,11 @@ def builtin_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.registry(spark, changed).select("engine_ord", "name", "shortcut", "weight", "timeout", "enabled", "paging", "safesearch")
 
 
-SQL["builtin_registry"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"(CAST({k} AS INTEGER), '{c.name}', '{c.shortcut}', CAST({2.0 if c.shortcut == 'brave' else c.weight} AS DOUBLE), CAST({c.timeout} AS BIGINT), {c.shortcut != 'brave'}, {c.paging}, {c.safesearch})"
-    for k, c in enumerate(a.config for a in adapters.ADAPTERS.values())
-) + ") t(engine_ord, name, shortcut, weight, timeout, enabled, paging, safesearch)"
+SQL["builtin_registry"] = """SELECT CAST(o AS INTEGER) AS engine_ord, name, shortcut, CAST(w AS DOUBLE) AS weight, CAST(t AS BIGINT) AS timeout, e AS enabled, p AS paging, s AS safesearch
+FROM (VALUES (0, 'DuckDuckGo', 'ddg', 1.0, 5, true, true, true), (1, 'Brave', 'brave', 2.0, 5, false, true, true),
+  (2, 'Wikipedia', 'wiki', 1.2, 5, true, false, false), (3, 'Sogou', 'sogou', 1.0, 5, true, true, false),
+  (4, '360 Search', '360', 1.0, 5, true, true, false), (5, 'Google', 'g', 1.5, 10, true, true, true),
+  (6, 'Baidu', 'baidu', 1.0, 10, true, true, false), (7, 'Bing China', 'bing_cn', 1.0, 10, true, true, true)) t(o, name, shortcut, w, t, e, p, s)"""
 
 
 @query

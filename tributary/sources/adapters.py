@@ -11,6 +11,22 @@ from tributary.functions.text import url_encode
 from tributary.model import REGISTRY, EngineConfig
 
 
+@dataclass(frozen=True)
+class JsonReader:
+    """How to read a JSON answer: an object ``outer`` (absent: no results) with a list ``hits`` of objects that
+    have the strings ``title`` and ``snippet`` and the whole number ``number``. ``page`` is the address of a
+    title, in which blanks become underscores.
+    """
+
+    outer: str
+    hits: str
+    title: str
+    snippet: str
+    number: str
+    page: str
+    limit: int = 10
+
+
 @dataclass(frozen=True)
 class Adapter:
     """A source. ``link`` says where the url is: the title element, or the first fit of a selector."""
@@ -26,7 +42,7 @@ class Adapter:
     host: str = ""
     http_only: bool = False
     blocked: tuple[str, ...] = ()
-    json: bool = False
+    json: JsonReader | None = None
 
 
 def _config(name: str, shortcut: str, weight: float, timeout: int, paging: bool, safesearch: bool) -> EngineConfig:
@@ -45,7 +61,8 @@ ADAPTERS: dict[str, Adapter] = {
             ".generic-snippet .content, .snippet-description", link='a[href^="http"]', http_only=True,
         ),
         Adapter(
-            _config("Wikipedia", "wiki", 1.2, 5, False, False), "https://en.wikipedia.org/w/api.php?action=query&list=search&srsearch={q}&format=json&srlimit=10", json=True
+            _config("Wikipedia", "wiki", 1.2, 5, False, False), "https://en.wikipedia.org/w/api.php?action=query&list=search&srsearch={q}&format=json&srlimit=10",
+            json=JsonReader("query", "search", "title", "snippet", "pageid", "https://en.wikipedia.org/wiki/{title}"),
         ),
         Adapter(
             _config("Sogou", "sogou", 1.0, 5, True, False), "https://www.sogou.com/web?query={q}", "div.vrwrap, div.rb", "h3 a, .vr-title a",
@@ -76,7 +93,8 @@ def override(adapter: Adapter, **changes: object) -> Adapter:
 
 def with_language(adapter: Adapter, language: str) -> Adapter:
     """The encyclopedia's adapter for another language."""
-    return replace(adapter, request=adapter.request.replace("//en.", f"//{language}."))
+    there = lambda address: address.replace("//en.", f"//{language}.")
+    return replace(adapter, request=there(adapter.request), json=replace(adapter.json, page=there(adapter.json.page)))
 
 
 def request_url(adapter: Adapter, query: Column) -> Column:

@@ -1,45 +1,27 @@
-"""Captured pages to ranked rows: one data-driven extractor for all HTML sources, JSON without Python."""
+"""Captured pages to ranked rows: one data-driven extractor for all HTML sources, JSON without Python.
+
+The extractor gives what stands on a page, box by box; which address a link stands for,
+and which rows count, is decided by expressions in the JVM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.functions.text import strip_tags, wiki_url
-from tributary.sources.adapters import ADAPTERS, Adapter
+from tributary.functions.text import absolute_link, article_url, redirect_target, result_link, strip_tags
+from tributary.sources.adapters import ADAPTERS, Adapter, JsonReader
 from tributary.sources.html import first, parse, select
 
-_REDIRECT = "//duckduckgo.com/l/"
-JSON_SCHEMA = "query struct<search: array<struct<title: string, snippet: string, pageid: bigint>>>"
-
-
-def _target(adapter: Adapter, href: str) -> str | None:
-    """The url that a link stands for; ``None`` drops the row."""
-    if adapter.rule == "redirect" and href.startswith(_REDIRECT):
-        rest = href
-        while rest.startswith(_REDIRECT + "?uddg="):
-            rest = rest[len(_REDIRECT) + 6 :]
-        try:
-            rest = unquote_to_bytes(rest).decode()
-        except UnicodeDecodeError:
-            pass
-        return rest.split("&", 1)[0]
-    if adapter.rule == "result":
-        if href.startswith("/url?q="):
-            return href[7:].split("&", 1)[0]
-        return None if href.startswith("/") and not href.startswith("/url?") else href
-    if adapter.rule == "absolute" and href.startswith("/"):
-        return adapter.host + href
-    return href
-
-
-def extract(html: str, adapter: Adapter) -> list[tuple[int, str, str, str]]:
-    """``pos, url, title, content`` of the results on a page."""
-    out: list[tuple[int, str, str, str]] = []
+BOXES = "array<struct<href: string, title: string, content: string>>"
+
+
+def boxes(html: str, adapter: Adapter) -> list[tuple[str, str, str]]:
+    """``href, title, content`` of every result box of a page, the link as it stands there."""
+    out: list[tuple[str, str, str]] = []
     for box in select(parse(html), adapter.container):
         title = first(box, adapter.title)
         if title is None:
@@ -48,87 +30,142 @@ def extract(html: str, adapter: Adapter) -> list[tuple[int, str, str, str]]:
         if link is None:
             continue
         href = next((link.attrs[a] for a in adapter.attrs if a in link.attrs), "")
-        url, name = _target(adapter, href), title.text().strip()
         snippet = first(box, adapter.snippet)
-        if url and name and (not adapter.http_only or url.startswith("http")):
-            out.append((len(out) + 1, url, name, "" if snippet is None else snippet.text().strip()))
+        out.append((href, title.text().strip(), "" if snippet is None else snippet.text().strip()))
     return out
 
 
+def link_target(engine: Column, href: Column, adapters: dict[str, Adapter] = ADAPTERS) -> Column:
+    """The address that a link stands for by the rule of its source; null drops the row."""
+    target = href
+    for a in adapters.values():
+        rule = {"redirect": redirect_target, "result": result_link, "absolute": lambda h, a=a: absolute_link(h, a.host)}.get(a.rule)
+        if rule is not None:
+            target = F.when(engine == a.config.name, rule(href)).otherwise(target)
+    return target
+
+
 def extract_html(pages: DataFrame, adapters: dict[str, Adapter] = ADAPTERS) -> DataFrame:
     """``query_id, engine, pos, url, title, content`` from ``query_id, engine, body``.
 
     Pages of sources without an HTML adapter, null bodies and pages without results give
     no rows. Pages are read where they lie; only the three columns are shipped to Python.
+    ``pos`` counts the rows that are kept: those with a url (for some sources one that begins
+    with http) and a title.
     """
-    by_name = {a.config.name: a for a in adapters.values() if not a.json}
+    by_name = {a.config.name: a for a in adapters.values() if a.json is None}
     src = pages.filter(F.col("engine").isin(list(by_name)) & F.col("body").isNotNull()).select("query_id", "engine", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("href", pa.string()), ("title", pa.string()), ("content", pa.string())]))
         for batch in batches:
-            at, rows = [], []
-            for i, (engine, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                found = extract(body, by_name[engine])
-                at += [i] * len(found)
-                rows += found
-            pos, url, title, content = zip(*rows, strict=True) if rows else ((), (), (), ())
-            take = pa.array(at, pa.int32())
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32())]
-            columns += [pa.array(c, pa.string()) for c in (url, title, content)]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "engine", "pos", "url", "title", "content"])
+            found = [[dict(zip(("href", "title", "content"), b, strict=True)) for b in boxes(body, by_name[e])] for e, body in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["query_id", "engine", "boxes"])
 
     kind = src.schema["query_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"query_id {kind}, engine string, pos int, url string, title string, content string")
+    read = src.mapInArrow(run, f"query_id {kind}, engine string, boxes {BOXES}")
+    http_only = [a.config.name for a in by_name.values() if a.http_only]
+    rows = F.transform("boxes", lambda b: F.struct(link_target(F.col("engine"), b["href"], adapters).alias("url"), b["title"].alias("title"), b["content"].alias("content")))
+    web = lambda r: ~F.col("engine").isin(http_only) | F.startswith(r["url"], F.lit("http"))
+    kept = F.filter(rows, lambda r: r["url"].isNotNull() & (r["url"] != "") & (r["title"] != "") & web(r))
+    out = read.select("query_id", "engine", F.posexplode(kept).alias("i", "r"))
+    return out.select("query_id", "engine", (F.col("i") + 1).alias("pos"), "r.url", "r.title", "r.content")
+
 
+def register(spark: SparkSession, name: str = "result_boxes") -> None:
+    """Makes the extractor a table function of SQL: ``FROM pages, LATERAL result_boxes(body, engine)``.
 
-def register(spark: SparkSession, name: str = "extract_results") -> None:
-    """Makes the extractor a table function of SQL: ``FROM pages, LATERAL extract_results(body, engine)``."""
-    by_name = {a.config.name: a for a in ADAPTERS.values() if not a.json}
+    It gives ``place, href, title, content`` of every box, the link as it stands on the page.
+    """
+    by_name = {a.config.name: a for a in ADAPTERS.values() if a.json is None}
 
-    class Extract:
+    class Boxes:
         def eval(self, body: str, engine: str):
             if body is not None and engine in by_name:
-                yield from extract(body, by_name[engine])
+                for n, box in enumerate(boxes(body, by_name[engine]), 1):
+                    yield n, *box
+
+    spark.udtf.register(name, F.udtf(Boxes, returnType="place int, href string, title string, content string"))
+
+
+def _is(value: Column, kind: str) -> Column:
+    """Whether a variant is there and of a kind: OBJECT, STRING, BIGINT ..."""
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit(kind)), F.lit(False))
 
-    spark.udtf.register(name, F.udtf(Extract, returnType="pos int, url string, title string, content string"))
 
+def decoded(body: Column, reader: JsonReader) -> Column:
+    """The list of hits as ``array<variant>``, empty where the outer object is absent; null if the answer is not as it must be."""
+    whole = F.try_parse_json(body)
+    outer = F.try_variant_get(whole, f"$.{reader.outer}", "variant")
+    hits = F.try_variant_get(whole, f"$.{reader.outer}.{reader.hits}", "array<variant>")
 
-def extract_json(pages: DataFrame, *, engine: str = "Wikipedia", language: str = "en", limit: int = 10) -> DataFrame:
-    """Rows of the JSON source; a body that is no JSON gives none here, and an error row in ``page_errors``."""
-    hits = pages.filter(F.col("engine") == engine).select("query_id", "engine", F.from_json("body", JSON_SCHEMA).alias("doc"))
-    rows = hits.select("query_id", "engine", F.posexplode("doc.query.search").alias("i", "hit")).filter(F.col("i") < limit)
-    return rows.select(
-        "query_id", "engine", (F.col("i") + 1).alias("pos"), wiki_url(F.col("hit.title"), language).alias("url"), F.col("hit.title").alias("title"),
-        strip_tags(F.col("hit.snippet")).alias("content"),
-    )
+    def good(hit: Column) -> Column:
+        at = lambda name, kind="variant": F.try_variant_get(hit, f"$.{name}", kind)
+        number = F.coalesce(at(reader.number, "decimal(20,0)") >= 0, F.lit(False))
+        return _is(hit, "OBJECT") & _is(at(reader.title), "STRING") & _is(at(reader.snippet), "STRING") & (_is(at(reader.number), "BIGINT") | _is(at(reader.number), "DECIMAL(20,0)")) & number
+
+    absent = outer.isNull() | _is(outer, "VOID")
+    full = F.when(_is(outer, "OBJECT") & hits.isNotNull() & F.forall(hits, good), hits)
+    return F.when(_is(whole, "OBJECT"), F.when(absent, F.array().cast("array<variant>")).otherwise(full))
+
+
+def extract_json(pages: DataFrame, adapters: dict[str, Adapter] = ADAPTERS) -> DataFrame:
+    """Rows of the JSON sources, as each adapter says; a body that is no such answer gives none here, and an error row in ``page_errors``."""
+    out = None
+    for a in adapters.values():
+        if a.json is None:
+            continue
+        text = lambda name: F.try_variant_get("hit", f"$.{name}", "string")
+        hits = pages.filter((F.col("engine") == a.config.name) & F.col("body").isNotNull()).select("query_id", "engine", decoded(F.col("body"), a.json).alias("hits"))
+        rows = hits.select("query_id", "engine", F.posexplode("hits").alias("i", "hit")).filter(F.col("i") < a.json.limit)
+        url = article_url(text(a.json.title), a.json.page)
+        rows = rows.select("query_id", "engine", (F.col("i") + 1).alias("pos"), url.alias("url"), text(a.json.title).alias("title"), strip_tags(text(a.json.snippet)).alias("content"))
+        out = rows if out is None else out.unionAll(rows)
+    if out is None:
+        out = pages.filter("false").select("query_id", "engine", F.lit(0).alias("pos"), *(F.lit("").alias(c) for c in ("url", "title", "content")))
+    return out
 
 
 def captured(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Requests with the ``body`` captured for their url, null where none is."""
-    found = pages.select("request_url", "body").dropDuplicates(["request_url"])
-    return requests.join(found, "request_url", "left")
+    """Requests with the ``body`` captured for their url, null where none is, and the seconds it took where ``pages`` has ``latency``.
 
+    Of several captures the latest by ``captured_at`` counts; without that column, or at one time, the greatest body.
+    """
+    latency = F.col("latency").cast("double") if "latency" in pages.columns else F.lit(None).cast("double")
+    at = F.col("captured_at") if "captured_at" in pages.columns else F.lit(0)
+    found = pages.select("request_url", F.struct(at.alias("at"), "body", latency.alias("latency")).alias("c")).groupBy("request_url").agg(F.max("c").alias("c"))
+    return requests.join(found.select("request_url", "c.body", "c.latency"), "request_url", "left")
 
-def page_errors(captured_pages: DataFrame, adapters: dict[str, Adapter] = ADAPTERS) -> DataFrame:
-    """``query_id, engine, message`` of pages that are missing, blocked or can't be read."""
-    blocked = F.lit(False)
+
+def with_status(captured_pages: DataFrame, adapters: dict[str, Adapter] = ADAPTERS) -> DataFrame:
+    """Captured pages with ``message``: why a page is an error, or null.
+
+    A page is one if it took longer than its source's timeout, is missing, is blocked, or is no
+    answer that its source's JSON reader takes.
+    """
+    late, blocked, unread = F.lit(False), F.lit(False), F.lit(False)
     for a in adapters.values():
+        own = F.col("engine") == a.config.name
+        if "latency" in captured_pages.columns:
+            late = late | (own & (F.col("latency") > a.config.timeout))
         for mark in a.blocked:
-            blocked = blocked | ((F.col("engine") == a.config.name) & F.contains("body", F.lit(mark)))
-    readers = [a.config.name for a in adapters.values() if a.json]
-    unreadable = F.col("engine").isin(readers) & F.get_json_object("body", "$").isNull()
+            blocked = blocked | (own & F.contains("body", F.lit(mark)))
+        if a.json is not None:
+            unread = unread | (own & decoded(F.col("body"), a.json).isNull())
     message = (
-        F.when(F.col("body").isNull(), F.lit("HTTP request failed: no page captured"))
+        F.when(late, F.lit("timed out"))
+        .when(F.col("body").isNull(), F.lit("HTTP request failed: no page captured"))
         .when(blocked, F.lit("CAPTCHA or bot check page"))
-        .when(unreadable, F.lit("Failed to parse response: invalid JSON"))
+        .when(unread, F.lit("HTTP request failed: error decoding response body"))
     )
-    return captured_pages.select("query_id", "engine", message.alias("message")).filter("message is not null")
+    return captured_pages.withColumn("message", message)
+
+
+def page_errors(captured_pages: DataFrame, adapters: dict[str, Adapter] = ADAPTERS) -> DataFrame:
+    """``query_id, engine, message`` of pages that are late, missing, blocked or can't be read."""
+    return with_status(captured_pages, adapters).select("query_id", "engine", "message").filter("message is not null")
 
 
 def readable(captured_pages: DataFrame, adapters: dict[str, Adapter] = ADAPTERS) -> DataFrame:
-    """The pages that are neither missing nor blocked."""
-    kept = captured_pages.filter(F.col("body").isNotNull())
-    for a in adapters.values():
-        for mark in a.blocked:
-            kept = kept.filter(~((F.col("engine") == a.config.name) & F.contains("body", F.lit(mark))))
-    return kept
+    """The pages that ``page_errors`` does not report."""
+    return with_status(captured_pages, adapters).filter("message is null").drop("message")

@@ -1,4 +1,4 @@
-"""Fusion of a stream of ranked rows; an extension, a search itself is one-shot.
+"""Fusion of a stream of ranked rows; an extension, a query itself is one-shot.
 
 Rows arrive in micro-batches. Each batch is appended to a state table in the folder given,
 partitioned by a hash of the query, and the queries it touches are fused again over all their
