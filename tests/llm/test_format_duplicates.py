@@ -25,6 +25,15 @@ def test_copies(spark):
     n = {(r.query_id, r.first_id): r.n_copies for r in fd.collapse(df).collect()}
     assert n == {(7, 0): 5, (None, 91): 2}
     assert fd.find_copies(df.limit(0)).count() == 0
+    kept = {(r.query_id, r.result_id): r.n_copies for r in fd.unique_rows(df).collect()}
+    assert kept == {(7, 0): 5, **{(7, i): 1 for i in range(4, 12)}, (8, 90): 1, (None, 91): 2}
+    assert sum(kept.values()) == len(rows) and fd.unique_rows(df).columns == [*df.columns, "n_copies"]
+    assert fd.unique_rows(df.limit(0)).count() == 0
+
+
+def test_groups_named_by_text(spark):
+    df = spark.createDataFrame([("q", 1, "a.example/x"), ("q", 2, "A.example/x"), (None, 3, "a.example/x"), ("0", 4, "a.example/x"), (None, 5, "a.example/X")], "query_id string, result_id long, url string")
+    assert {tuple(r) for r in fd.find_copies(df).collect()} == {(1, 2), (3, 5)}
 
 
 def test_without_group(spark):

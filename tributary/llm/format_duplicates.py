@@ -6,16 +6,17 @@ letter case, punctuation and the order of parameters. What is left of a url is
 * the sequence of runs of letters and digits of host and path, and
 * its parameters, each with the runs of its name and of its value, in any order.
 
-Refinement, cheap to costly:
+Refinement, each step only inside the classes with several members that the step before has left:
 
-1. *stripped length and letter histogram*: invariants under every allowed
-   difference, as one 64-bit value. A grouped count (combined on the map side) finds
-   the classes with more than one member; all other rows are done.
-2. *the exact form* (ordered runs, sorted parameters), computed only for the members of
-   such classes, as two independent 64-bit values.
+1. *stripped length*, invariant under every allowed difference;
+2. *letter histogram*, as one 64-bit value;
+3. *the exact form* (ordered runs, sorted parameters), as two independent 64-bit values.
 
-No step holds a group in one task: classes and groups are aggregates with partial
-aggregation, rows meet them in joins whose hot keys adaptive execution splits.
+A step is a grouped count, combined on the map side, whose classes of several meet the rows in a
+semi-join on the same plain columns, so counts are not shuffled again. No step holds a
+group in one task: classes and groups are aggregates with partial aggregation, and rows meet
+them in joins whose hot keys adaptive execution splits. The first two joins carry urls; what
+is left after the third step is numbers, written once and read twice.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.plans.storage import cut_lineage
+
 _NOT_RUN = r"[^\p{L}\p{M}\p{N}]+"
 #: Percent-encoded white space: tab to carriage return, space, no-break space.
 _CODED_SPACE = r"%(?:20|0[9a-d]|c2%a0)"
@@ -40,10 +43,14 @@ def _runs(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, _NOT_RUN, " "))
 
 
-def url_invariants(url: Column) -> Column:
-    """Stripped length and letter histogram of a url, hashed to 64 bits."""
-    s = F.regexp_replace(_bare(url), _NOT_RUN, "")
-    return F.xxhash64(F.length(s), F.array_join(F.array_sort(F.split(s, "")), ""))
+def stripped(url: Column) -> Column:
+    """The letters and digits of a url."""
+    return F.regexp_replace(_bare(url), _NOT_RUN, "")
+
+
+def letter_histogram(letters: Column) -> Column:
+    """How often each letter stands in a text, hashed to 64 bits."""
+    return F.xxhash64(F.array_join(F.array_sort(F.split(letters, "")), ""))
 
 
 def url_form(url: Column) -> Column:
@@ -59,20 +66,26 @@ def url_form(url: Column) -> Column:
     return F.concat(path, F.lit("?"), F.array_join(params, "&"))
 
 
+_GROUP = ("_g", "_null")
+
+
+def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys other rows have too."""
+    classes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
+    return rows.join(classes, keys, "left_semi")
+
+
 def _grouped(df: DataFrame, group_col: str | None, id_col: str, url_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members of classes with several rows (``_g, _id, _a, _b``), and their groups."""
+    """Members of classes with several rows (``_g, _null, _id, _a, _b``), and their groups."""
     g = F.lit(0).cast("long") if group_col is None else F.col(group_col)
-    rows = df.select(g.alias("_g"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).filter(F.col("_url") != "")
-    rows = rows.withColumn("_inv", url_invariants(F.col("_url")))
-    classes = rows.groupBy("_g", "_inv").count().filter("count > 1").drop("count")
-    on = rows["_g"].eqNullSafe(classes["_g"]) & (rows["_inv"] == classes["_inv"])
-    form = url_form(F.col("_url"))
-    members = (
-        rows.join(classes, on, "left_semi")
-        .withColumn("_form", form)
-        .select("_g", "_id", F.xxhash64("_form").alias("_a"), F.xxhash64(F.lit("tributary"), "_form").alias("_b"))
-    )
-    groups = members.groupBy("_g", "_a", "_b").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    kind = df.select(g.alias("_g")).schema["_g"].dataType
+    # a null is a group of its own: as two plain columns, it needs no null-safe join
+    rows = df.select(F.coalesce(g, F.lit("0").cast(kind)).alias("_g"), g.isNull().alias("_null"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).filter(F.col("_url") != "")
+    rows = _several(rows.withColumn("_length", F.length(stripped(F.col("_url")))), [*_GROUP, "_length"])
+    rows = _several(rows.withColumn("_letters", letter_histogram(stripped(F.col("_url")))), [*_GROUP, "_length", "_letters"])
+    form = rows.select(*_GROUP, "_id", url_form(F.col("_url")).alias("_form"))
+    members = cut_lineage(form.select(*_GROUP, "_id", F.xxhash64("_form").alias("_a"), F.xxhash64(F.lit("tributary"), "_form").alias("_b")))
+    groups = members.groupBy(*_GROUP, "_a", "_b").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     return members, groups
 
 
@@ -80,22 +93,31 @@ def find_copies(df: DataFrame, *, group_col: str | None = "query_id", id_col: st
     """One row ``first_id, <id_col>`` for every row that is not the first of its group.
 
     Null and empty urls belong to no group; a null in ``group_col`` is a group of its
-    own; rows delivered twice under one id count once (the id is the row). An empty
-    table gives no rows. Only the named columns are read, so other columns may have any
-    name. The first row is the one with the smallest id.
+    own; an id names one row. An empty table gives no rows. Only the named columns are
+    read, so other columns may have any name. The first row is the one with the smallest id.
     """
     members, groups = _grouped(df, group_col, id_col, url_col)
-    m, s = members.alias("m"), groups.alias("s")
-    on = F.col("m._g").eqNullSafe(F.col("s._g")) & (F.col("m._a") == F.col("s._a")) & (F.col("m._b") == F.col("s._b"))
-    out = m.join(s, on).filter(F.col("m._id") != F.col("s._first"))
-    return out.select(F.col("s._first").alias("first_id"), F.col("m._id").alias(id_col))
+    out = members.join(groups, [*_GROUP, "_a", "_b"]).filter(F.col("_id") != F.col("_first"))
+    return out.select(F.col("_first").alias("first_id"), F.col("_id").alias(id_col))
 
 
 def collapse(df: DataFrame, *, group_col: str | None = "query_id", id_col: str = "result_id", url_col: str = "url") -> DataFrame:
     """One row per page that has copies: ``<group_col>, first_id, n_copies``.
 
-    Pages that stand once are left out, as are null and empty urls.
+    Pages that stand once are left out, as are null and empty urls; ``unique_rows`` has them all.
     """
     _, groups = _grouped(df, group_col, id_col, url_col)
-    keys = [] if group_col is None else [F.col("_g").alias(group_col)]
+    keys = [] if group_col is None else [F.when(~F.col("_null"), F.col("_g")).alias(group_col)]
     return groups.select(*keys, F.col("_first").alias("first_id"), F.col("_n").alias("n_copies"))
+
+
+def unique_rows(df: DataFrame, *, group_col: str | None = "query_id", id_col: str = "result_id", url_col: str = "url") -> DataFrame:
+    """The collapsed table: the first row of every page, whole, with ``n_copies`` (1 for a page that stands once).
+
+    A row with a null or empty url names no page and stays as it is, so the numbers of copies
+    add up to the rows of ``df``. ``n_copies`` replaces a column of that name.
+    """
+    members, groups = _grouped(df, group_col, id_col, url_col)
+    held = members.join(groups, [*_GROUP, "_a", "_b"]).select(F.col("_id").alias("_member"), "_first", "_n")
+    out = df.join(held, F.col(id_col) == F.col("_member"), "left").filter("_member is null or _member = _first")
+    return out.select(*(F.col(c) for c in df.columns if c != "n_copies"), F.coalesce("_n", F.lit(1).cast("long")).alias("n_copies"))

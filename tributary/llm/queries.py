@@ -28,6 +28,11 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_duplicates.collapse(table(spark, sf_dir, "ranked_results"))
 
 
+@query
+def p1_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_duplicates.unique_rows(table(spark, sf_dir, "ranked_results")).select("query_id", "result_id", "url", "title", "n_copies")
+
+
 _URL_FORMS = r"""
 WITH bare AS (
   SELECT query_id, result_id,
@@ -51,6 +56,10 @@ SELECT first_id, result_id
 FROM (SELECT result_id, min(result_id) OVER (PARTITION BY query_id, form) AS first_id FROM forms)
 WHERE first_id <> result_id"""
 
+SQL["p1_unique"] = _URL_FORMS + """, n AS (SELECT result_id, min(result_id) OVER w AS first_id, count(*) OVER w AS n_copies FROM forms WINDOW w AS (PARTITION BY query_id, form))
+SELECT query_id, result_id, url, title, coalesce(n_copies, 1) AS n_copies FROM ranked_results LEFT JOIN n USING (result_id)
+WHERE first_id IS NULL OR first_id = result_id"""
+
 SQL["p1_collapsed"] = _URL_FORMS + """
 SELECT query_id, min(result_id) AS first_id, count(*) AS n_copies
 FROM forms GROUP BY query_id, form HAVING count(*) > 1"""
