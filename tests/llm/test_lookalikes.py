@@ -37,6 +37,20 @@ def test_rewritten(form, text, want):
     assert form(form(text)) == form(text)
 
 
+def test_letters_of_other_alphabets(form):
+    for text, want in (("pαper", "paper"), ("sτone", "stone"), ("cοde", "code"), ("cօde", "code"), ("Ꭱoad", "Road"), ("pά per", "pá per"), ("pάper", "páper"), ("ѐtage", "ètage"), ("моpe", "море"), ("ⲞΚ", "ΟΚ")):
+        assert form(text) == want, text
+        assert form(form(text)) == form(text)
+        assert form(text) == text or re.search(form.candidate_pattern(), text)
+    # transitive: Greek and Cyrillic letters meet in a Latin one
+    assert form.across["о"]["GREEK"] == "ο" and form.across["ο"]["CYRILLIC"] == "о"
+    # no look-alike: the word is found all the same
+    assert form("flжf") == "flжf" and form.mixed_words("a flжf") == [(2, 6, "LATIN")]
+    # letters that all have look-alikes: the text around decides
+    assert form("Ηοw the kettle boils") == "How the kettle boils"
+    assert form.mixed_words("Wort слово αβγ 温a кабель-USB") == []
+
+
 @pytest.mark.parametrize(
     "text",
     ["“quoted” – dash — …", "5 m² ½ № 7 ™ ®", "你好，世界！（好）", "👩‍🌾 ☕️", "USB-кабель и Dusku", "茶壶Vasda清理", "Größe naïve ção", "Привет мир", ""],

@@ -8,9 +8,11 @@ and hyphens and the plain ones. The representative of a class is its most freque
 in the corpus. A multi-pattern automaton over all other members rewrites a text, longest
 match first.
 
-Letters that look alike across alphabets are one class too, but each is ordinary in words
-of its own alphabet. They are rewritten only inside a word that mixes alphabets, to the
-member of the alphabet that the rest of the word is written in.
+Letters that look alike across alphabets are joined by a second union-find, transitively, with
+their accented forms, but each is ordinary in words of its own alphabet. The automaton holds them
+with a condition: they are rewritten only inside a word that mixes alphabets, to the most frequent
+member of their class in the alphabet that the rest of the word is written in. A word that
+mixes alphabets is unusual even if one of its letters has no look-alike there; that letter stays.
 
 Ordinary, and kept: typographic quotes, dashes, ellipses, superscripts, fractions, signs
 like the numero and trade mark signs, full-width punctuation, joiners and selectors of emoji.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,8 +40,13 @@ from tributary.llm import encodings
 HYPHENS = "‐‑﹣－"
 #: Letters of other alphabets, and the Latin letters they look like.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYXaesijopcyxhdqw", strict=True))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιϲϳ", "ABEZHIKMNOPTYXovicj", strict=True))
-#: Accented letters across alphabets; the parts decide for all others.
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγηικνορτυχωϲϳ", "ABEZHIKMNOPTYXaynikvoptuxwcj", strict=True))
+ARMENIAN = dict(zip("ՍՏՕագհյոսցօ", "USOwqhjnugo", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZRWSVSLCPKB", strict=True))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "HIKMNOPCTYXopc", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+#: Alphabets, by the first word of the names of their letters, whose letters don't stand in words of another.
+ALPHABETS = frozenset(("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC", "GEORGIAN", "GLAGOLITIC", "LISU"))
 _JOINS = ("wide", "narrow", "font", "circle", "compat", "initial", "medial", "final", "isolated")
 _EMOJI = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}️]")
 _MARKED = regex.compile(r"[\p{L}\p{N}]\p{M}+")
@@ -119,36 +127,31 @@ def _class_of(chars: set[str]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
-_SCRIPTS = (("Latin", regex.compile(r"\p{Latin}")), ("Cyrillic", regex.compile(r"\p{Cyrillic}")), ("Greek", regex.compile(r"\p{Greek}")))
+@functools.lru_cache(maxsize=1 << 14)
+def alphabet(letter: str) -> str | None:
+    """The alphabet of a letter; None for marks, signs and letters of scripts that stand beside others."""
+    if unicodedata.category(letter)[0] != "L":
+        return None
+    first = unicodedata.name(letter, "").split(" ", 1)[0]
+    return first if first in ALPHABETS else None
 
 
 @functools.cache
-def _alike() -> dict[str, dict[str, str]]:
-    """For each look-alike letter, the member of its class in each alphabet."""
-    classes: dict[str, dict[str, str]] = {}
-    for script, pairs in (("Cyrillic", CYRILLIC), ("Greek", GREEK)):
-        for c, latin in pairs.items():
-            classes.setdefault(latin, {"Latin": latin})[script] = c
-    return {c: members for members in classes.values() for c in members.values()}
-
-
-@functools.lru_cache(maxsize=1 << 16)
-def _one_alphabet(word: str) -> str:
-    base = unicodedata.normalize("NFD", word)
-    alike = _alike()
-    sure: dict[str, int] = {}
-    unsure: dict[str, int] = {}
-    for c in base:
-        for name, pattern in _SCRIPTS:
-            if pattern.match(c):
-                group = unsure if c in alike else sure
-                group[name] = group.get(name, 0) + 1
-    if len({*sure, *unsure}) < 2:
-        return word
-    counted = sure or unsure
-    script = max(counted, key=lambda s: (counted[s], unsure.get(s, 0), s == "Latin"))
-    out = "".join(alike[c].get(script, c) if c in alike else c for c in base)
-    return unicodedata.normalize("NFC", out)
+def crossings() -> tuple[tuple[str, str], ...]:
+    """Pairs of letters of two alphabets that look alike, with the accented letters made of them."""
+    pairs = [(c, latin) for table in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COPTIC, LISU) for c, latin in table.items()]
+    near: dict[str, set[str]] = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for cp in range(0xC0, 0x2000):
+        whole = unicodedata.normalize("NFD", chr(cp))
+        if len(whole) > 1 and whole[0] in near and alphabet(chr(cp)):
+            for other in near[whole[0]]:
+                made = unicodedata.normalize("NFC", other + whole[1:])
+                if len(made) == 1:
+                    pairs.append((chr(cp), made))
+    return tuple(pairs)
 
 
 @dataclass
@@ -157,6 +160,8 @@ class Canonicaliser:
 
     counts: dict[str, int]
     rules: dict[str, str] = field(default_factory=dict)
+    #: For each letter that looks like one of another alphabet, its look-alike in each alphabet.
+    across: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         sets = UnionFind()
@@ -165,6 +170,15 @@ class Canonicaliser:
         for members in sets.classes():
             best = max(members, key=lambda s: (s in ("", " ", "-"), self._count(s), s == unicodedata.normalize("NFKC", s), -len(s), s))
             self.rules.update({m: best for m in members if m != best})
+        alike = UnionFind()
+        for a, b in crossings():
+            alike.union(a, b)
+        for members in alike.classes():
+            own: dict[str, list[str]] = {}
+            for m in members:
+                own.setdefault(alphabet(m), []).append(m)
+            best = {a: max(some, key=lambda m: (self._count(m), -ord(m))) for a, some in own.items()}
+            self.across.update({m: best for m in members})
         self._automaton = None
 
     def _count(self, s: str) -> int:
@@ -177,23 +191,54 @@ class Canonicaliser:
         """A regular expression that holds for every value the rewriting may change."""
         chars = {m if len(m) == 1 else m[1] for m in self.rules}
         words = "".join(f"|{m}" for m in sorted(self.rules) if len(m) > 1 and m.isascii())
-        latin, cyrillic, greek = "[A-Za-z\u00c0-\u024f]", "[\u0400-\u052f]", "[\u0370-\u03ff]"
-        mixed = "|".join(f"{a}{b}" for a in (latin, cyrillic, greek) for b in (latin, cyrillic, greek) if a != b)
-        return rf"[{_class_of({c for c in chars if not c.isascii()})}]|{mixed}{words}"
+        latin, cyrillic, greek = "A-Za-z\u00c0-\u024f\u1e00-\u1eff", "\u0400-\u052f", "\u0370-\u03ff\u1f00-\u1fff"
+        other = "\u0530-\u058f\u10a0-\u10ff\u13a0-\u13ff\u1c90-\u1cbf\u2c00-\u2c5f\u2c80-\u2cff\u2d00-\u2d2f\ua4d0-\ua4ff\uab70-\uabbf"
+        mixed = "|".join(f"[{a}][{''.join(b for b in (latin, cyrillic, greek) if b != a)}]" for a in (latin, cyrillic, greek))
+        return rf"[{_class_of({c for c in chars if not c.isascii()})}{other}]|{mixed}{words}"
 
     def __getstate__(self) -> dict:
-        return {"counts": self.counts, "rules": self.rules, "_automaton": None}
+        return {"counts": self.counts, "rules": self.rules, "across": self.across, "_automaton": None}
+
+    def mixed_words(self, text: str) -> list[tuple[int, int, str]]:
+        """``begin, end, alphabet`` of the words that mix alphabets, with the one that most of the word is written in.
+
+        Letters without a look-alike are sure; where a word has none, all letters of the text decide.
+        """
+        out = []
+        near: Counter[str] = Counter()
+        for m in _WORD.finditer(text):
+            if m.group().isascii():
+                continue
+            sure: dict[str, int] = {}
+            unsure: dict[str, int] = {}
+            for c in m.group():
+                if (name := alphabet(c)) is not None:
+                    group = unsure if c in self.across else sure
+                    group[name] = group.get(name, 0) + 1
+            if len({*sure, *unsure}) > 1:
+                if not sure and not near:
+                    near.update(filter(None, map(alphabet, text)))
+                counted = sure or {a: near[a] for a in unsure}
+                out.append((*m.span(), max(counted, key=lambda a: (counted[a], unsure.get(a, 0), a == "LATIN", a))))
+        return out
 
     def _rewrite(self, text: str) -> str:
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
-            for member, best in self.rules.items():
-                self._automaton.add_word(member, (len(member), best))
+            for member in self.rules.keys() | self.across.keys():
+                self._automaton.add_word(member, (len(member), self.rules.get(member), self.across.get(member)))
             self._automaton.make_automaton()
         parts, at = [], 0
-        for end, (size, best) in self._automaton.iter_long(text):
+        mixed, word = None, 0
+        for end, (size, best, alike) in self._automaton.iter_long(text):
             begin = end + 1 - size
-            if best == "" and self._in_emoji(text, begin):
+            if alike is not None:
+                mixed = self.mixed_words(text) if mixed is None else mixed
+                while word < len(mixed) and mixed[word][1] <= begin:
+                    word += 1
+                if word < len(mixed) and mixed[word][0] <= begin:
+                    best = alike.get(mixed[word][2], best)
+            if best is None or best == text[begin : end + 1] or best == "" and self._in_emoji(text, begin):
                 continue
             parts += [text[at:begin], best]
             at = end + 1
@@ -211,13 +256,10 @@ class Canonicaliser:
         """The one form of ``text``."""
         if text.isascii():
             return text
-        text = self._rewrite(text)
-        text = _WORD.sub(lambda m: m.group() if m.group().isascii() else _one_alphabet(m.group()), text)
-        for _ in range(4):
-            again = self._rewrite(text)
-            if again == text:
-                break
-            text = again
+        seen = set()
+        while text not in seen:
+            seen.add(text)
+            text = self._rewrite(text)
         return text
 
 
@@ -261,7 +303,7 @@ def canonicaliser(df: DataFrame, *, fields: tuple[str, ...] = ("title", "content
 def find_unusual(
     df: DataFrame, *, id_col: str = "result_id", fields: tuple[str, ...] = ("title", "content"), sample: int = encodings.SAMPLE
 ) -> DataFrame:
-    """``<id_col>, field, canonical`` of every value that is not in its one form.
+    """``<id_col>, field, canonical`` of every value that is not in its one form or has a word of several alphabets.
 
     Garbled values are left out: their characters are wrong, not unusual. Null, empty and
     pure ASCII values are in their form. Each row is judged by itself; other columns are
@@ -277,7 +319,7 @@ def find_unusual(
         may_change = re.compile(form.candidate_pattern()).search
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            changed = {t: c for t in dict.fromkeys(texts) if may_change(t) and (c := form(t)) != t}
+            changed = {t: c for t in dict.fromkeys(texts) if may_change(t) and ((c := form(t)) != t or form.mixed_words(t))}
             some = list(changed)
             for t, (garbled, *_) in zip(some, encodings.classify(some, model), strict=True):
                 if garbled:
