@@ -39,7 +39,7 @@ _PAIR_EVIDENCE = 16.0
 _ONE_BYTE = 11.0
 REPLACEMENT = "�"
 
-#: Fixed values: (written in, read in) of the chains, public encoding names.
+#: Fixed values: (written in, read in) of the steps, public encoding names.
 STEPS = (
     ("utf-8", "cp1252"),
     ("utf-8", "latin-1"),
@@ -49,6 +49,10 @@ STEPS = (
     ("utf-8", "cp437"),
     ("utf-8", "cp850"),
     ("utf-8", "cp866"),
+    ("utf-8", "cp1250"),
+    ("utf-8", "cp1253"),
+    ("utf-8", "cp1254"),
+    ("utf-8", "iso8859-15"),
     ("utf-8", "gb18030"),
     ("cp1251", "cp1252"),
     ("koi8-r", "cp1251"),
@@ -57,10 +61,14 @@ STEPS = (
     ("cp1251", "utf-8"),
     ("gb18030", "utf-8"),
 )
+#: Steps that may follow one another, in any order.
 TWICE = (("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp1251"))
+#: Share of the sample that a chain must garble unlike all chains before it to be told apart from them.
+OWN_SHARE = 0.01
 
 Chain = tuple[tuple[str, str], ...]
-CHAINS: tuple[Chain, ...] = tuple((s,) for s in STEPS) + tuple((s, s) for s in TWICE)
+#: All chains that are tried; training leaves out those that the sample can't tell from others.
+CHAINS: tuple[Chain, ...] = tuple((s,) for s in STEPS) + tuple((a, b) for a in TWICE for b in TWICE)
 
 
 @functools.lru_cache(maxsize=32)
@@ -188,6 +196,7 @@ class Model:
 
     ratios: np.ndarray
     blocks: frozenset[int]
+    chains: tuple[Chain, ...]
 
     def __post_init__(self) -> None:
         self.peak = self.ratios.max(axis=0)
@@ -210,7 +219,7 @@ class Model:
         Known are the blocks of 128 code points that the clean sample holds. Well-formed
         UTF-8 hardly arises by chance; other encodings need evidence in the run itself.
         """
-        first, read = CHAINS[chain][0]
+        first, read = self.chains[chain][0]
         letters = read in ("cp1251", "koi8-r", "cp866")
         least = {"utf-8": -np.inf, "gb18030": _PAIR_EVIDENCE}.get(first, 0.0)
 
@@ -218,7 +227,7 @@ class Model:
             if letters and any(map(unicodedata.combining, restored)):
                 return False  # two letters of a word that happen to be an accent's bytes
             if not all(ord(c) >> 7 in self.blocks for c in restored):
-                return first == "utf-8" and len(CHAINS[chain]) > 1 and all(ord(c) < 0x3000 for c in restored)
+                return first == "utf-8" and len(self.chains[chain]) > 1 and all(ord(c) < 0x3000 for c in restored)
             return least == -np.inf or self.ratios[chain][_bigrams([f" {garbled} "])[0]].sum() > least
 
         return decide
@@ -233,7 +242,7 @@ class Model:
         heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         own = owner[heads]
         drop = np.repeat(np.arange(len(heads)) * 1e6, np.diff(np.concatenate((heads, [len(owner)]))))
-        for c in range(len(CHAINS)):
+        for c in range(len(self.chains)):
             gain = self.ratios[c][grams]
             total = np.cumsum(gain, dtype=np.float64) - drop
             low = np.minimum.accumulate(total - gain)
@@ -244,9 +253,21 @@ class Model:
         return best, chain
 
 
-def _garbled_sample(texts: list[str], chain: Chain) -> list[str]:
-    out = [garble(t, chain) for t in texts]
-    return [g for g, t in zip(out, texts, strict=True) if g != t and "?" * 3 not in g]
+def _garbled_samples(texts: list[str]) -> dict[Chain, list[str]]:
+    """Garbled copies of a sample by every chain that the sample can tell apart."""
+    out: dict[Chain, list[str]] = {}
+    known: list[set[str]] = [set() for _ in texts]
+    for chain in CHAINS:
+        own, fresh = [], 0
+        for text, seen in zip(texts, known, strict=True):
+            g = garble(text, chain)
+            if g != text and "???" not in g:
+                own.append(g)
+                fresh += g not in seen
+                seen.add(g)
+        if fresh > OWN_SHARE * len(texts):
+            out[chain] = own
+    return out
 
 
 def _fit(clean: list[str]) -> Model:
@@ -257,7 +278,8 @@ def _fit(clean: list[str]) -> Model:
 
     base = logs(clean)
     blocks = frozenset({0} | {ord(c) >> 7 for v in clean for c in v})
-    return Model(np.stack([np.clip(logs(_garbled_sample(clean, c)) - base, -8, 8) for c in CHAINS]).astype(np.float32), blocks)
+    garbled = _garbled_samples(clean) or {CHAINS[0]: []}
+    return Model(np.stack([np.clip(logs(g) - base, -8, 8) for g in garbled.values()]).astype(np.float32), blocks, tuple(garbled))
 
 
 def train(values: list[str]) -> Model:
@@ -281,11 +303,11 @@ def classify(texts: list[str], model: Model) -> list[tuple[bool, str, str | None
     best, chains = np.zeros(len(views)), np.zeros(len(views), int)
     best[some], chains[some] = model.evidence([views[i] for i in some])
     tries = np.flatnonzero(best >= TRY).tolist()
-    fixed = [undo(views[i], CHAINS[chains[i]], model.accepts(chains[i])) for i in tries]
+    fixed = [undo(views[i], model.chains[chains[i]], model.accepts(chains[i])) for i in tries]
     again, _ = model.evidence(fixed)
     for i, f, left in zip(tries, fixed, again, strict=True):
-        name = "; ".join(f"{w} read as {r}" for w, r in CHAINS[chains[i]])
-        one_byte = CHAINS[chains[i]][0][0] not in ("utf-8", "gb18030")
+        name = "; ".join(f"{w} read as {r}" for w, r in model.chains[chains[i]])
+        one_byte = model.chains[chains[i]][0][0] not in ("utf-8", "gb18030")
         if f != views[i] and left < best[i] and best[i] >= (_ONE_BYTE if one_byte else TRY):
             out[i] = (True, name, f + texts[i][len(views[i]) :])
         elif best[i] >= LOST:
