@@ -37,6 +37,8 @@ TRY, LOST = 10.0, 60.0
 _PAIR_EVIDENCE = 16.0
 #: Evidence that a value read in another one-byte encoding needs.
 _ONE_BYTE = 11.0
+#: Chains that are tried on a value, the likeliest first, until one explains something.
+NEXT = 3
 REPLACEMENT = "�"
 
 #: Fixed values: (written in, read in) of the steps, public encoding names.
@@ -51,8 +53,6 @@ STEPS = (
     ("utf-8", "cp866"),
     ("utf-8", "cp1250"),
     ("utf-8", "cp1253"),
-    ("utf-8", "cp1254"),
-    ("utf-8", "iso8859-15"),
     ("utf-8", "gb18030"),
     ("cp1251", "cp1252"),
     ("koi8-r", "cp1251"),
@@ -147,8 +147,11 @@ def undo(text: str, chain: Chain, better: Callable[[str, str], bool] = lambda ga
     """``text`` with every part that ``chain`` explains put back; the rest as it was.
 
     Where the bytes were not UTF-8, nearly every run decodes; ``better(run, restored)`` decides.
+    Of two different steps both must be found, or nothing is put back.
     """
+    given = text
     for written, read in reversed(chain):
+        before = text
         if read == "utf-8":
             return text  # bytes were lost
         if read == "gb18030":
@@ -156,7 +159,15 @@ def undo(text: str, chain: Chain, better: Callable[[str, str], bool] = lambda ga
             continue
         view = text.translate(_to_bytes(read))
         parts, at = [], 0
-        for m in _RUNS.get(written, _UPPER).finditer(view):
+        found = list(_RUNS.get(written, _UPPER).finditer(view))
+        for n, m in enumerate(found):
+            if written == "utf-8" and read in CYRILLIC:
+                # garbling spares no letter of a word: one beside the run that is in no run speaks against it
+                first, last = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+                if _CYRILLIC.match(first) and not (n and found[n - 1].end() == m.start()):
+                    continue
+                if _CYRILLIC.match(last) and not (n + 1 < len(found) and found[n + 1].start() == m.end()):
+                    continue
             if written not in _RUNS and _LETTER.search(text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]):
                 continue  # a one-byte reading garbles whole words
             try:
@@ -169,9 +180,14 @@ def undo(text: str, chain: Chain, better: Callable[[str, str], bool] = lambda ga
                 parts += [text[at : m.start()], out]
                 at = m.end()
         text = "".join(parts) + text[at:]
+        if text == before and len(set(chain)) > 1:
+            return given
     return text
 
 
+#: Encodings whose upper half is letters of words.
+CYRILLIC = ("cp1251", "koi8-r", "cp866")
+_CYRILLIC = regex.compile(r"\p{Cyrillic}")
 _UPPER = regex.compile("[\x80-\xff]+")
 _RUNS = {"utf-8": _SEQUENCE, "gb18030": regex.compile("(?:[\x81-\xfe][\xa1-\xfe])+")}
 _LETTER = regex.compile(r"[\p{L}\p{M}\p{Cf}]")
@@ -220,7 +236,7 @@ class Model:
         UTF-8 hardly arises by chance; other encodings need evidence in the run itself.
         """
         first, read = self.chains[chain][0]
-        letters = read in ("cp1251", "koi8-r", "cp866")
+        letters = read in CYRILLIC
         least = {"utf-8": -np.inf, "gb18030": _PAIR_EVIDENCE}.get(first, 0.0)
 
         def decide(garbled: str, restored: str) -> bool:
@@ -232,25 +248,20 @@ class Model:
 
         return decide
 
-    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Best sum over a stretch and its chain, for each text."""
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """Best sum over a stretch, for each text and chain."""
         grams, owner = _bigrams(texts)
-        best = np.zeros(len(texts))
-        chain = np.zeros(len(texts), int)
+        out = np.zeros((len(texts), len(self.chains)))
         if not len(grams):
-            return best, chain
+            return out
         heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        own = owner[heads]
         drop = np.repeat(np.arange(len(heads)) * 1e6, np.diff(np.concatenate((heads, [len(owner)]))))
         for c in range(len(self.chains)):
             gain = self.ratios[c][grams]
             total = np.cumsum(gain, dtype=np.float64) - drop
             low = np.minimum.accumulate(total - gain)
-            top = np.maximum.reduceat(total - low, heads)
-            better = top > best[own]
-            best[own[better]] = top[better]
-            chain[own[better]] = c
-        return best, chain
+            out[owner[heads], c] = np.maximum.reduceat(total - low, heads)
+        return out
 
 
 def _garbled_samples(texts: list[str]) -> dict[Chain, list[str]]:
@@ -300,17 +311,28 @@ def classify(texts: list[str], model: Model) -> list[tuple[bool, str, str | None
     views = [t[:-1] if t.endswith(REPLACEMENT) and t.count(REPLACEMENT) == 1 else t for t in texts]
     out: list[tuple[bool, str, str | None]] = [(REPLACEMENT in v, "lost" if REPLACEMENT in v else "", None) for v in views]
     some = model.suspects(views)
-    best, chains = np.zeros(len(views)), np.zeros(len(views), int)
-    best[some], chains[some] = model.evidence([views[i] for i in some])
-    tries = np.flatnonzero(best >= TRY).tolist()
-    fixed = [undo(views[i], model.chains[chains[i]], model.accepts(chains[i])) for i in tries]
-    again, _ = model.evidence(fixed)
-    for i, f, left in zip(tries, fixed, again, strict=True):
-        name = "; ".join(f"{w} read as {r}" for w, r in model.chains[chains[i]])
-        one_byte = model.chains[chains[i]][0][0] not in ("utf-8", "gb18030")
-        if f != views[i] and left < best[i] and best[i] >= (_ONE_BYTE if one_byte else TRY):
+    tops = np.zeros((len(views), len(model.chains)))
+    tops[some] = model.evidence([views[i] for i in some])
+    tries = np.flatnonzero(tops.max(axis=1) >= TRY).tolist()
+    fixed, by = [], []
+    for i in tries:
+        # the likeliest chain; where it explains nothing, the next ones
+        order = [c for c in np.argsort(-tops[i], kind="stable")[:NEXT].tolist() if tops[i, c] >= TRY]
+        f, chain = views[i], order[0]
+        for c in order:
+            if (f := undo(views[i], model.chains[c], model.accepts(c))) != views[i]:
+                chain = c
+                break
+        fixed.append(f)
+        by.append(chain)
+    left = model.evidence(fixed).max(axis=1)
+    for i, f, chain, rest in zip(tries, fixed, by, left, strict=True):
+        name = "; ".join(f"{w} read as {r}" for w, r in model.chains[chain])
+        one_byte = model.chains[chain][0][0] not in ("utf-8", "gb18030")
+        best = tops[i].max()
+        if f != views[i] and rest < best and tops[i, chain] >= (_ONE_BYTE if one_byte else TRY):
             out[i] = (True, name, f + texts[i][len(views[i]) :])
-        elif best[i] >= LOST:
+        elif best >= LOST:
             out[i] = (True, name, None)
     return out
 
