@@ -43,6 +43,8 @@ BLOCK = 256
 WEIGHT = 1 << 32
 #: Pages that a text must stand on to be tested for a stand-in.
 STAND_IN_PAGES = 5
+#: Rows of a table that is broadcast; a larger one is shuffled.
+SMALL_TABLE = 200_000
 #: Rows of the registry up to which weights are looked up in a literal map.
 SMALL_REGISTRY = 1_000
 #: Usual stand-ins for a missing text, in lower case.
@@ -186,6 +188,9 @@ _GIVEN = ("a", "b", "field", "value", "id", "seen", "trust", "most", "chars", "w
 
 def _choose(rows: list[tuple], sentences: set[str]) -> tuple | None:
     """The survivor of one field of one group."""
+    if len(rows) == 1:
+        r = rows[0]
+        return (*r[:3], r[3], r[4], r[6] >= r[7]) if r[9] else None
     a, b, name = rows[0][:3]
     own = [dict(zip(_GIVEN[3:], r[3:], strict=True)) for r in rows if r[9] or r[10]]
     whole = [r for r in own if r["whole"]]
@@ -414,12 +419,19 @@ def _grouped(df: DataFrame, registry: DataFrame, id_col: str, url_col: str, engi
     return _with_trust(rows, registry), groups
 
 
-def _stand_ins(equal: DataFrame) -> DataFrame:
+def _meet(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose other side is written, counted, and broadcast if it has at most ``SMALL_TABLE`` rows."""
+    other = cut_lineage(other)
+    return df.join(F.broadcast(other) if other.count() <= SMALL_TABLE else other, on, how)
+
+
+def _stand_ins(values: DataFrame) -> DataFrame:
     """``field, value`` of the texts that stand on many pages and say nothing about most of them."""
-    texts = equal.filter("field <> 'url'").select("a", "b", "field", "value", "chars")
-    common = texts.groupBy("field", "value").agg(F.count("*").alias("pages")).filter(F.col("pages") >= STAND_IN_PAGES).select("field", "value")
-    at = texts.join(common, ["field", "value"]).select("a", "b", "field", "value")
-    other = texts.join(common, ["field", "value"], "left_anti").join(at.select("a", "b", "field").distinct(), ["a", "b", "field"], "left_semi")
+    texts = values.filter("field <> 'url'").select("a", "b", "field", "value", "chars", F.xxhash64("value").alias("h"))
+    common = texts.groupBy("field", "h").agg(F.count("*").alias("pages")).filter(F.col("pages") >= STAND_IN_PAGES)
+    tagged = _meet(texts, common, ["field", "h"], "left")
+    at = tagged.filter("pages is not null").select("a", "b", "field", "value")
+    other = _meet(tagged.filter("pages is null"), at.select("a", "b", "field").distinct(), ["a", "b", "field"], "left_semi")
     other = other.groupBy("a", "b", "field").agg(F.max_by("value", F.struct("chars", "value")).alias("other"))
     words = lambda c: F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(c), r"([\u3400-\u9fff])|[^\p{L}\p{N}]+", "$1 ")), " +"))
     x, y = words("value"), words("other")
@@ -448,20 +460,18 @@ def survivors(
     is the earliest. Ties go to the smallest id. Other columns are not read.
     """
     rows, groups = _grouped(df, registry, id_col, url_col, engines_col, seen_col, fields)
-    return _survivors(df, rows, groups, fields, block, with_url)
+    return _survivors(df, rows, fields, block, with_url).join(groups.select("a", "b"), ["a", "b"])
 
 
-def _survivors(df: DataFrame, rows: DataFrame, groups: DataFrame, fields: tuple[str, ...], block: int, with_url: bool) -> DataFrame:
+def _survivors(df: DataFrame, rows: DataFrame, fields: tuple[str, ...], block: int, with_url: bool) -> DataFrame:
+    """As ``survivors``, of groups of one row too."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = ", ".join([f"'{f}', `_{f}`" for f in fields] + ["'url', url"] * with_url)
     long = rows.selectExpr("a", "b", "id", "seen", "trust", f"stack({len(fields) + with_url}, {named}) as (field, value)").filter("value <> ''")
     # equal values of a group: the row seen last, of these the one with the most trust
     equal = long.groupBy("a", "b", "field", "value").agg(F.max(F.struct("seen", "trust", (-F.col("id")).alias("i"))).alias("top"), F.max("trust").alias("most"))
-    equal = equal.join(groups.select("a", "b"), ["a", "b"])
-    equal = cut_lineage(equal.selectExpr("a", "b", "field", "value", "-top.i as id", "top.seen as seen", "top.trust as trust", "most", "cast(char_length(value) as long) as chars"))
-    given = equal.columns
+    equal = equal.selectExpr("a", "b", "field", "value", "-top.i as id", "top.seen as seen", "top.trust as trust", "most", "cast(char_length(value) as long) as chars")
     model = truncation.fit(df, fields=fields, source_col=None)
-    marked = equal.join(_stand_ins(equal), ["field", "value"], "left").select(*given, F.coalesce("stand", F.lit(False)).alias("stand"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -473,20 +483,22 @@ def _survivors(df: DataFrame, rows: DataFrame, groups: DataFrame, fields: tuple[
             need = {some[i]: k for i, k in lacking.items()}
             foreign = [k for k in some if not k[0].isascii()]
             bad = {k for k, (g, *_) in zip(foreign, encodings.classify([k[0] for k in foreign], model.garbled), strict=True) if g}
-            stand = [k[1] != "url" and (x or k[0].strip().lower() in STAND_INS or not k[0].strip()) for k, x in zip(keys, batch.column("stand").to_pylist(), strict=True)]
+            stand = [k[1] != "url" and (k[0].strip().lower() in STAND_INS or not k[0].strip()) for k in keys]
             cuts = [cut.get(k, False) and not s for k, s in zip(keys, stand, strict=True)]
             whole = [not (c or s or k in bad) for k, c, s in zip(keys, cuts, stand, strict=True)]
             flagged = [c and k not in bad for k, c in zip(keys, cuts, strict=True)]
             needed = pa.array([need.get(k) for k in keys], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(whole), pa.array(flagged), needed], names=[*kept, "whole", "cut", "need"])
 
-    kept = marked.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema.fields) + ", whole boolean, cut boolean, need array<string>"
-    values = cut_lineage(marked.mapInArrow(judge, kinds))
+    kept = equal.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in equal.schema.fields) + ", whole boolean, cut boolean, need array<string>"
+    values = cut_lineage(equal.mapInArrow(judge, kinds))
     if model.floor > 2:
         again = truncation.with_facts(values.filter("need is not null").select(*kept, "need"), model)
         values = values.filter("need is null").unionAll(cut_lineage(again.mapInArrow(judge, kinds)))
-    values = values.drop("need", "stand")
+    values = _meet(values.drop("need"), _stand_ins(values), ["field", "value"], "left")
+    known = F.col("stand").isNull()
+    values = values.withColumns({"whole": F.col("whole") & known, "cut": F.col("cut") & known}).drop("stand")
     large = values.groupBy("a", "b", "field").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     some_large = bool(large.limit(1).count())
     small = values.join(large, ["a", "b", "field"], "left_anti") if some_large else values
@@ -497,7 +509,7 @@ def _survivors(df: DataFrame, rows: DataFrame, groups: DataFrame, fields: tuple[
 def best_rows(df: DataFrame, registry: DataFrame, *, id_col: str = "hit_id", url_col: str = "url", title: str = "title", content: str = "content", engines_col: str = "engines", seen_col: str = "seen_at", block: int = BLOCK) -> DataFrame:
     """``first_id, title_id, content_id`` of the groups whose two survivors are best in everything."""
     rows, groups = _grouped(df, registry, id_col, url_col, engines_col, seen_col, (title, content))
-    chosen = _survivors(df, rows, groups, (title, content), block, False).filter("best")
+    chosen = _survivors(df, rows, (title, content), block, False).filter("best")
     ids = [F.max(F.when(F.col("field") == f, F.col("id"))).alias(n) for f, n in ((title, "title_id"), (content, "content_id"))]
     both = chosen.groupBy("a", "b").agg(*ids).filter("title_id is not null and content_id is not null")
     return both.join(groups, ["a", "b"]).select("first_id", "title_id", "content_id")
@@ -512,7 +524,7 @@ def best_records(
     engines.
     """
     rows, groups = _grouped(df, registry, id_col, url_col, engines_col, seen_col, fields)
-    chosen = _survivors(df, rows, groups, fields, block, True)
+    chosen = _survivors(df, rows, fields, block, True)
     flat = chosen.groupBy("a", "b").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in ("url", *fields)))
     union = rows.select("a", "b", F.explode_outer("engines").alias("e")).groupBy("a", "b").agg(F.array_sort(F.collect_set("e")).alias("engines"))
     out = groups.join(union, ["a", "b"]).join(flat, ["a", "b"], "left")
