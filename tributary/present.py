@@ -35,6 +35,13 @@ def text_blocks(ranked: DataFrame) -> DataFrame:
     return ranked.select("query_id", "rank", F.concat(head, content, found).alias("block"))
 
 
+def warnings(errors: DataFrame) -> DataFrame:
+    """``query_id, engine, n, warning``: one line per failed source of a query, with its greatest message and how often it failed."""
+    per = errors.groupBy("query_id", "engine").agg(F.max("message").alias("message"), F.count("*").alias("n"))
+    line = F.concat(F.lit("Warning: "), F.col("engine"), F.lit(" engine failed: "), F.coalesce("message", F.lit("unknown")))
+    return per.select("query_id", "engine", "n", line.alias("warning"))
+
+
 def shorten(text: str, size: int) -> str:
     """Characters that begin within the first ``size`` bytes, then ``...``; short text is kept."""
     data = text.encode()

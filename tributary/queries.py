@@ -215,12 +215,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, key, url, score FROM ordered WHE
 @query
 def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed sources of each query beside the results of the others (A15, P-10, S13)."""
-    errors = table(spark, sf_dir, "engine_errors")
     results = table(spark, sf_dir, "ranked_results").groupBy("query_id").agg(F.count("*").alias("n_results"))
-    per = errors.groupBy("query_id", "engine").agg(F.max("message").alias("message"), F.count("*").alias("n"))
-    warning = F.concat(F.lit("Warning: "), F.col("engine"), F.lit(" engine failed: "), F.coalesce("message", F.lit("unknown")))
-    out = per.join(results, "query_id", "left")
-    return out.select("query_id", "engine", "n", F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), warning.alias("warning"))
+    out = present.warnings(table(spark, sf_dir, "engine_errors")).join(results, "query_id", "left")
+    return out.select("query_id", "engine", "n", F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), "warning")
 
 
 SQL["error_report"] = """WITH r AS (SELECT query_id, count(*) AS n_results FROM ranked_results GROUP BY query_id)
