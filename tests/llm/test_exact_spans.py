@@ -32,7 +32,7 @@ def corpus(seed):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, hot, listed in ((1, 50_000, 9), (2, 3, 10_000), (3, 3, 0)):
+    for seed, hot, listed in ((1, 50_000, 9), (2, 3, 10_000), (3, 3, 0), (4, 50_000, 0)):
         monkeypatch.setattr(exact_spans, "LISTED", listed)
         docs = corpus(seed)
         rows = [(i, t, "x") for i, t in docs.items()] + [(3, docs[3], "again"), (60, None, "x"), (61, "", "x")]

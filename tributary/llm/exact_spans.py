@@ -34,7 +34,7 @@ from tributary.plans.storage import cut_lineage
 
 #: Characters of a shared span at least, of a minimiser, and super-k-mers of a bucket that stays whole.
 SPAN, MINIMISER, HOT = 200, 24, 50_000
-#: Hot buckets up to which their list is sent to the workers; more meet the super-k-mers in a join.
+#: Hot buckets, and copies, up to which their list is sent to the workers; more meet the rest in a shuffled join.
 LISTED = 100_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _START = 0x110000  # stands for the character before a text's first one
@@ -324,7 +324,9 @@ def _spans(df: DataFrame, id_col: str, text_col: str, k: int, m: int, hot: int,
     rows, classes = _classes(df, id_col, text_col, k)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     classes = cut_lineage(classes)
-    texts = rows.join(classes.filter("id = rep").select("id").distinct(), "id").dropDuplicates(["id"]).select("id", "text")
+    copies = classes.filter("id <> rep").select("id").distinct()
+    # few copies are left out where the texts lie; the texts move only to be compared with many
+    texts = rows.join(F.broadcast(copies) if copies.count() <= LISTED else copies, "id", "left_anti")
     packed = texts.mapInArrow(_pack(k, m), "bucket long, id long, start long, before int, part string")
     counts = rows.mapInArrow(_count_buckets(k, m), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     large = cut_lineage(counts.filter(F.col("n") > hot).select("bucket"))
