@@ -29,7 +29,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,6 +183,7 @@ def _cut_against(value: str, others: list[str]) -> bool:
 
 
 _CHOSEN = "a long, b long, field string, value string, id long, best boolean"
+_CHOSEN_NAMES = ["a", "b", "field", "value", "id", "best"]
 
 
 _GIVEN = ("a", "b", "field", "value", "id", "seen", "trust", "most", "chars", "whole", "cut")
@@ -188,9 +191,6 @@ _GIVEN = ("a", "b", "field", "value", "id", "seen", "trust", "most", "chars", "w
 
 def _choose(rows: list[tuple], sentences: set[str]) -> tuple | None:
     """The survivor of one field of one group."""
-    if len(rows) == 1:
-        r = rows[0]
-        return (*r[:3], r[3], r[4], r[6] >= r[7]) if r[9] else None
     a, b, name = rows[0][:3]
     own = [dict(zip(_GIVEN[3:], r[3:], strict=True)) for r in rows if r[9] or r[10]]
     whole = [r for r in own if r["whole"]]
@@ -210,32 +210,66 @@ def _choose(rows: list[tuple], sentences: set[str]) -> tuple | None:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
-    names = ("a", "b", "field", "value", "id", "best")
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_CHOSEN_NAMES)
 
 
 def _small_groups(sentences: set[str]):
     """Survivors of groups that arrive whole, sorted by group and field."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        held: list[pa.RecordBatch] = []  # of the last group so far
         for batch in batches:
-            out = []
-            for r in zip(*(batch.column(c).to_pylist() for c in _GIVEN), strict=True):
-                own = r[:3]
-                if own != key:
-                    if held and (x := _choose(held, sentences)):
-                        out.append(x)
-                    key, held = own, []
-                held.append(r)
-            if out:
-                yield _batch(out)
-        if held and (x := _choose(held, sentences)):
-            yield _batch([x])
+            if not batch.num_rows:
+                continue
+            batch = batch.select(_GIVEN)
+            at = _heads(batch)
+            if held and _key(held[-1]) != _key(batch):
+                yield from work(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(0, at[-1] if len(at) > 1 else batch.num_rows))
+            if len(at) > 1:
+                yield from work(pa.Table.from_batches(held))
+                held = [batch.slice(at[-1])]
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole groups: of those with one value no Python object is made."""
+        (batch,) = table.combine_chunks().to_batches()
+        heads = _heads(batch)
+        sizes = np.diff(np.append(heads, batch.num_rows))
+        one = batch.take(pa.array(heads[sizes == 1]))
+        one = one.filter(one.column("whole"))
+        if one.num_rows:
+            yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("a", "b", "field", "value", "id")), pc.greater_equal(one.column("trust"), one.column("most"))], names=_CHOSEN_NAMES)
+        many = np.repeat(sizes > 1, sizes)
+        rows = list(zip(*(c.to_pylist() for c in batch.filter(pa.array(many)).columns), strict=True))
+        out, at = [], 0
+        for size in sizes[sizes > 1].tolist():
+            if x := _choose(rows[at : at + size], sentences):
+                out.append(x)
+            at += size
+        if out:
+            yield _batch(out)
 
     return run
 
 
+def _heads(batch: pa.RecordBatch) -> np.ndarray:
+    """Where groups begin in a batch."""
+    new = np.ones(batch.num_rows, bool)
+    for c in ("a", "b", "field"):
+        x = batch.column(c)
+        x = (x.dictionary_encode().indices if c == "field" else x).to_numpy(zero_copy_only=False)
+        new[1:] = (x[1:] != x[:-1]) | new[1:] if c != "a" else x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _key(batch: pa.RecordBatch) -> tuple:
+    """Key of the first row; all rows of what is held have one key."""
+    return tuple(batch.column(c)[0].as_py() for c in ("a", "b", "field"))
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with its value up to the white space at the end."""
     for batch in batches:
@@ -478,11 +512,12 @@ def _survivors(df: DataFrame, rows: DataFrame, fields: tuple[str, ...], block: i
             names, texts = batch.column("field").to_pylist(), batch.column("value").to_pylist()
             keys = [(t, f, None) for t, f in zip(texts, names, strict=True)]
             some = list(dict.fromkeys(k for k in keys if k[1] != "url"))
-            why, lacking = model.judge_known(some, truncation.facts_of(batch))
+            foreign = list(dict.fromkeys(k[0] for k in some if not k[0].isascii()))
+            garbled = dict(zip(foreign, encodings.classify(foreign, model.garbled), strict=True))
+            why, lacking = model.judge_known(some, truncation.facts_of(batch), garbled)
             cut = dict(zip(some, (bool(w) for w in why), strict=True))
             need = {some[i]: k for i, k in lacking.items()}
-            foreign = [k for k in some if not k[0].isascii()]
-            bad = {k for k, (g, *_) in zip(foreign, encodings.classify([k[0] for k in foreign], model.garbled), strict=True) if g}
+            bad = {k for k in some if (g := garbled.get(k[0])) and g[0]}
             stand = [k[1] != "url" and (k[0].strip().lower() in STAND_INS or not k[0].strip()) for k in keys]
             cuts = [cut.get(k, False) and not s for k, s in zip(keys, stand, strict=True)]
             whole = [not (c or s or k in bad) for k, c, s in zip(keys, cuts, stand, strict=True)]

@@ -243,8 +243,13 @@ class Model:
         """Why each ``value, field, source`` is cut; an empty string for whole ones."""
         return self.judge_known(values, facts)[0]
 
-    def judge_known(self, values: list[tuple[str, str, str | None]], facts: dict[str, tuple[int, int, int]] | None = None) -> tuple[list[str], dict[int, list[str]]]:
-        """As ``judge``, and for each value that rarer words or contexts could decide, their keys."""
+    def judge_known(
+        self, values: list[tuple[str, str, str | None]], facts: dict[str, tuple[int, int, int]] | None = None, judged_garbled: dict[str, tuple] | None = None
+    ) -> tuple[list[str], dict[int, list[str]]]:
+        """As ``judge``, and for each value that rarer words or contexts could decide, their keys.
+
+        ``judged_garbled`` is what ``encodings.classify`` says of every value beyond ASCII, where that is known.
+        """
         self.facts, need, why = facts or {}, {}, []
 
         def judged(i: int, text: str) -> str:
@@ -260,7 +265,8 @@ class Model:
         # a garbled value is judged by its restored text
         some = [i for i, w in enumerate(why) if (w or i in need) and not values[i][0].isascii()]
         texts = [values[i][0] for i in some]
-        for i, (bad, _, restored) in zip(some, encodings.classify(texts, self.garbled), strict=True):
+        found = encodings.classify(texts, self.garbled) if judged_garbled is None else [judged_garbled[t] for t in texts]
+        for i, (bad, _, restored) in zip(some, found, strict=True):
             if not bad:
                 continue
             text = (values[i][0] if restored is None else restored).rstrip(encodings.REPLACEMENT)
