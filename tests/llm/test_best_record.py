@@ -140,6 +140,24 @@ def test_titles_cut_at_words_do_not_depend_on_group_size(spark, registry):
     assert [[tuple(r) for r in br.best_rows(df, registry, block=b).collect()] for b in (256, 2)] == [[(1, 2, 1)]] * 2
 
 
+def test_ends_left_open_by_earlier_ranges(spark):
+    """Sorted texts in many ranges: each end is found whatever range its continuation falls into."""
+    rng = random.Random(17)
+    texts = set()
+    for _ in range(60):
+        words = [rng.choice(NOUNS) for _ in range(6)]
+        texts |= {" ".join(words[:n]) for n in rng.sample(range(1, 7), 3)}
+    texts = sorted(texts)
+    rows = [(1, 2, "title", t, i, 0, 1.0, 1.0, len(t), True, False) for i, t in enumerate(texts)] + [(3, 4, "title", texts[0], 999, 0, 1.0, 1.0, 5, True, False)]
+    values = spark.createDataFrame(rows, "a long, b long, field string, value string, id long, seen long, trust double, most double, chars long, whole boolean, cut boolean")
+    large = spark.createDataFrame([(1, 2, "title"), (3, 4, "title")], "a long, b long, field string")
+    want = {t for t in texts if not br._cut_against(t, texts)}
+    for parts in (1, 2, 9, 40):
+        got = [(r.a, r.value) for r in br._whole_of_group(values.repartition(3), large, set(), parts).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(1, t) for t in want} | {(3, texts[0])}
+
+
 def test_all_survivors_are_alike_for_every_block(spark):
     folder = "/root/testdata/sf0.01"
     if not os.path.isdir(folder):
@@ -153,7 +171,7 @@ def test_all_survivors_are_alike_for_every_block(spark):
 def brute_record(rows, field):
     """Survivor of whole values by the definition: votes counted column by column on fractions."""
     k = len(rows)
-    beaten = lambda r: sum(o[1] > r[1] or o[2] > r[2] or o[3] > r[3] for o in rows if o is not r)
+    beaten = lambda r: sum((o[1] > r[1]) + (o[2] > r[2]) + (o[3] > r[3]) for o in rows)
     votes = sorted(((br.WEIGHT // (1 + k * beaten(r)), r[0]) for r in rows), key=lambda v: (-v[0], v[1]))
     base = br.split(votes[0][1])
     total = sum(w for w, _ in votes)
@@ -196,7 +214,7 @@ def test_weights_of_large_groups(spark):
     rng = random.Random(3)
     data = [(g, 0, "title", f"{g} {i}", i, rng.randint(0, 9), float(rng.randint(0, 3)), 3.0, rng.randint(1, 9)) for g in range(3) for i in range(60)]
     whole = spark.createDataFrame(data, "a long, b long, field string, value string, id long, seen long, trust double, most double, chars long")
-    got = {r.value: r.weight for r in br._weighted(whole.repartition(3), 4).collect()}
+    got = {r.value: r.weight for r in br._weighted(whole.repartition(3)).collect()}
     for g in range(3):
         own = [r for r in data if r[0] == g]
         votes = br.weights([{"chars": r[8], "seen": r[5], "trust": r[6]} for r in own])

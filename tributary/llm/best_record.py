@@ -9,15 +9,16 @@ closest to it is emitted.
 
 Only whole values vote: not empty, no stand-in for a missing text, not cut off, not
 garbled. A value's weight is ``WEIGHT / (1 + k * beaten)``, rounded down, where ``beaten``
-counts the values of the group that have more characters, were seen later or come with more
-trust, and ``k`` is the number of values. A value that nothing beats outweighs all
+adds up how many values of the group have more characters, how many were seen later and how many
+come with more trust, and ``k`` is the number of values. A value that nothing beats outweighs all
 others together, so it wins every column; otherwise the votes blend.
 
 Every value is aligned to the backbone alone and votes are integers, so neither order nor
 blocks of values change the result. Equal values of a group are pre-aggregated before
 anything else. Up to ``block`` distinct values of a field are aligned in one task; for
 larger groups alignments are spread over tasks and the votes are summed by
-column and token: the same result, and no task ever holds such a group.
+column and token: the same result. Nothing brings such a group into one task: values that
+another continues are found on ranges of the sorted texts, and ranks by counting.
 
 A stand-in is a text that is on the list below, or one that stands on ``STAND_IN_PAGES``
 pages or more and, on most of those that have another text, shares less than half of the words
@@ -27,16 +28,18 @@ pages or more and, on most of those that have another text, shares less than hal
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm import encodings, truncation
 from tributary.llm.format_duplicates import url_form
+from tributary.operators.rank import range_positions
 from tributary.plans.storage import cut_lineage
 
 #: Distinct values of a field that one task aligns; the result does not depend on it.
@@ -164,11 +167,12 @@ def distance(value: str, other: str) -> float:
 def weights(rows: list[dict]) -> list[int]:
     """Votes of whole values: see the module."""
     k = len(rows)
-    out = []
-    for r in rows:
-        beaten = sum(o["chars"] > r["chars"] or o["seen"] > r["seen"] or o["trust"] > r["trust"] for o in rows if o is not r)
-        out.append(WEIGHT // (1 + k * beaten))
-    return out
+    beaten = [0] * k
+    for c in ("chars", "seen", "trust"):
+        order = sorted(r[c] for r in rows)
+        for n, r in enumerate(rows):
+            beaten[n] += k - bisect_right(order, r[c])
+    return [WEIGHT // (1 + k * b) for b in beaten]
 
 
 def _goes_on(end: str, rest: str) -> bool:
@@ -285,14 +289,14 @@ def _continued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, open_ = None, []
     for batch in batches:
         out = []
-        for *own, text, full in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "field", "text", "full")), strict=True):
+        for *own, text, full in zip(*(batch.column(c).to_pylist() for c in ("r", "a", "b", "field", "text", "full")), strict=True):
             if own != key:
                 key, open_ = own, []
             while open_ and not text.startswith(open_[-1]):
                 open_.pop()
             if full:
                 found = [e for e in open_ if _goes_on(e, text[len(e) :])]
-                out += [(*key, e) for e in found]
+                out += [(*key[1:], e) for e in found]
                 open_ = [e for e in open_ if e not in found] if found else open_
             elif not open_ or open_[-1] != text:
                 open_.append(text)
@@ -301,71 +305,41 @@ def _continued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "field", "end"])
 
 
-_CELL = ("a", "b", "field", "seen", "chars", "trust")
-
-
-def _unbeaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many values of its group don't beat a value, itself among them; groups arrive sorted by time.
+def _whole_of_group(values: DataFrame, large: DataFrame, sentences: set[str], parts: int) -> DataFrame:
+    """Whole values of large groups without those that another value of the group continues.
 
-    Held are counts by trust and length (binary indexed trees), not values.
+    Texts are sorted by ranges. What an earlier range leaves open at the begin of a range are the ends that
+    its first text begins with: one text per range, whose prefixes meet the ends in an equi-join.
     """
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-    key, trees, held = None, {}, []
-
-    def release() -> list[tuple]:
-        for *_, chars, trust, n in held:
-            tree, i = trees.setdefault(trust, {}), chars + 1
-            while i < 1 << 32:
-                tree[i] = tree.get(i, 0) + n
-                i += i & -i
-        out = []
-        for *own, chars, trust, _ in held:
-            count = 0
-            for tree in (tree for t, tree in trees.items() if t <= trust):
-                i = chars + 1
-                while i:
-                    count += tree.get(i, 0)
-                    i &= i - 1
-            out.append((*own, chars, trust, count))
-        held.clear()
-        return out
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*_CELL, "unbeaten"])
-
-    for batch in batches:
-        out = []
-        for r in zip(*(batch.column(c).to_pylist() for c in (*_CELL, "n")), strict=True):
-            if held and held[0][:4] != r[:4]:
-                out += release()
-            if r[:3] != key:
-                key, trees = r[:3], {}
-            held.append(r)
-        if out:
-            yield emit(out)
-    if held:
-        yield emit(release())
-
-
-def _whole_of_group(values: DataFrame, large: DataFrame, sentences: set[str], parts: int) -> DataFrame:
-    """Whole values of large groups without those that another value of the group continues."""
     on = ["a", "b", "field"]
-    own = values.filter("whole or cut").join(large.select(*on), on)
+    own = _meet(values.filter("whole or cut"), large.select(*on), on)
     own = cut_lineage(own.mapInArrow(_ends, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields) + ", end string"))
     labels = own.filter(~F.col("field").isin("url", *sentences))
     texts = labels.filter("whole").selectExpr(*on, "end as text", "false as full").unionAll(labels.selectExpr(*on, "value as text", "true as full"))
-    texts = texts.repartition(parts, *on).sortWithinPartitions(*on, "text", "full")
-    continued = texts.mapInArrow(_continued, "a long, b long, field string, end string")
+    order = [*on, "text", "full"]
+    placed = cut_lineage(texts.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("r", F.shiftright(F.monotonically_increasing_id(), 33)))
+    heads = placed.groupBy("r").agg(F.min(F.struct(*on, "text")).alias("h")).select("r", *(f"h.{c}" for c in on), F.col("h.text").alias("first"))
+    begins = heads.select("r", *on, F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("first"), F.lit(1)))).alias("n"), "first")
+    begins = begins.select("r", *on, F.expr("substring(first, 1, n)").alias("text"))
+    open_ = _meet(placed.filter("not full").drop("r").distinct(), begins, [*on, "text"]).select("r", *order)
+    ranges = placed.select("r", *order).unionByName(open_).repartition(parts, "r").sortWithinPartitions("r", *order)
+    continued = ranges.mapInArrow(_continued, "a long, b long, field string, end string")
     return own.filter("whole").join(continued, [*on, "end"], "left_anti").drop("end")
 
 
-def _weighted(whole: DataFrame, parts: int) -> DataFrame:
+def _weighted(whole: DataFrame) -> DataFrame:
     """Whole values of large groups with the votes that ``weights`` gives, and the maxima of their groups."""
-    on = list(_CELL[:3])
+    on = ["a", "b", "field"]
     top = whole.groupBy(*on).agg(F.max("chars").alias("mc"), F.max("seen").alias("ms"), F.max("most").alias("mt"), F.count("*").alias("k"))
-    cells = whole.groupBy(*_CELL).agg(F.count("*").alias("n")).repartition(parts, *on).sortWithinPartitions(*on, "seen")
-    cells = cells.mapInArrow(_unbeaten, "a long, b long, field string, seen long, chars long, trust double, unbeaten long")
-    return whole.join(top, on).join(cells, list(_CELL)).withColumn("weight", F.expr(f"{WEIGHT}L div (1 + k * (k - unbeaten))"))
+    out = _meet(whole, top, on)
+    for c in ("chars", "trust"):  # few lengths, and few weights in a registry
+        above = Window.partitionBy(*on).orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, -1)
+        ranks = whole.groupBy(*on, c).agg(F.count("*").alias("n")).withColumn(f"over_{c}", F.coalesce(F.sum("n").over(above), F.lit(0)))
+        out = _meet(out, ranks.drop("n"), [*on, c])
+    # times differ by value: rows are numbered by ranges, the first of equal ones says how many are later
+    later = range_positions(whole.select(*on, "seen"), by=on, order=[F.desc("seen")]).groupBy(*on, "seen").agg((F.min("pos") - 1).alias("over_seen"))
+    out = out.join(later, [*on, "seen"])
+    return out.withColumn("weight", F.expr(f"{WEIGHT}L div (1 + k * (over_chars + over_seen + over_trust))")).drop("over_chars", "over_trust", "over_seen")
 
 
 def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
@@ -408,9 +382,10 @@ def _with_distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _large_groups(values: DataFrame, large: DataFrame, sentences: set[str], parts: int) -> DataFrame:
     """Survivors of groups with more distinct values than one task should hold."""
     on = ["a", "b", "field"]
-    voted = cut_lineage(_weighted(cut_lineage(_whole_of_group(values, large, sentences, parts)), parts))
+    voted = cut_lineage(_weighted(cut_lineage(_whole_of_group(values, large, sentences, parts))))
     heads = voted.groupBy(*on).agg(F.min_by("value", F.struct(-F.col("weight"), "value")).alias("backbone"), F.sum("weight").alias("total"))
-    paired = voted.select(*on, "value", "weight").join(heads.drop("total"), on)
+    heads = cut_lineage(heads)
+    paired = _meet(voted.select(*on, "value", "weight"), heads.drop("total"), on)
     votes = _mapped(paired, _votes, "a long, b long, field string, slot long, token string, weight long")
     # all that one value of a slot and token adds is summed before it travels
     columns = votes.groupBy(*on, "slot", "token").agg(F.sum("weight").alias("weight")).groupBy(*on, "slot")
@@ -418,7 +393,7 @@ def _large_groups(values: DataFrame, large: DataFrame, sentences: set[str], part
     won = columns.join(heads.select(*on, "total"), on).filter(F.col("top.weight") > F.col("total") - F.col("others"))
     changes = won.groupBy(*on).agg(F.collect_list(F.struct("slot", F.col("top.token").alias("token"))).alias("changes"))
     agreed = _mapped(heads.drop("total").join(changes, on, "left"), _agreed, "a long, b long, field string, agreed string")
-    near = voted.select(*on, "value", "id", "weight", "chars", "seen", "trust", "mc", "ms", "mt").join(agreed, on)
+    near = _meet(voted.select(*on, "value", "id", "weight", "chars", "seen", "trust", "mc", "ms", "mt"), agreed, on)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.schema.fields[:-1]) + ", far double"
     best = (F.col("chars") >= F.col("mc")) & (F.col("seen") >= F.col("ms")) & (F.col("trust") >= F.col("mt"))
     near = near.mapInArrow(_with_distance, kinds).withColumn("best", best)
