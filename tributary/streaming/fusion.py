@@ -24,10 +24,13 @@ def fuse_stream(rows: DataFrame, folder: str, *, weights: DataFrame | None = Non
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
+        if batch.isEmpty():
+            return
+        kind = batch.schema["query_id"].dataType.simpleString()
         # a batch that is run again after a failure overwrites its own part
         part = F.pmod(F.xxhash64("query_id"), F.lit(buckets)).cast("int")
         batch.withColumn("bucket", part).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/batch={n}")
-        touched = spark.read.schema("query_id long, bucket int").parquet(f"{folder}/rows/batch={n}").distinct()
+        touched = spark.read.schema(f"query_id {kind}, bucket int").parquet(f"{folder}/rows/batch={n}").distinct()
         at = [r.bucket for r in touched.select("bucket").distinct().collect()]  # at most ``buckets``
         seen = spark.read.parquet(f"{folder}/rows").filter((F.col("batch") <= n) & F.col("bucket").isin(at)).drop("batch", "bucket")
         fused = fuse(seen.join(touched.select("query_id"), "query_id", "left_semi"), weights, row=row)
