@@ -13,7 +13,8 @@ Refinement, each step only inside the classes with several members that the step
 3. *the exact form* (ordered runs, sorted parameters), as two independent 64-bit values.
 
 A step is a grouped count, combined on the map side, whose classes of several meet the rows in a
-semi-join on the same plain columns, so counts are not shuffled again. No step holds a
+semi-join on the same plain columns, so counts are not shuffled again; the next step has other
+columns, so that adaptive execution may split the rows of a hot class. No step holds a
 group in one task: classes and groups are aggregates with partial aggregation, and rows meet
 them in joins whose hot keys adaptive execution splits. The first two joins carry urls; what
 is left after the third step is numbers, written once and read twice.
@@ -49,8 +50,8 @@ def stripped(url: Column) -> Column:
 
 
 def letter_histogram(letters: Column) -> Column:
-    """How often each letter stands in a text, hashed to 64 bits."""
-    return F.xxhash64(F.array_join(F.array_sort(F.split(letters, "")), ""))
+    """How often each letter stands in a text, hashed to 64 bits with its length."""
+    return F.xxhash64(F.length(letters), F.array_join(F.array_sort(F.split(letters, "")), ""))
 
 
 def url_form(url: Column) -> Column:
@@ -71,7 +72,8 @@ _GROUP = ("_g", "_null")
 
 def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys other rows have too."""
-    classes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
+    # the id is counted too, so that both sides of the join need the same columns and share what was shuffled
+    classes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("_id").alias("_any")).filter("_n > 1 and _any is not null").select(*keys)
     return rows.join(classes, keys, "left_semi")
 
 
@@ -80,9 +82,10 @@ def _grouped(df: DataFrame, group_col: str | None, id_col: str, url_col: str) ->
     g = F.lit(0).cast("long") if group_col is None else F.col(group_col)
     kind = df.select(g.alias("_g")).schema["_g"].dataType
     # a null is a group of its own: as two plain columns, it needs no null-safe join
-    rows = df.select(F.coalesce(g, F.lit("0").cast(kind)).alias("_g"), g.isNull().alias("_null"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).filter(F.col("_url") != "")
+    rows = df.select(F.coalesce(g, F.lit("0").cast(kind)).alias("_g"), g.isNull().alias("_null"), F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).filter((F.col("_url") != "") & F.col("_id").isNotNull())
     rows = _several(rows.withColumn("_length", F.length(stripped(F.col("_url")))), [*_GROUP, "_length"])
-    rows = _several(rows.withColumn("_letters", letter_histogram(stripped(F.col("_url")))), [*_GROUP, "_length", "_letters"])
+    # without the length as a column, so that rows of one length, however many, are counted where they lie
+    rows = _several(rows.withColumn("_letters", letter_histogram(stripped(F.col("_url")))).drop("_length"), [*_GROUP, "_letters"])
     form = rows.select(*_GROUP, "_id", url_form(F.col("_url")).alias("_form"))
     members = cut_lineage(form.select(*_GROUP, "_id", F.xxhash64("_form").alias("_a"), F.xxhash64(F.lit("tributary"), "_form").alias("_b")))
     groups = members.groupBy(*_GROUP, "_a", "_b").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
@@ -92,7 +95,7 @@ def _grouped(df: DataFrame, group_col: str | None, id_col: str, url_col: str) ->
 def find_copies(df: DataFrame, *, group_col: str | None = "query_id", id_col: str = "result_id", url_col: str = "url") -> DataFrame:
     """One row ``first_id, <id_col>`` for every row that is not the first of its group.
 
-    Null and empty urls belong to no group; a null in ``group_col`` is a group of its
+    Null and empty urls and null ids belong to no group; a null in ``group_col`` is a group of its
     own; an id names one row. An empty table gives no rows. Only the named columns are
     read, so other columns may have any name. The first row is the one with the smallest id.
     """
