@@ -18,8 +18,8 @@ Evidence that a value stops before the end of its text, in the order in which it
 In fields of sentences a value that ends like one is whole, unless its last word is an
 abbreviation after which the corpus goes on.
 
-Counts are made over all values. Words and contexts that make up at least a millionth of all
-are sent to the workers, at most a million entries. Values that rarer ones could decide
+Counts are made over all values. The most frequent words and contexts are sent to the workers, at most
+``ENTRIES`` of them, whatever the corpus. Values that rarer ones could decide
 are judged a second time, with what a join of their last words with all counts gives. The table is
 read three times: lengths, words (with the training sample for garbled text), judgement.
 """
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from tributary.llm import encodings
 from tributary.plans.storage import cut_lineage
 
-#: Least share of all words that a word or context needs to be sent to the workers.
-LEAST_SHARE = 1e-6
+#: Words and contexts that are sent to the workers at most.
+ENTRIES = 300_000
 #: A length is a cut length if it holds this share of a source's values and stands out
 #: this many times from the lengths around it; shorter ones than ``SHORT`` are none.
 PEAK_SHARE, PEAK_RATIO, SHORT = 0.01, 4.0, 20
@@ -360,8 +360,10 @@ def _count(values: DataFrame, sentences: set[str], limits: dict, least: float, p
     value = F.expr("substring(k, 2)")
     chosen = counts.filter(F.col("k").startswith("\x01")).select(value.alias("value")).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
     counts = counts.filter(~F.col("k").startswith("\x01"))
-    total = counts.agg(F.sum(F.col("inner") + F.col("last"))).first()[0] or 0
-    floor = max(2, math.ceil(least * total))
+    # of the powers of two, the least count that few enough reach
+    n, powers = F.col("inner") + F.col("last"), range(1, 62)
+    total, *reached = counts.agg(F.sum(n), *(F.count_if(n >= F.lit(1 << i)) for i in powers)).first()
+    floor = max(next(1 << i for i, r in zip(powers, reached, strict=True) if r <= ENTRIES or i == powers[-1]), math.ceil(least * (total or 0)))
     rows = counts.filter(F.col("inner") + F.col("last") >= floor).collect()
     words = {r.k: (r.inner, r["last"]) for r in rows if r.k and r.k[0] != "\x00"}
     return words, {r.k[1:]: (r.inner, r["last"]) for r in rows if r.k and r.k[0] == "\x00"}, floor, counts, [r.value for r in chosen]
@@ -430,9 +432,13 @@ def fit(
     fields: tuple[str, ...] = ("title", "content"),
     source_col: str | None = "engine",
     sample: int = encodings.SAMPLE,
-    least_share: float = LEAST_SHARE,
+    least_share: float = 0.0,
 ) -> Model:
-    """A model of the values of ``fields``; ``sample`` bounds the training sample for garbled text."""
+    """A model of the values of ``fields``; ``sample`` bounds the training sample for garbled text.
+
+    Words and contexts that make up less than ``least_share`` of all stay with the rarer ones even
+    where there are few.
+    """
     values = _values(df.select(F.lit(0).alias("_none"), *fields, *([source_col] if source_col else [])), "_none", list(fields), source_col)
     sentences, limits, n = _limits(values)
     picked = (encodings.sampled(sample, n) & (F.octet_length("value") > F.char_length("value"))).alias("picked")
