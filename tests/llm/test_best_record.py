@@ -126,10 +126,14 @@ def nested(pages=40):
     return out
 
 
-def test_titles_cut_at_words_do_not_depend_on_group_size(spark, registry):
+def test_titles_cut_at_words_do_not_depend_on_group_size(spark, registry, monkeypatch):
     df = spark.createDataFrame(nested(), SCHEMA).repartition(3)
     small, large = ({tuple(r) for r in br.best_rows(df, registry, block=b).collect()} for b in (256, 2))
     assert large == small
+    with monkeypatch.context() as m:  # nothing is small enough to be broadcast, or looked up in a literal map
+        m.setattr(br, "SMALL_TABLE", 0)
+        m.setattr(br, "SMALL_REGISTRY", 0)
+        assert {tuple(r) for r in br.best_rows(df, registry, block=2).collect()} == small
     # the cut title was seen last and has more trust: the whole one is best all the same
     rows = [
         (1, "h.example/k", "The old kettle beside", "The kettle is old.", ["A"], T0 + dt.timedelta(2), "x", 5),

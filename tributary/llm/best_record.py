@@ -48,8 +48,8 @@ BLOCK = 256
 WEIGHT = 1 << 32
 #: Pages that a text must stand on to be tested for a stand-in.
 STAND_IN_PAGES = 5
-#: Rows of a table that is broadcast; a larger one is shuffled.
-SMALL_TABLE = 200_000
+#: Bytes of a table that is broadcast, at 64 a row and those of its texts; a larger one is shuffled.
+SMALL_TABLE = 32 << 20
 #: Rows of the registry up to which weights are looked up in a literal map.
 SMALL_REGISTRY = 1_000
 #: Usual stand-ins for a missing text, in lower case.
@@ -261,11 +261,11 @@ def _small_groups(sentences: set[str]):
 
 def _heads(batch: pa.RecordBatch) -> np.ndarray:
     """Where groups begin in a batch."""
-    new = np.ones(batch.num_rows, bool)
-    for c in ("a", "b", "field"):
-        x = batch.column(c)
-        x = (x.dictionary_encode().indices if c == "field" else x).to_numpy(zero_copy_only=False)
-        new[1:] = (x[1:] != x[:-1]) | new[1:] if c != "a" else x[1:] != x[:-1]
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for x in (batch.column("a"), batch.column("b"), batch.column("field").dictionary_encode().indices):
+        x = x.to_numpy(zero_copy_only=False)
+        new[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(new)
 
 
@@ -429,9 +429,11 @@ def _grouped(df: DataFrame, registry: DataFrame, id_col: str, url_col: str, engi
 
 
 def _meet(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join whose other side is written, counted, and broadcast if it has at most ``SMALL_TABLE`` rows."""
+    """A join whose other side is written, measured, and broadcast if it has at most ``SMALL_TABLE`` bytes."""
     other = cut_lineage(other)
-    return df.join(F.broadcast(other) if other.count() <= SMALL_TABLE else other, on, how)
+    row = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in other.dtypes if kind == "string"), F.lit(64))
+    size = other.agg(F.sum(row)).first()[0] or 0
+    return df.join(F.broadcast(other) if size <= SMALL_TABLE else other, on, how)
 
 
 def _stand_ins(values: DataFrame) -> DataFrame:
