@@ -42,7 +42,7 @@ from tributary.llm import encodings
 from tributary.plans.storage import cut_lineage
 
 #: Words and contexts that are sent to the workers at most.
-ENTRIES = 100_000
+ENTRIES = 300_000
 #: A length is a cut length if it holds this share of a source's values and stands out
 #: this many times from the lengths around it; shorter ones than ``SHORT`` are none.
 PEAK_SHARE, PEAK_RATIO, SHORT = 0.01, 4.0, 20
