@@ -44,6 +44,13 @@ def test_bytes_decide_and_the_first_wins_ties(spark):
     assert (r.title, r.content) == ("éé", "x1")
 
 
+def test_rows_at_one_place(spark):
+    rows = [(0, "a", 1, "https://u", "tb", "c"), (0, "a", 1, "http://u", "ta", "c")]
+    for order in (rows, rows[::-1]):
+        r = fusion.fuse(lists(spark, *order).repartition(2)).first()
+        assert (r.url, r.title, r.positions) == ("http://u", "ta", [1, 1])
+
+
 def test_first_that_is_not_null(spark):
     df = lists(spark, (0, "a", 1, "u", "t", "c", "web", None, None), (1, "b", 1, "u", "t", "c", "news", "thumb", "2024-01-15"), (2, "c", 1, "u", "t", "c", "web", "other", "2025"))
     r = fusion.fuse(df).first()

@@ -81,22 +81,21 @@ def fuse(results: DataFrame, weights: DataFrame | None = None, *, priority: str
         *((F.col(c) if c in results.columns else d).alias(c) for c, d in optional.items()),
         *(c for c in SEEDS if c in results.columns),
     )
-    at = F.col("at")
-    # the longest value, of these the earliest: lengths descend, places ascend
-    longest = lambda c: F.min_by(c, F.struct((-F.octet_length(c)).alias("n"), at))
-    present = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at))
+    seeds = [c for c in SEEDS if c in results.columns]
+    # minima of structs that begin with the place: rows at one place are told apart by their values, never by chance.
+    # Of the longest values the earliest: lengths descend, places ascend
+    longest = lambda c: F.min(F.struct((-F.octet_length(c)).alias("n"), "at", c))[c]
+    present = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("at", c)))[c]
     out = rows.groupBy(*by, "key").agg(
-        F.min("at").alias("first"),
-        F.min_by("url", at).alias("url"),
+        F.min(F.struct("at", "url", "result_type", *seeds)).alias("head"),
         longest("title").alias("title"),
         longest("content").alias("content"),
-        F.min_by("result_type", at).alias("result_type"),
         present("thumbnail").alias("thumbnail"),
         present("published_date").alias("published_date"),
         F.collect_set(F.struct("engine", "weight")).alias("found"),
         F.collect_list("at").alias("places"),
-        *(F.min_by(c, at).alias(c) for c in SEEDS if c in results.columns),
     )
+    out = out.withColumns({"first": F.col("head.at"), **{c: F.col(f"head.{c}") for c in ("url", "result_type", *seeds)}})
     positions = F.transform(F.array_sort("places"), lambda p: p["pos"])
     if "seed_positions" in out.columns:
         positions = F.concat(F.coalesce(F.col("seed_positions").cast("array<int>"), F.array().cast("array<int>")), positions)
