@@ -264,42 +264,53 @@ class Model:
         return out
 
 
-def _garbled_samples(texts: list[str]) -> dict[Chain, list[str]]:
-    """Garbled copies of a sample by every chain that the sample can tell apart."""
-    out: dict[Chain, list[str]] = {}
-    known: list[set[str]] = [set() for _ in texts]
-    for chain in CHAINS:
-        own, fresh = [], 0
-        for text, seen in zip(texts, known, strict=True):
-            g = garble(text, chain)
-            if g != text and "???" not in g:
-                own.append(g)
-                fresh += g not in seen
-                seen.add(g)
-        if fresh > OWN_SHARE * len(texts):
-            out[chain] = own
-    return out
-
-
-def _fit(clean: list[str]) -> Model:
-    def logs(texts: list[str]) -> np.ndarray:
-        counts = np.bincount(_bigrams(texts)[0], minlength=BUCKETS) if texts else np.zeros(BUCKETS)
-        smooth = 0.05
-        return np.log((counts + smooth) / (counts.sum() + smooth * BUCKETS))
-
-    base = logs(clean)
-    blocks = frozenset({0} | {ord(c) >> 7 for v in clean for c in v})
-    garbled = _garbled_samples(clean) or {CHAINS[0]: []}
-    return Model(np.stack([np.clip(logs(g) - base, -8, 8) for g in garbled.values()]).astype(np.float32), blocks, tuple(garbled))
+class _Sample:
+    """Bigrams of a sample and of its copies garbled by every chain, worked out once for all rounds of training."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = texts
+        self.clean = _bigrams(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.blocks = [frozenset(ord(c) >> 7 for c in t) for t in texts]
+        #: For each chain bigrams, the text of each, and whether no chain before garbles the text alike.
+        self.garbled: dict[Chain, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        known: list[set[str]] = [set() for _ in texts]
+        for chain in CHAINS:
+            own, of, fresh = [], [], np.zeros(len(texts), bool)
+            for n, (text, seen) in enumerate(zip(texts, known, strict=True)):
+                g = garble(text, chain)
+                if g != text and "???" not in g:
+                    own.append(g)
+                    of.append(n)
+                    fresh[n] = g not in seen
+                    seen.add(g)
+            if own:
+                grams, owner = _bigrams(own)
+                self.garbled[chain] = grams, np.array(of)[owner], fresh
+
+    def fit(self, kept: np.ndarray) -> Model:
+        """A model of the texts kept, with the chains that garble enough of them unlike all before."""
+
+        def logs(grams: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            counts = np.bincount(grams[kept[owner]], minlength=BUCKETS)
+            smooth = 0.05
+            return np.log((counts + smooth) / (counts.sum() + smooth * BUCKETS))
+
+        base = logs(*self.clean)
+        blocks = frozenset({0}).union(*(b for b, k in zip(self.blocks, kept.tolist(), strict=True) if k))
+        found = {c: logs(grams, owner) for c, (grams, owner, fresh) in self.garbled.items() if fresh[kept].sum() > OWN_SHARE * kept.sum()}
+        found = found or {CHAINS[0]: base}
+        return Model(np.stack([np.clip(x - base, -8, 8) for x in found.values()]).astype(np.float32), blocks, tuple(found))
 
 
 def train(values: list[str]) -> Model:
     """A model of a sample of mostly clean values."""
-    clean = sorted({v for v in values if v and not v.isascii() and REPLACEMENT not in v and not regex.search(r"[\x80-\x9f]", v)})
-    model = _fit(clean)
+    sample = _Sample(sorted({v for v in values if v and not v.isascii() and REPLACEMENT not in v and not regex.search(r"[\x80-\x9f]", v)}))
+    kept = np.ones(len(sample.texts), bool)
+    model = sample.fit(kept)
     for _ in range(2):
-        clean = [v for v, (f, *_) in zip(clean, classify(clean, model), strict=True) if not f]
-        model = _fit(clean)
+        some = np.flatnonzero(kept)
+        kept[some] = [not f for f, *_ in classify([sample.texts[i] for i in some], model)]
+        model = sample.fit(kept)
     return model
 
 
