@@ -269,11 +269,11 @@ class _Sample:
 
     def __init__(self, texts: list[str]) -> None:
         self.texts = texts
-        self.clean = _bigrams(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.clean = self._slim(*_bigrams(texts)) if texts else (np.zeros(0, np.uint16), np.zeros(0, np.int32))
         self.blocks = [frozenset(ord(c) >> 7 for c in t) for t in texts]
         #: For each chain bigrams, the text of each, and whether no chain before garbles the text alike.
         self.garbled: dict[Chain, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        known: list[set[str]] = [set() for _ in texts]
+        known: list[set[int]] = [set() for _ in texts]
         for chain in CHAINS:
             own, of, fresh = [], [], np.zeros(len(texts), bool)
             for n, (text, seen) in enumerate(zip(texts, known, strict=True)):
@@ -281,11 +281,15 @@ class _Sample:
                 if g != text and "???" not in g:
                     own.append(g)
                     of.append(n)
-                    fresh[n] = g not in seen
-                    seen.add(g)
+                    fresh[n] = hash(g) not in seen
+                    seen.add(hash(g))
             if own:
                 grams, owner = _bigrams(own)
-                self.garbled[chain] = grams, np.array(of)[owner], fresh
+                self.garbled[chain] = *self._slim(grams, np.array(of)[owner]), fresh
+
+    @staticmethod
+    def _slim(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return grams.astype(np.uint16), owner.astype(np.int32)
 
     def fit(self, kept: np.ndarray) -> Model:
         """A model of the texts kept, with the chains that garble enough of them unlike all before."""

@@ -364,9 +364,15 @@ def _count(values: DataFrame, sentences: set[str], limits: dict, least: float, p
     n, powers = F.col("inner") + F.col("last"), range(1, 62)
     total, *reached = counts.agg(F.sum(n), *(F.count_if(n >= F.lit(1 << i)) for i in powers)).first()
     floor = max(next(1 << i for i, r in zip(powers, reached, strict=True) if r <= ENTRIES or i == powers[-1]), math.ceil(least * (total or 0)))
-    rows = counts.filter(F.col("inner") + F.col("last") >= floor).collect()
-    words = {r.k: (r.inner, r["last"]) for r in rows if r.k and r.k[0] != "\x00"}
-    return words, {r.k[1:]: (r.inner, r["last"]) for r in rows if r.k and r.k[0] == "\x00"}, floor, counts, [r.value for r in chosen]
+    words: dict[str, tuple[int, int]] = {}
+    contexts: dict[str, tuple[int, int]] = {}
+    for batch in counts.filter(F.col("inner") + F.col("last") >= floor).toArrow().to_batches(10_000):
+        for k, *own in zip(*(batch.column(c).to_pylist() for c in ("k", "inner", "last")), strict=True):
+            if k[:1] == "\x00":
+                contexts[k[1:]] = tuple(own)
+            elif k:
+                words[k] = tuple(own)
+    return words, contexts, floor, counts, [r.value for r in chosen]
 
 
 def with_facts(unsettled: DataFrame, model: Model) -> DataFrame:
